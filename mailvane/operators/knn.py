@@ -19,6 +19,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -146,12 +147,12 @@ def _candidates(block: Block, qids: pa.Array, queries: np.ndarray, schema: pa.Sc
 def merge_top_k(candidates: DataFrame, k: int) -> DataFrame:
     """Final k nearest per query and category out of per-block bests.
 
-    Rows are hashed by query alone, so a vote per query needs no second shuffle;
-    Spark keeps at most k rows per group before it.
+    Rows are hashed by query alone, so a vote per query needs no second shuffle.
     """
     w = Window.partitionBy("qid", "category").orderBy("dkey", "vec_id")
     return (
-        candidates.withColumn("rank", F.row_number().over(w))
+        candidates.repartition("qid")
+        .withColumn("rank", F.row_number().over(w))
         .where(F.col("rank") <= k)
         .select("qid", "category", "vec_id", "distance", "rank")
     )
@@ -195,12 +196,8 @@ def _query_broadcast(queries: DataFrame, corpus: DataFrame, k: int, metric: str)
 
 
 def _best(t: pa.Table, k: int) -> pa.Table:
-    from mailvane.operators.kernels import top_k
-
     ids = t["id"].combine_chunks()
     place = np.empty(len(t), dtype=np.int64)
-    import pyarrow.compute as pc
-
     place[np.asarray(pc.sort_indices(ids))] = np.arange(len(t))
     code = np.asarray(t["c"].combine_chunks().dictionary_encode().indices.fill_null(-1), dtype=np.int64)
     d, r = np.asarray(t["d"]), np.asarray(t["r"])
