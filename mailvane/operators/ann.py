@@ -15,8 +15,9 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mailvane.functions.fixed_values import COSINE_EPS
 from mailvane.functions.vectors import metric_name, normalize
-from mailvane.operators.kernels import matrix, pair_distance, sort_key
+from mailvane.operators.kernels import matrix, sort_key
 from mailvane.operators.knn import BLOCK_ROWS, block_join, effective_k, merge_top_k
 
 MAX_CELLS = 1 << 16
@@ -70,6 +71,18 @@ def class_mean_index(corpus: DataFrame, category: str, *, metric: str = "cosine"
     return CellIndex(np.array([r["m"] for r in rows]), metric_name(metric))
 
 
+def _cell_keys(q: np.ndarray, index: CellIndex) -> np.ndarray:
+    """Distance of every query row to every centroid, rounded to nine decimals."""
+    c = index.centroids
+    if index.metric == "euclidean":
+        d = np.einsum("ij,ij->i", q, q)[:, None] + np.einsum("ij,ij->i", c, c)[None, :] - 2.0 * (q @ c.T)
+        return sort_key(np.sqrt(np.maximum(d, 0.0)))
+    if index.metric == "cosine":
+        unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1), COSINE_EPS)[:, None]
+        return sort_key(1.0 - unit(q) @ unit(c).T)
+    return sort_key(-(q @ c.T))
+
+
 def nearest_cells(index: CellIndex, vector: Column, n_probe: int = 1) -> Column:
     """Numbers of the ``n_probe`` nearest cells, nearest first; ties to the lower number."""
     spark = SparkSession.getActiveSession()
@@ -82,10 +95,13 @@ def nearest_cells(index: CellIndex, vector: Column, n_probe: int = 1) -> Column:
         q = matrix(vectors)
         if not len(q):
             return pa.array([], pa.list_(pa.int32()))
-        key = np.empty((len(q), ix.n_cells), dtype=np.int64)
-        for j, centre in enumerate(ix.centroids):
-            key[:, j] = sort_key(pair_distance(q, np.broadcast_to(centre, q.shape), ix.metric))
-        order = np.argsort(key, axis=1, kind="stable")[:, :n_probe].astype(np.int32)
+        step = max(1, (1 << 22) // ix.n_cells)
+        order = np.concatenate(
+            [
+                np.argsort(_cell_keys(q[at : at + step], ix), axis=1, kind="stable")[:, :n_probe]
+                for at in range(0, len(q), step)
+            ]
+        ).astype(np.int32)
         offsets = (np.arange(len(q) + 1) * n_probe).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(order.reshape(-1)))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailvane.functions import fixed_values as V
@@ -93,10 +93,8 @@ class Classifier:
 def category_summary(classified: DataFrame, category: str = "category") -> DataFrame:
     """Rows and share of every category; ``UNKNOWN`` is a group of its own."""
     counts = classified.groupBy(category).agg(F.count(F.lit(1)).alias("n_mails"))
-    total = counts.agg(F.sum("n_mails").alias("total"))  # one row
-    return counts.join(F.broadcast(total), F.lit(True)).select(
-        category, "n_mails", (F.lit(100.0) * F.col("n_mails") / F.col("total")).alias("percent")
-    )
+    total = F.sum("n_mails").over(Window.partitionBy())  # over one row per category
+    return counts.select(category, "n_mails", (F.lit(100.0) * F.col("n_mails") / total).alias("percent"))
 
 
 def evaluate(classified: DataFrame, expected: DataFrame, id_col: str = "mail_id") -> DataFrame:
