@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,12 +55,21 @@ def sign(h: Column) -> Column:
     return F.when(h.bitwiseAND(F.lit(1)) == 1, F.lit(1)).otherwise(F.lit(-1))
 
 
+def _state_type(dim: int) -> type:
+    """Smallest unsigned type whose wrap-around keeps the hash exact modulo ``dim``.
+
+    The low bits of a product depend on the low bits of its factors only, so for a
+    dimension that divides 2^8 or 2^16 the fold runs on bytes or 16-bit words.
+    """
+    return np.uint8 if 256 % dim == 0 else np.uint16 if 65536 % dim == 0 else np.uint32
+
+
 class _Tokens:
     """Flat view of an Arrow ``list<string>`` batch."""
 
-    def __init__(self, lists: pa.Array):
+    def __init__(self, lists: pa.Array, dim: int):
         lengths = np.asarray(lists.value_lengths().fill_null(0), dtype=np.int64)
-        flat = lists.flatten()
+        self.strings = flat = lists.flatten()
         wide = pa.types.is_large_string(flat.type)
         _, offsets, data = flat.buffers()
         if len(flat) == 0 or offsets is None:
@@ -69,66 +79,76 @@ class _Tokens:
             offs = offs[flat.offset : flat.offset + len(flat) + 1].astype(np.int64)
         self.data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
         self.starts, self.ends = offs[:-1], offs[1:]
-        self.lens = self.ends - self.starts
+        self.lens = np.diff(offs)
         self.doc = np.repeat(np.arange(len(lists)), lengths)
-        self.strings = flat
+        self.dtype = _state_type(dim)
+        self.prime = np.array(V.FNV_PRIME).astype(self.dtype)
+        self.dim = dim
+
+    def start_state(self, n: int) -> np.ndarray:
+        return np.full(n, np.array(V.FNV_OFFSET).astype(self.dtype), dtype=self.dtype)
+
+    def slot(self, h: np.ndarray) -> np.ndarray:
+        return h if self.dim > np.iinfo(self.dtype).max else h % self.dtype(self.dim)
 
     def fold(self, state: np.ndarray, which: np.ndarray) -> np.ndarray:
         """Continue the hash ``state[i]`` over the bytes of token ``which[i]``."""
-        order = np.argsort(-self.lens[which], kind="stable")
-        starts, lens, out = self.starts[which][order], self.lens[which][order], state[order].copy()
-        live = len(order)
-        for p in range(int(lens[0]) if len(lens) else 0):
-            while lens[live - 1] <= p:  # lengths are descending
-                live = int(np.searchsorted(-lens, -p, side="left"))
-            out[:live] = (out[:live] ^ self.data[starts[:live] + p]) * np.uint32(V.FNV_PRIME)
-        result = np.empty_like(out)
-        result[order] = out
-        return result
-
-
-def _accumulate(out: np.ndarray, doc: np.ndarray, h: np.ndarray, weight, signed: bool) -> None:
-    n, dim = out.shape
-    w = np.broadcast_to(np.asarray(weight, dtype=np.float64), h.shape)
-    if signed:
-        w = np.where(h & 1, w, -w)
-    out += np.bincount(doc * dim + (h % dim).astype(np.int64), weights=w, minlength=n * dim).reshape(n, dim)
+        starts, lens = self.starts[which], self.lens[which]
+        live = np.arange(len(which))
+        out = state.copy()
+        p = 0
+        while True:
+            live = live[lens[live] > p]
+            if not len(live):
+                return out
+            out[live] = (out[live] ^ self.data[starts[live] + p]) * self.prime
+            p += 1
 
 
 def accumulate_pass(
-    out: np.ndarray, lists: pa.Array, weight: float, *, bigrams: float, trigrams: float, boosts: dict, signed: bool
+    out: np.ndarray, lists: pa.Array, weight: float, *, bigrams: float, trigrams: float, boosts: dict
 ) -> None:
-    """Add the hashed features of one token-list column to the dense ``out``."""
-    t = _Tokens(lists)
+    """Add the hashed, unsigned features of one token-list column to the dense ``out``."""
+    docs, dim = out.shape
+    t = _Tokens(lists, dim)
     n = len(t.lens)
     if n == 0:
         return
-    unit = np.full(n, V.FNV_OFFSET, dtype=np.uint32)
+    size = docs * dim
+    base = t.doc * dim
     # a word repeats often within a batch: hash and look up each distinct word once
     vocab = t.strings.dictionary_encode()
     code = np.asarray(vocab.indices, dtype=np.int64)
-    first = np.full(len(vocab.dictionary), -1, dtype=np.int64)
+    first = np.empty(len(vocab.dictionary), dtype=np.int64)
     first[code[::-1]] = np.arange(n)[::-1]
-    word_hash = t.fold(unit[: len(first)], first)
-    boost = np.array([boosts.get(w, 1.0) for w in vocab.dictionary.to_pylist()]) if boosts else np.ones(len(first))
-    h = word_hash[code]
-    _accumulate(out, t.doc, h, boost[code] * weight, signed)
+    h = t.fold(t.start_state(len(first)), first)[code]
+    factor = np.ones(len(first))
+    if boosts:
+        hit = pc.index_in(vocab.dictionary, pa.array(list(boosts), vocab.dictionary.type))
+        known = np.asarray(hit.fill_null(-1))
+        factor = np.append(np.array(list(boosts.values())), 1.0)[known]
+    total = np.bincount(base + t.slot(h), weights=factor[code], minlength=size)
 
     if bigrams and n > 1:
         left = np.flatnonzero(t.doc[:-1] == t.doc[1:])
-        joined = (h[left] ^ np.uint32(ord("_"))) * np.uint32(V.FNV_PRIME)
-        _accumulate(out, t.doc[left], t.fold(joined, left + 1), bigrams * weight, signed)
-
-    if trigrams:
-        lo, hi = int(t.starts[0]), int(t.ends[-1])
-        if hi - lo >= 3:
-            b = t.data[lo:hi].astype(np.uint32)
-            g = np.full(hi - lo - 2, V.FNV_OFFSET, dtype=np.uint32)
-            for shift in range(3):
-                g = (g ^ b[shift : shift + len(g)]) * np.uint32(V.FNV_PRIME)
-            owner = np.repeat(np.arange(n), t.lens)[: len(g)]
-            whole = np.arange(lo, lo + len(g)) + 3 <= t.ends[owner]
-            _accumulate(out, t.doc[owner[whole]], g[whole], trigrams * weight, signed)
+        joined = (h[left] ^ t.dtype(ord("_"))) * t.prime
+        total += bigrams * np.bincount(base[left] + t.slot(t.fold(joined, left + 1)), minlength=size)
+
+    lo, hi = int(t.starts[0]), int(t.ends[-1])
+    if trigrams and hi - lo >= 3:
+        b = t.data[lo:hi]
+        g = t.start_state(hi - lo - 2)
+        for shift in range(3):
+            g = (g ^ b[shift : shift + len(g)]) * t.prime
+        at = np.repeat(base, t.lens)
+        # windows that would run over the end of their token go to a bin that is dropped
+        ends = t.ends[t.lens > 0] - lo
+        at[ends - 1] = size
+        at[np.maximum(ends - 2, 0)] = size
+        at = at[: len(g)]
+        slot = np.where(at < size, at + t.slot(g), size)
+        total += trigrams * np.bincount(slot, minlength=size + 1)[:size]
+    out += weight * total.reshape(docs, dim)
 
 
 def l2_rows(m: np.ndarray) -> np.ndarray:
@@ -155,6 +175,10 @@ def hash_vectors(
     """L2-normalised hashed feature vector of one or more weighted token lists."""
     weights = [w for _, w in passes]
     table = dict(boosts or {})
+    if signed and dim % 2:
+        raise ValueError("signed hashing needs an even dimension")
+    # with an even dimension the sign, the lowest hash bit, is the parity of the bucket
+    signs = np.where(np.arange(dim) % 2 == 1, 1.0, -1.0)
     rows_at_once = max(1, (1 << 22) // dim)  # bounds the dense scratch matrix
 
     @F.arrow_udf("array<double>")
@@ -171,8 +195,9 @@ def hash_vectors(
                     bigrams=bigrams,
                     trigrams=trigrams,
                     boosts=table,
-                    signed=signed,
                 )
+            if signed:
+                out *= signs
             parts.append(list_array(l2_rows(out)))
         return pa.concat_arrays(parts) if parts else pa.array([], type=pa.list_(pa.float64()))
 

@@ -44,8 +44,7 @@ def unfold(headers: Column) -> Column:
         ),
     )
     # the piece before the first mark can only be a continuation of nothing
-    pieces = F.split(F.array_join(marked, ""), "\n")
-    return F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
+    return F.filter(F.split(F.array_join(marked, ""), "\n"), lambda _, i: i > 0)
 
 
 def header_entries(lines: Column) -> Column:
@@ -134,7 +133,8 @@ def url_domains(urls: Column) -> Column:
 
 def parse_mail(mails: DataFrame, raw: str = "raw") -> DataFrame:
     """Replace ``raw`` by the parsed message; every step is a narrow projection."""
-    keep = [c for c in mails.columns if c != raw]
+    made = {*NAMED_HEADERS, "received", "headers", "body"}
+    keep = [c for c in mails.columns if c != raw and c not in made]
     sections = (
         mails.withColumn("_raw", unify_newlines(F.coalesce(F.col(raw), F.lit(""))))
         .withColumn("_head", header_section(F.col("_raw")))

@@ -19,11 +19,13 @@ PROFILES = ("basic", "enhanced", "counts")
 def token_passes(text: Column) -> list[tuple[Column, float]]:
     """Token lists of the enhanced profile: the text, and its leet-normalised form if that differs."""
     lowered = F.lower(F.coalesce(text, F.lit("")))
-    normal = X.normalize_leet(lowered)
-    second = F.when(normal != lowered, X.remove_stop_words(X.unicode_tokens(normal))).otherwise(
-        F.array().cast("array<string>")
+    words = lambda t: X.remove_stop_words(X.unicode_tokens(t))
+    nothing = F.array().cast("array<string>")
+    second = X.let(
+        F.struct(lowered.alias("old"), X.normalize_leet(lowered).alias("new")),
+        lambda t: F.when(t["new"] != t["old"], words(t["new"])).otherwise(nothing),
     )
-    return [(X.remove_stop_words(X.unicode_tokens(lowered)), 1.0), (second, V.LEET_PASS_WEIGHT)]
+    return [(words(lowered), 1.0), (second, V.LEET_PASS_WEIGHT)]
 
 
 def vectorize(text: Column, profile: str = "enhanced", dim: int | None = None) -> Column:

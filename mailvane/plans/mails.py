@@ -24,7 +24,7 @@ def _texts(modulus: int, *options: str) -> str:
     return _pick(modulus, *[f"'{o}'" for o in options])
 
 
-SUBJECT = _texts(
+_SUBJECT = _texts(
     10,
     "Urgent: verify your account",
     "Project update for the team",
@@ -60,7 +60,7 @@ _URGENCY = (
     + ")"
 )
 
-BODY = f"({_URGENCY} || {_LEAD} || text)"
+_BODY = f"{_URGENCY} || {_LEAD} || text"
 
 _DOMAIN = _texts(
     12,
@@ -69,23 +69,23 @@ _DOMAIN = _texts(
 )
 _FROM = _pick(
     5,
-    f"'Service Desk <desk@' || {_DOMAIN} || '>'",
-    f"'<desk@' || {_DOMAIN} || '>'",
-    f"'desk@' || {_DOMAIN}",
-    f"'\"desk@' || {_DOMAIN} || '\"'",
-    f"'Desk <old> <desk@' || {_DOMAIN} || '> (team)'",
+    "'Service Desk <desk@' || dom || '>'",
+    "'<desk@' || dom || '>'",
+    "'desk@' || dom",
+    "'\"desk@' || dom || '\"'",
+    "'Desk <old> <desk@' || dom || '> (team)'",
 )
 _REPLY_TO = _pick(
     4,
     "''",
-    f"'Reply-To: desk@' || {_DOMAIN} || {NL}",
+    f"'Reply-To: desk@' || dom || {NL}",
     f"'reply-to: <help@reply.example.net>' || {NL}",
     f"'REPLY-TO: Help Desk' || {NL}",
 )
 _RETURN_PATH = _pick(
     3,
     "''",
-    f"'Return-Path: <desk@' || {_DOMAIN} || '>' || {NL}",
+    f"'Return-Path: <desk@' || dom || '>' || {NL}",
     f"'Return-Path: bounce@bulk.example.net' || {NL}",
 )
 _AUTH = _pick(
@@ -102,26 +102,42 @@ _HEADERS = (
     f"{_RETURN_PATH} || 'Received: from a.example by b.example;' || {NL} || '  id ' || CAST(doc_id AS VARCHAR(20))"
     f" || {NL} || 'Received: from c.example by d.example' || {NL} || {_AUTH} || 'From: ' || {_FROM} || {NL}"
     f" || 'To: Team <team@example.org>' || {NL} || {_texts(4, 'Subject', 'SUBJECT', 'subject', 'Subject')}"
-    f" || ': ' || {SUBJECT} || {NL} || {_REPLY_TO}"
+    f" || ': ' || subject || {NL} || {_REPLY_TO}"
     f" || CASE WHEN doc_id % 7 = 3 THEN 'a header line without colon' || {NL} ELSE '' END"
     f" || CASE WHEN doc_id % 5 = 2 THEN 'X-Mailer: Batch 1.0' || {NL} ELSE '' END"
     f" || 'Date: Mon, 01 Jan 2024 10:00:00 +0000' || {NL}"
     f" || 'Message-ID: <' || CAST(doc_id AS VARCHAR(20)) || '@mail.example>' || {NL} || 'Content-Type: text/plain'"
 )
-_RAW_LF = _pick(
+_RAW = _pick(
     17,
-    f"{SUBJECT} || {NL} || {BODY}",  # no header section (unless the subject has a colon)
-    f"{_HEADERS} || {NL} || 'X-Note: ' || replace({BODY}, {NL}, ' ')",  # headers only
-    f"'Hello team' || {NL} || {_HEADERS} || {NL} || {NL} || {BODY}",  # first line without colon
-    f"{_HEADERS} || {NL} || {NL} || {BODY}",
+    f"subject || {NL} || body",  # no header section (unless the subject has a colon)
+    f"head || {NL} || 'X-Note: ' || replace(body, {NL}, ' ')",  # headers only
+    f"'Hello team' || {NL} || head || {NL} || {NL} || body",  # first line without colon
+    f"head || {NL} || {NL} || body",
 )
-RAW = f"CASE WHEN doc_id % 5 = 0 THEN replace({_RAW_LF}, {NL}, {CR} || {NL}) ELSE {_RAW_LF} END"
+_CRLF = f"CASE WHEN doc_id % 5 = 0 THEN replace(raw, {NL}, {CR} || {NL}) ELSE raw END"
+
+# one projection after the other, each using the columns of the one before
+STEPS = [
+    {"doc_id": "doc_id", "subject": _SUBJECT, "dom": _DOMAIN, "body": _BODY},
+    {"doc_id": "doc_id", "subject": "subject", "body": "body", "head": _HEADERS},
+    {"doc_id": "doc_id", "subject": "subject", "body": "body", "raw": _RAW},
+    {"mail_id": "doc_id", "subject": "subject", "body": "body", "raw": _CRLF},
+]
 
 CATEGORY = "CASE WHEN toxic = 1 THEN 'attack' WHEN quality = 0 THEN 'spam' WHEN quality = 1 THEN 'safe' END"
 
+
+
+def _nested_sql() -> str:
+    source = "documents"
+    for step in STEPS:
+        source = "(SELECT " + ", ".join(f"{e} AS {n}" for n, e in step.items()) + f" FROM {source})"
+    return source
+
+
 MAILS_SQL = (
-    f"SELECT doc_id AS mail_id, {SUBJECT} AS subject, {BODY} AS body, {RAW} AS raw, {CATEGORY} AS category "
-    "FROM documents LEFT JOIN labels USING (doc_id)"
+    f"SELECT m.*, {CATEGORY} AS category FROM {_nested_sql()} m LEFT JOIN labels ON labels.doc_id = m.mail_id"
 )
 
 
@@ -131,12 +147,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def mails_of(documents: DataFrame) -> DataFrame:
     """Mails without category; works on a stream of documents as well."""
-    return documents.select(
-        F.col("doc_id").alias("mail_id"),
-        F.expr(SUBJECT).alias("subject"),
-        F.expr(BODY).alias("body"),
-        F.expr(RAW).alias("raw"),
-    )
+    out = documents
+    for step in STEPS:
+        out = out.select(*[F.expr(e).alias(n) for n, e in step.items()])
+    return out
 
 
 def mails(spark: SparkSession, sf_dir: str) -> DataFrame:
