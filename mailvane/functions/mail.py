@@ -1,12 +1,17 @@
-"""Raw mail parsing as Column expressions: one narrow projection, no Python."""
+"""Raw mail parsing as Column expressions: one narrow projection, no Python.
+
+Each function evaluates its argument once (``let``).  A filter on a parsed field is
+pushed below the projections with all it depends on, and without that the argument
+would be computed again for every mention.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailvane.functions import fixed_values as V
+from mailvane.functions.text import let
 
 NAMED_HEADERS = {
     "from_header": "from", "to_header": "to", "subject": "subject", "date_header": "date",
@@ -25,14 +30,21 @@ def unify_newlines(raw: Column) -> Column:
 
 def header_section(raw: Column) -> Column:
     """Text before the first blank line, or '' when its first line has no colon."""
-    blank = F.instr(raw, "\n\n")
-    head = F.when(blank > 0, F.substr(raw, F.lit(1), blank - 1)).otherwise(raw)
-    return F.when(F.contains(F.substring_index(head, "\n", 1), F.lit(":")), head).otherwise(F.lit(""))
+
+    def head(r: Column) -> Column:
+        blank = F.instr(r, "\n\n")
+        return F.when(blank > 0, F.substr(r, F.lit(1), blank - 1)).otherwise(r)
+
+    has_colon = lambda h: F.contains(F.substring_index(h, "\n", 1), F.lit(":"))
+    return let(let(raw, head), lambda h: F.when(has_colon(h), h).otherwise(F.lit("")))
 
 
 def body_section(raw: Column, headers: Column) -> Column:
-    blank = F.instr(raw, "\n\n")
-    return F.when(headers == "", raw).when(blank > 0, F.substr(raw, blank + 2)).otherwise(F.lit(""))
+    def body(r: Column) -> Column:
+        blank = F.instr(r, "\n\n")
+        return F.when(headers == "", r).when(blank > 0, F.substr(r, blank + 2)).otherwise(F.lit(""))
+
+    return let(raw, body)
 
 
 def unfold(headers: Column) -> Column:
@@ -68,27 +80,35 @@ def first_header(entries: Column, key: str) -> Column:
 
 def header_map(entries: Column) -> Column:
     """``map<string, array<string>>`` keeping repeats of a header in order."""
-    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: header_values(entries, k)))
+
+    def grouped(es: Column) -> Column:
+        keys = F.array_distinct(F.transform(es, lambda e: e["key"]))
+        return let(keys, lambda ks: F.map_from_arrays(ks, F.transform(ks, lambda k: header_values(es, k))))
+
+    return let(entries, grouped)
 
 
 def mail_address(header: Column) -> Column:
     """Address inside the last ``<...>``, else the bare text if it has an ``@``."""
-    h = strip(header)
-    bare = F.btrim(h, F.lit("\"' "))
     angle = r"<([^<>]*)>[^<]*\z"
-    return (
-        F.when(h.rlike(angle), strip(F.regexp_extract(h, angle, 1)))
-        .when(F.contains(bare, F.lit("@")), bare)
-        .otherwise(F.lit(""))
-    )
+
+    def address(h: Column) -> Column:
+        bare = F.btrim(h, F.lit("\"' "))
+        return (
+            F.when(h.rlike(angle), strip(F.regexp_extract(h, angle, 1)))
+            .when(F.contains(bare, F.lit("@")), bare)
+            .otherwise(F.lit(""))
+        )
+
+    return let(strip(header), address)
 
 
 def mail_domain(address: Column) -> Column:
-    a = strip(address)
-    return F.when(
-        F.contains(a, F.lit("@")), F.lower(F.rtrim(F.substring_index(a, "@", -1), F.lit(">. ")))
-    ).otherwise(F.lit(""))
+    def domain(a: Column) -> Column:
+        last = F.lower(F.rtrim(F.substring_index(a, "@", -1), F.lit(">. ")))
+        return F.when(F.contains(a, F.lit("@")), last).otherwise(F.lit(""))
+
+    return let(strip(address), domain)
 
 
 def auth_verdict(header: Column, method: str) -> Column:
@@ -102,18 +122,18 @@ def extract_urls(body: Column) -> Column:
     The look-ahead lets a URL nested in another one be found as well.
     """
 
-    def scan(prefix: str) -> Column:
+    def scan(text: Column, prefix: str) -> Column:
         stop = "".join("\\" + c if c in "\"'" else c for c in V.URL_END_CHARS)
         pattern = "(?i)(?=(" + prefix.replace(".", r"\.") + "[^" + stop + "]*))"
-        return F.regexp_extract_all(body, F.lit(pattern), F.lit(1))
-
-    def clean(u: Column) -> Column:
-        return F.rtrim(u, F.lit(V.URL_TRAILING))
+        return F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
 
-    found = F.filter(
-        F.transform(F.concat(*[scan(p) for p in V.URL_PREFIXES]), clean),
-        lambda u: F.octet_length(u) >= V.URL_MIN_BYTES,
+    trimmed = let(
+        body,
+        lambda t: F.transform(
+            F.concat(*[scan(t, p) for p in V.URL_PREFIXES]), lambda u: F.rtrim(u, F.lit(V.URL_TRAILING))
+        ),
     )
+    found = F.filter(trimmed, lambda u: F.octet_length(u) >= V.URL_MIN_BYTES)
     return F.array_distinct(
         F.transform(found, lambda u: F.when(F.lower(u).startswith("www."), F.concat(F.lit("http://"), u)).otherwise(u))
     )

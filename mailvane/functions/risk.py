@@ -7,12 +7,14 @@ compared with single-precision sums.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailvane.functions import fixed_values as V
-from mailvane.functions.text import fields
+from mailvane.functions.text import fields, let
 
 
 def _f32(x) -> Column:
@@ -20,15 +22,12 @@ def _f32(x) -> Column:
 
 
 def contains_any(text: Column, phrases: Iterable[str]) -> Column:
-    hit = F.lit(False)
-    for p in phrases:
-        hit = hit | F.contains(text, F.lit(p))
-    return hit
+    return let(text, lambda t: reduce(or_, [F.contains(t, F.lit(p)) for p in phrases]))
 
 
 def first_contained(text: Column, phrases: Iterable[str]) -> Column:
     """First phrase in list order that occurs in ``text``, else null."""
-    return F.coalesce(*[F.when(F.contains(text, F.lit(p)), F.lit(p)) for p in phrases])
+    return let(text, lambda t: F.coalesce(*[F.when(F.contains(t, F.lit(p)), F.lit(p)) for p in phrases]))
 
 
 def domains_differ(a: Column, b: Column) -> Column:
@@ -56,27 +55,35 @@ def typosquat_of(domain: Column) -> Column:
     floor = F.lit(V.TYPOSQUAT_MIN_SIMILARITY).cast("float")
     slack = 1 - V.TYPOSQUAT_MIN_SIMILARITY
 
-    def resembles(brand: str) -> Column:
+    def resembles(d: Column, brand: str) -> Column:
         b = F.lit(brand)
-        longest = F.greatest(F.octet_length(domain), F.lit(len(brand)))
-        possible = F.abs(F.char_length(domain) - len(brand)) <= longest * slack
-        near = _similarity(F.levenshtein(domain, b), domain, b) > floor
-        return (domain != "") & (domain != b) & possible & near
+        longest = F.greatest(F.octet_length(d), F.lit(len(brand)))
+        possible = F.abs(F.char_length(d) - len(brand)) <= longest * slack
+        return (d != "") & (d != b) & possible & (_similarity(F.levenshtein(d, b), d, b) > floor)
 
-    return F.coalesce(*[F.when(resembles(b), F.lit(b)) for b in V.BRAND_DOMAINS])
+    return let(domain, lambda d: F.coalesce(*[F.when(resembles(d, b), F.lit(b)) for b in V.BRAND_DOMAINS]))
 
 
 def urgency_score(text: Column) -> Column:
     """Density of urgency terms in lower-cased ``text``, scaled by ten, at most one."""
     single = [t for t in V.URGENCY_TERMS if " " not in t]
     phrases = [t for t in V.URGENCY_TERMS if " " in t]
-    words = fields(text)
-    hits = F.size(F.filter(words, lambda w: F.btrim(w, F.lit(V.URGENCY_STRIP)).isin(single)))
-    for p in phrases:
-        hits = hits + F.contains(text, F.lit(p)).cast("int")
-    n = F.size(words)
-    density = _f32(_f32(hits) / _f32(F.nullif(n, F.lit(0)))) * _f32(10.0)
-    return F.when(n == 0, _f32(0.0)).otherwise(F.least(density, _f32(1.0)))
+    is_urgent = lambda w: F.btrim(w, F.lit(V.URGENCY_STRIP)).isin(single)
+
+    def counts(t: Column) -> Column:
+        found = reduce(add, [F.contains(t, F.lit(p)).cast("int") for p in phrases])
+        return let(
+            fields(t),
+            lambda ws: F.struct(
+                (F.size(F.filter(ws, is_urgent)) + found).alias("hits"), F.size(ws).alias("words")
+            ),
+        )
+
+    def density(c: Column) -> Column:
+        share = _f32(_f32(c["hits"]) / _f32(F.nullif(c["words"], F.lit(0)))) * _f32(10.0)
+        return F.when(c["words"] == 0, _f32(0.0)).otherwise(F.least(share, _f32(1.0)))
+
+    return let(let(text, counts), density)
 
 
 RULE_COLUMNS = [

@@ -58,10 +58,11 @@ def vote_columns(neighbours: Column, categories: list[str] = V.CATEGORIES) -> di
     ``scores`` and ``counts`` follow ``categories``; a category without match has a
     null score and cannot win.
     """
-    distances = [
-        F.transform(F.filter(neighbours, lambda n, c=c: n["category"] == c), lambda n: n["distance"])
-        for c in categories
-    ]
+
+    def of_category(c: str) -> Column:
+        return F.transform(F.filter(neighbours, lambda n: n["category"] == c), lambda n: n["distance"])
+
+    distances = [of_category(c) for c in categories]
     sizes = [F.size(d) for d in distances]
     means = [
         F.when(n > 0, F.aggregate(d, F.lit(0.0), lambda a, x: a + x) / n) for d, n in zip(distances, sizes)

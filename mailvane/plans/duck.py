@@ -100,20 +100,19 @@ def dkey(d: str) -> str:
     return f"floor({d} * 1e9 + 0.5)"
 
 
-def sparse_knn(queries: str, corpus: str, k: int, name: str) -> str:
-    """CTE ``{name}(qid, category, vec_id, distance, rank)``: unit sparse vectors, every pair.
+def vector_knn(queries: str, corpus: str, k: int, name: str, dim: int = V.ENHANCED_DIM) -> str:
+    """CTE ``{name}(qid, category, vec_id, distance, rank)``: every pair of unit vectors of f_vec.
 
-    ``queries(id)`` and ``corpus(id, category)`` name relations; vectors are in f_vec.
+    ``queries(id)`` and ``corpus(id, category)`` name relations.
     """
     return f"""
-{name} AS MATERIALIZED (
-  SELECT q.id qid, c.category, c.id vec_id, 1 - coalesce(d.dot, 0.0) distance,
-    row_number() OVER (PARTITION BY q.id, c.category ORDER BY {dkey('1 - coalesce(d.dot, 0.0)')}, c.id)::INTEGER rank
-  FROM {queries} q CROSS JOIN {corpus} c LEFT JOIN (
-    SELECT a.id qid, b.id vid, sum(a.value * b.value) dot
-    FROM f_vec a JOIN {queries} USING (id) JOIN f_vec b USING (bucket) JOIN {corpus} c2 ON c2.id = b.id
-    GROUP BY 1, 2) d ON d.qid = q.id AND d.vid = c.id
-  QUALIFY rank <= {k})"""
+f_dense AS MATERIALIZED (SELECT id, list(coalesce(value, 0.0)::DOUBLE ORDER BY bucket) v FROM
+  (SELECT id, unnest(generate_series(0, {dim - 1}))::INTEGER bucket FROM src) LEFT JOIN f_vec USING (id, bucket)
+  GROUP BY id),
+{name}_pairs AS (SELECT q.id qid, c.category, c.id vec_id, 1 - list_inner_product(a.v, b.v) distance
+  FROM {queries} q JOIN f_dense a ON a.id = q.id CROSS JOIN {corpus} c JOIN f_dense b ON b.id = c.id),
+{name} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY qid, category
+  ORDER BY {dkey('distance')}, vec_id)::INTEGER rank FROM {name}_pairs QUALIFY rank <= {k})"""
 
 
 def votes(knn: str, name: str, order: str) -> str:

@@ -337,7 +337,7 @@ def unlabelled(spark, sf_dir) -> DataFrame:
     return mails(spark, sf_dir).where("category IS NULL").drop("category")
 
 
-_STAGE1 = f"{duck.features('src', 'enhanced')}, {duck.sparse_knn('qs', 'corpus', V.VOTE_K, 'knn')}, " + duck.votes(
+_STAGE1 = f"{duck.features('src', 'enhanced')}, {duck.vector_knn('qs', 'corpus', V.VOTE_K, 'knn')}, " + duck.votes(
     "knn", "votes", duck.CATEGORY_ORDER
 )
 
@@ -401,7 +401,7 @@ _DOC_SRC = f"""src AS (SELECT doc_id id, {duck.combined('source', 'text')} txt,
 
 def _vote_ctes(queries: str) -> str:
     return (
-        f"{duck.features('src', 'basic')}, {duck.sparse_knn(queries, 'corpus', V.VOTE_K, 'knn')}, "
+        f"{duck.features('src', 'basic')}, {duck.vector_knn(queries, 'corpus', V.VOTE_K, 'knn')}, "
         + duck.votes("knn", "votes", duck.CATEGORY_ORDER)
     )
 
