@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from mailvane.functions import fixed_values as V
+from mailvane.functions.text import let
 
 _ALIASES = {"cosine": "cosine", "cos": "cosine", "euclidean": "euclidean", "euc": "euclidean", "l2": "euclidean",
             "dot": "dot"}
@@ -38,10 +39,10 @@ def norm(v: Column) -> Column:
 
 def normalize(v: Column) -> Column:
     """Unit vector; vectors shorter than 1e-30 stay as they are."""
-    n = norm(v)
-    return F.when(n < V.COSINE_EPS, v.cast("array<double>")).otherwise(
+    scaled = lambda n: F.when(n < V.COSINE_EPS, v.cast("array<double>")).otherwise(
         F.transform(v, lambda x: x.cast("double") / n)
     )
+    return let(norm(v), scaled)  # the norm once per vector, not once per item
 
 
 def _cosine(a: Column, b: Column, eps: float, degenerate: float) -> Column:

@@ -130,7 +130,7 @@ def search(
     q = queries.select(
         F.col(query_id).alias("qid"),
         F.col(query_vector).alias("qv"),
-        F.explode(nearest_cells(index, F.col(query_vector), n_probe)).alias("cell"),
+        F.explode_outer(nearest_cells(index, F.col(query_vector), n_probe)).alias("cell"),
     )
     return merge_top_k(block_join(q, c, k, index.metric, block_rows), k)
 

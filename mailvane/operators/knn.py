@@ -284,7 +284,8 @@ def knn_join(
         near = neighbours_udf(c, k, metric=metric, id_col="id", vector="v", category="c")
         return (
             q.select("qid", near(F.col("qv")).alias("n"))
-            .select("qid", F.inline("n"))
+            .select("qid", F.inline_outer("n"))  # plain inline would add a filter that searches twice
+            .where("vec_id IS NOT NULL")
             .select("qid", "category", "vec_id", "distance", "rank")
         )
     if fits_broadcast(q, dim, broadcast_bytes):

@@ -56,10 +56,12 @@ def vectorize_json(value: Column, dim: int | None = None) -> Column:
 
 
 def sparse(vectors: DataFrame, id_col: str, vector: str = "vector") -> DataFrame:
-    """``(id, bucket, value)`` of the non-zero items."""
-    return (
-        vectors.select(id_col, F.posexplode(vector).alias("bucket", "value")).where(F.col("value") != 0)
-    )
+    """``(id, bucket, value)`` of the non-zero items.
+
+    The outer form keeps Spark from adding a size filter below, for which it would
+    compute the vector a second time; the null rows it adds fail the condition.
+    """
+    return vectors.select(id_col, F.posexplode_outer(vector).alias("bucket", "value")).where(F.col("value") != 0)
 
 
 def unigram_counts(docs: DataFrame, id_col: str, tokens: Column) -> DataFrame:

@@ -485,7 +485,7 @@ SELECT id AS vec_id, category, '{{"subject":"' || replace(subject, '"', chr(92)
 def train_corpus(spark, sf_dir):
     rows = C.train_corpus(mails(spark, sf_dir).where("category IS NOT NULL"))
     return (
-        rows.select("vec_id", "category", "metadata", F.posexplode("embedding").alias("bucket", "value"))
+        rows.select("vec_id", "category", "metadata", F.posexplode_outer("embedding").alias("bucket", "value"))
         .where("value <> 0")
         .withColumn("value", r6("value"))
     )

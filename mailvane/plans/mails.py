@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mailvane.sources.tables import spread
+
 NL, TAB, CR = "chr(10)", "chr(9)", "chr(13)"
 
 
@@ -142,7 +144,7 @@ MAILS_SQL = (
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def mails_of(documents: DataFrame) -> DataFrame:
