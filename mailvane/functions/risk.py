@@ -6,28 +6,24 @@ compared with single-precision sums.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-from functools import reduce
-from operator import add, or_
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailvane.functions import fixed_values as V
-from mailvane.functions.text import fields, let
+from mailvane.functions.text import fields, let, string_array
 
 
 def _f32(x) -> Column:
     return (x if isinstance(x, Column) else F.lit(x)).cast("float")
 
 
-def contains_any(text: Column, phrases: Iterable[str]) -> Column:
-    return let(text, lambda t: reduce(or_, [F.contains(t, F.lit(p)) for p in phrases]))
+def contains_any(text: Column, phrases: list[str]) -> Column:
+    return let(text, lambda t: F.exists(string_array(phrases), lambda p: F.contains(t, p)))
 
 
-def first_contained(text: Column, phrases: Iterable[str]) -> Column:
+def first_contained(text: Column, phrases: list[str]) -> Column:
     """First phrase in list order that occurs in ``text``, else null."""
-    return let(text, lambda t: F.coalesce(*[F.when(F.contains(t, F.lit(p)), F.lit(p)) for p in phrases]))
+    return let(text, lambda t: F.get(F.filter(string_array(phrases), lambda p: F.contains(t, p)), F.lit(0)))
 
 
 def domains_differ(a: Column, b: Column) -> Column:
@@ -55,13 +51,13 @@ def typosquat_of(domain: Column) -> Column:
     floor = F.lit(V.TYPOSQUAT_MIN_SIMILARITY).cast("float")
     slack = 1 - V.TYPOSQUAT_MIN_SIMILARITY
 
-    def resembles(d: Column, brand: str) -> Column:
-        b = F.lit(brand)
-        longest = F.greatest(F.octet_length(d), F.lit(len(brand)))
-        possible = F.abs(F.char_length(d) - len(brand)) <= longest * slack
+    def resembles(d: Column, b: Column) -> Column:
+        longest = F.greatest(F.octet_length(d), F.octet_length(b))
+        possible = F.abs(F.char_length(d) - F.char_length(b)) <= longest * slack
         return (d != "") & (d != b) & possible & (_similarity(F.levenshtein(d, b), d, b) > floor)
 
-    return let(domain, lambda d: F.coalesce(*[F.when(resembles(d, b), F.lit(b)) for b in V.BRAND_DOMAINS]))
+    brands = string_array(V.BRAND_DOMAINS)
+    return let(domain, lambda d: F.get(F.filter(brands, lambda b: resembles(d, b)), F.lit(0)))
 
 
 def urgency_score(text: Column) -> Column:
@@ -71,7 +67,7 @@ def urgency_score(text: Column) -> Column:
     is_urgent = lambda w: F.btrim(w, F.lit(V.URGENCY_STRIP)).isin(single)
 
     def counts(t: Column) -> Column:
-        found = reduce(add, [F.contains(t, F.lit(p)).cast("int") for p in phrases])
+        found = F.size(F.filter(string_array(phrases), lambda p: F.contains(t, p)))
         return let(
             fields(t),
             lambda ws: F.struct(
@@ -120,30 +116,31 @@ def rule_columns(mails: DataFrame, *, headers: bool = True) -> DataFrame:
     )
 
 
-def _weights() -> list[tuple[Column, Column]]:
-    w = {k: F.lit(v).cast("float") for k, v in V.RISK_WEIGHTS.items()}
-    c = F.col
-    return [
-        (c("domain_mismatch"), w["reply_to_mismatch"]),
-        (c("return_path_mismatch"), w["return_path_mismatch"]),
-        (c("spf_fail"), w["spf"]),
-        (c("dkim_fail"), w["dkim"]),
-        (c("dmarc_fail"), w["dmarc"]),
-        (c("typosquat").isNotNull(), w["typosquat"]),
-        (c("urgency") > F.lit(V.URGENCY_SIGNAL_ABOVE).cast("float"), c("urgency") * w["urgency"]),
-        (c("credential_ask"), w["credential"]),
-        (c("financial_ask"), w["financial"]),
-        (c("suspicious_links"), w["links"]),
-        (c("malware").isNotNull(), w["malware"]),
-    ]
+# condition of every rule over RULE_COLUMNS, in evaluation order
+_FIRED = {
+    "reply_to_mismatch": "domain_mismatch",
+    "return_path_mismatch": "return_path_mismatch",
+    "spf": "spf_fail",
+    "dkim": "dkim_fail",
+    "dmarc": "dmarc_fail",
+    "typosquat": "typosquat IS NOT NULL",
+    "urgency": f"urgency > CAST({V.URGENCY_SIGNAL_ABOVE} AS FLOAT)",
+    "credential": "credential_ask",
+    "financial": "financial_ask",
+    "links": "suspicious_links",
+    "malware": "malware IS NOT NULL",
+}
 
 
 def risk_score() -> Column:
     """Sum of the weights of the rules that fired, at most one (over ``RULE_COLUMNS``)."""
-    total = _f32(0.0)
-    for fired, weight in _weights():
-        total = total + F.when(fired, weight).otherwise(_f32(0.0))
-    return F.least(total, _f32(1.0))
+    total = "CAST(0 AS FLOAT)"
+    for rule, fired in _FIRED.items():
+        weight = f"CAST({V.RISK_WEIGHTS[rule]} AS FLOAT)"
+        if rule == "urgency":
+            weight = f"urgency * {weight}"
+        total += f" + CASE WHEN {fired} THEN {weight} ELSE CAST(0 AS FLOAT) END"
+    return F.expr(f"least({total}, CAST(1 AS FLOAT))")
 
 
 def signals(*, headers: bool = True) -> Column:
@@ -169,8 +166,7 @@ def signals(*, headers: bool = True) -> Column:
         F.lit("Contains suspicious link patterns"),
         F.concat(F.lit("Malware indicator: contains '"), c("malware"), quote),
     ]
-    fired = [f for f, _ in _weights()]
-    return F.array_compact(F.array(*[F.when(f, t) for f, t in zip(fired, texts)]))
+    return F.array_compact(F.array(*[F.when(F.expr(f), t) for f, t in zip(_FIRED.values(), texts)]))
 
 
 def attack_subtype() -> Column:

@@ -20,6 +20,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def string_array(items: list[str]) -> Column:
+    """Constant array column, built in one call."""
+    return F.expr("array(" + ", ".join("r'" + i + "'" for i in items) + ")")
+
+
 def _non_empty(tokens: Column) -> Column:
     return F.filter(tokens, lambda t: t != "")
 

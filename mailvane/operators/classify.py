@@ -38,6 +38,7 @@ class Classifier:
     def __init__(
         self, corpus: DataFrame, *, k: int = V.VOTE_K, profile: str = "enhanced", method: str = "auto",
         index: ann.CellIndex | None = None, n_probe: int = 8, broadcast_bytes: int = knn.BROADCAST_BYTES,
+        dim: int = V.ENHANCED_DIM,
     ):
         if method == "auto":
             method = "ann" if index else "exact"
@@ -46,10 +47,13 @@ class Classifier:
         self.corpus, self.k, self.profile, self.index, self.n_probe = corpus, k, profile, index, n_probe
         self.broadcast_bytes = broadcast_bytes
         self._near = None
-        if method == "exact":
-            dim = knn.vector_dim(corpus, "embedding")
-            if dim is not None and knn.fits_broadcast(corpus, dim, broadcast_bytes):
-                self._near = knn.neighbours_udf(corpus, k, category="category")
+        if method == "exact" and knn.fits_broadcast(corpus, dim, broadcast_bytes):
+            self._near = knn.neighbours_udf(corpus, k, category="category")
+
+    @property
+    def in_place(self) -> bool:
+        """Whether scoring is a narrow projection (which a streaming plan can hold)."""
+        return self._near is not None
 
     def _neighbours(self, queries: DataFrame, id_col: str, text) -> DataFrame:
         vector = vectorize(text, self.profile)

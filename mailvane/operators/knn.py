@@ -267,16 +267,18 @@ def knn_join(
     category: str | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
     block_rows: int = BLOCK_ROWS,
+    dim: int | None = None,
 ) -> DataFrame:
     """k nearest corpus rows of every query, within each category if one is named.
 
     Result ``(qid, category, vec_id, distance, rank)``; ``category`` is null without one.
+    ``dim`` spares a look at the first vector.
     """
     k, metric = effective_k(k), metric_name(metric)
     q = queries.select(F.col(query_id).alias("qid"), F.col(query_vector).alias("qv"))
     cat = F.col(category).cast("string") if category else F.lit(None).cast("string")
     c = corpus.select(F.col(id_col).alias("id"), F.col(vector).alias("v"), cat.alias("c"))
-    dim = vector_dim(c, "v")
+    dim = dim or vector_dim(c, "v")
     if dim is None:
         empty = _candidate_schema(q.schema["qid"].dataType, c.schema["id"].dataType)
         return merge_top_k(queries.sparkSession.createDataFrame([], empty), k)

@@ -21,9 +21,8 @@ NAMED = list(P.NAMED_HEADERS)
 
 
 # --- loading ---------------------------------------------------------------
-def mail_lines(spark, sf_dir) -> DataFrame:
+def mail_lines_of(m: DataFrame) -> DataFrame:
     """Labelled mails as JSON lines, with comments, blanks and broken lines in between."""
-    m = mails(spark, sf_dir).where("category IS NOT NULL")
     kind = F.col("mail_id") % 9
     label = F.when(kind == 1, F.upper("category")).when(kind == 2, F.lit("unsure")).otherwise(F.col("category"))
     good = F.to_json(F.struct(label.alias("category"), "subject", "body"))
@@ -37,6 +36,10 @@ def mail_lines(spark, sf_dir) -> DataFrame:
     return m.select(line.alias("line"))
 
 
+def mail_lines(spark, sf_dir) -> DataFrame:
+    return mail_lines_of(mails(spark, sf_dir).where("category IS NOT NULL"))
+
+
 @query(
     "load_mail_jsonl",
     f"WITH {duck.MAILS} SELECT category, subject, body FROM mails WHERE category IS NOT NULL AND mail_id % 9 IN (0, 1, 7, 8)",

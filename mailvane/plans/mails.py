@@ -143,8 +143,12 @@ MAILS_SQL = (
 )
 
 
+HEAVY = {"documents", "embeddings", "events", "pages"}  # read by queries that work hard per row
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    scan = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(scan) if name in HEAVY else scan
 
 
 def mails_of(documents: DataFrame) -> DataFrame:
