@@ -103,7 +103,7 @@ def category_summary(classified: DataFrame, category: str = "category") -> DataF
 
 def evaluate(classified: DataFrame, expected: DataFrame, id_col: str = "mail_id") -> DataFrame:
     """Per-case result against ``expected(id, expected)``; UNKNOWN cases are skipped ones."""
-    joined = expected.select(id_col, "expected").join(classified, id_col)
+    joined = expected.select(id_col, "expected").join(classified.drop("expected"), id_col)
     return joined.withColumns(
         {
             "skipped": F.col("category") == "UNKNOWN",

@@ -207,30 +207,36 @@ def _best(t: pa.Table, k: int) -> pa.Table:
     return t.take(pa.array(back[position]))
 
 
-def block_join(queries: DataFrame, corpus: DataFrame, k: int, metric: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Candidates from blocks that share a cell.
+def block_join(
+    queries: DataFrame, corpus: DataFrame, k: int, metric: str, block_rows: int = BLOCK_ROWS, *, cells: bool = True
+) -> DataFrame:
+    """Candidates from all pairs of blocks of the two sides.
 
-    ``queries`` is ``(qid, qv, cell)`` with one row per probed cell, ``corpus`` is
-    ``(id, v, c, cell)``.  A cell larger than ``block_rows`` is split by a hash of the
-    id, on either side, so no task sees more than about one block of each, however
-    the rows spread over the cells.
+    ``queries`` is ``(qid, qv)``, ``corpus`` is ``(id, v, c)``.  With ``cells`` both
+    have a column ``cell`` as well (queries one row per probed cell) and only blocks of
+    the same cell meet.  Blocks hold about ``block_rows`` rows, split by a hash of the
+    id, so no task sees more than about one block of each side, however the rows
+    spread over the cells.
     """
     out = _candidate_schema(queries.schema["qid"].dataType, corpus.schema["id"].dataType)
-    parts = lambda n: F.ceil(F.col(n) / F.lit(float(block_rows))).cast("int")
-    # one row per cell; cells are a bounded set (one, or the centroids of an index)
-    sizes = (
-        corpus.groupBy("cell").agg(F.count(F.lit(1)).alias("cn"))
-        .join(queries.groupBy("cell").agg(F.count(F.lit(1)).alias("qn")), "cell")
-        .select("cell", parts("cn").alias("c_parts"), parts("qn").alias("q_parts"))
-    )
+    if cells:
+        # one row per cell, at most MAX_CELLS.  Broadcast, because a shuffle by cell would
+        # bring the rows of a large cell together before they are split
+        parts = lambda n: F.ceil(F.col(n) / F.lit(float(block_rows))).cast("int")
+        sizes = (
+            corpus.groupBy("cell").agg(F.count(F.lit(1)).alias("cn"))
+            .join(queries.groupBy("cell").agg(F.count(F.lit(1)).alias("qn")), "cell")
+            .select("cell", parts("cn").alias("c_parts"), parts("qn").alias("q_parts"))
+        )
+        queries, corpus = queries.join(F.broadcast(sizes), "cell"), corpus.join(F.broadcast(sizes), "cell")
+    else:
+        parts_of = lambda df: F.lit(max(1, math.ceil(df.count() / block_rows)))
+        whole = {"cell": F.lit(0), "c_parts": parts_of(corpus), "q_parts": parts_of(queries)}
+        queries, corpus = queries.withColumns(whole), corpus.withColumns(whole)
     split = lambda col, n: F.pmod(F.xxhash64(col), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    q = queries.join(sizes, "cell").select(
-        "qid", "qv", "cell", split("qid", "q_parts").alias("qb"), every("c_parts").alias("cb")
-    )
-    c = corpus.join(sizes, "cell").select(
-        "id", "v", "c", "cell", split("id", "c_parts").alias("cb"), every("q_parts").alias("qb")
-    )
+    q = queries.select("qid", "qv", "cell", split("qid", "q_parts").alias("qb"), every("c_parts").alias("cb"))
+    c = corpus.select("id", "v", "c", "cell", split("id", "c_parts").alias("cb"), every("q_parts").alias("qb"))
     keys = ["cell", "qb", "cb"]
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -292,8 +298,7 @@ def knn_join(
         )
     if fits_broadcast(q, dim, broadcast_bytes):
         return merge_top_k(_query_broadcast(q, c, k, metric), k)
-    one = F.lit(0)
-    return merge_top_k(block_join(q.withColumn("cell", one), c.withColumn("cell", one), k, metric, block_rows), k)
+    return merge_top_k(block_join(q, c, k, metric, block_rows, cells=False), k)
 
 
 def knn_similarity(queries: DataFrame, corpus: DataFrame, k: int = 0, **kwargs) -> DataFrame:
