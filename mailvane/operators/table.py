@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,22 +18,29 @@ def validate_dim(table: DataFrame, dim: int, vector: str = "embedding") -> tuple
     return table.where(ok), table.where(~ok)
 
 
-def dense_rank_ids(rows: DataFrame, order: str, start: Column, out: str, buckets: int | None = None) -> DataFrame:
-    """Number rows ``start, start+1, ...`` in the order of a unique numeric column.
+MAX_RANGES = 4096
+RANGE_ROWS = 250_000
+
+
+def dense_rank_ids(rows: DataFrame, order: str, start: Column, out: str, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Number rows ``start, start+1, ...`` in the order of a numeric column without repeats.
 
-    Rows fall into value ranges of about equal size; counts per range give each
-    range its first number, and rows are ranked within their range.  A number
-    depends on the data alone, so a task that is run again gives the same one, and
-    no task sees more than one range.
+    Rows fall into value ranges of about ``range_rows`` rows; counts per range give each
+    range its first number, and rows are ranked within their range.  A number depends
+    on the data alone, so a task that is run again gives the same one, and no task sees
+    more than one range at a time.
     """
-    n = buckets or max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cuts = F.percentile_approx(F.col(order).cast("double"), [i / n for i in range(1, n)], 10000)
-    bounds = rows.agg(cuts.alias("m")).first()["m"] or [0.0]
-    splits = [float("-inf"), *sorted(set(bounds)), float("inf")]
+    ranges = min(MAX_RANGES, max(1, math.ceil(rows.count() / range_rows)))
+    bounds = []
+    if ranges > 1:
+        shares = ", ".join(f"{i / ranges}D" for i in range(1, ranges))
+        cuts = F.expr(f"percentile_approx(CAST(`{order}` AS DOUBLE), array({shares}), {10 * MAX_RANGES})")
+        bounds = rows.agg(cuts.alias("bounds")).first()["bounds"]
+    splits = [float("-inf"), *(sorted(set(bounds)) or [0.0]), float("inf")]
     value = rows.withColumn("_value", F.col(order).cast("double"))
     placed = Bucketizer(splits=splits, inputCol="_value", outputCol="_range").transform(value).drop("_value")
     counts = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over at most n rows
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over at most MAX_RANGES rows
     first = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
     within = F.row_number().over(Window.partitionBy("_range").orderBy(order))
     return (

@@ -84,14 +84,17 @@ def boosted_unigrams(docs: DataFrame, id_col: str, tokens: Column) -> DataFrame:
 
 def enhanced_features(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
     """Weight of every feature of the enhanced profile, features named by the hex of their bytes."""
-    boost = F.create_map(*[F.lit(x) for kv in sorted(BOOSTS.items()) for x in kv])
+
+    def boost(word: Column) -> Column:
+        weight = F.lit(1.0)
+        for value in sorted(set(BOOSTS.values())):
+            weight = F.when(word.isin([w for w, b in BOOSTS.items() if b == value]), value).otherwise(weight)
+        return weight
 
     def weighted(tokens: Column, base: float) -> Column:
         item = lambda f, w: F.struct(f.alias("feature"), w.alias("weight"))
         return F.concat(
-            F.transform(
-                tokens, lambda t: item(X.utf8_hex(t), F.coalesce(F.try_element_at(boost, t), F.lit(1.0)) * base)
-            ),
+            F.transform(tokens, lambda t: item(X.utf8_hex(t), boost(t) * base)),
             F.transform(X.bigrams(tokens), lambda t: item(X.utf8_hex(t), F.lit(V.BIGRAM_WEIGHT * base))),
             F.transform(X.byte_trigrams_hex(tokens), lambda t: item(t, F.lit(V.TRIGRAM_WEIGHT * base))),
         )
@@ -124,8 +127,13 @@ def hash_collisions(vocab: DataFrame) -> DataFrame:
 
 
 def collision_words(vocab: DataFrame) -> DataFrame:
-    """The words of colliding buckets, one row each."""
-    return vocab.join(hash_collisions(vocab).select("bucket"), "bucket", "left_semi").select("bucket", "word", "hash")
+    """The words of colliding buckets, one row each.
+
+    There are at most as many buckets as dimensions, so they are broadcast: a shuffle
+    by bucket would give each task a whole share of the vocabulary.
+    """
+    crowded = F.broadcast(hash_collisions(vocab).select("bucket"))
+    return vocab.join(crowded, "bucket", "left_semi").select("bucket", "word", "hash")
 
 
 def profile_diff(docs: DataFrame, id_col: str, text: Column, left: str = "basic", right: str = "enhanced") -> DataFrame:

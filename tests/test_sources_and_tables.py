@@ -106,7 +106,9 @@ def test_append_ids_are_dense_and_repeatable(spark):
     for n in (1, 6):
         ids = tb.append_ids(table, incoming.repartition(n).select("line", "embedding"), "line").select("vec_id")
         assert sorted(r[0] for r in ids.collect()) == list(range(1, 2006))
-    numbered = tb.dense_rank_ids(incoming.repartition(5), "line", F.lit(6), "new").select("line", "new").collect()
+    ranked = tb.dense_rank_ids(incoming.repartition(5), "line", F.lit(6), "new", range_rows=300)
+    numbered = ranked.select("line", "new").collect()
+    assert len(numbered) == 2000
     assert all(r["line"] == (r["new"] - 6 + 1000) * 7 - 3 for r in numbered)
     assert tb.append_ids(table, incoming.where("line < 0"), "line").count() == 5
 
