@@ -16,6 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from mailvane.functions import fixed_values as V
+from mailvane.shipping import ship_package
 
 _MASK = 0xFFFFFFFF
 
@@ -173,6 +174,7 @@ def hash_vectors(
     signed: bool = True,
 ) -> Column:
     """L2-normalised hashed feature vector of one or more weighted token lists."""
+    ship_package()
     weights = [w for _, w in passes]
     table = dict(boosts or {})
     if signed and dim % 2:

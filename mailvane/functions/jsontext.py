@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from mailvane.functions import fixed_values as V
+from mailvane.shipping import ship_package
 
 
 def strict_variant(line: Column) -> Column:
@@ -84,6 +85,8 @@ def json_text(value: Column) -> Column:
     nor a map keeps it for nested values, hence an Arrow-batched function.
     """
 
+    ship_package()
+
     @F.arrow_udf("string")
     def flatten(texts: pa.Array) -> pa.Array:
         return pa.array([_flatten(t) for t in texts.to_pylist()], pa.string())

@@ -19,6 +19,7 @@ from mailvane.functions.fixed_values import COSINE_EPS
 from mailvane.functions.vectors import metric_name, normalize
 from mailvane.operators.kernels import matrix, sort_key
 from mailvane.operators.knn import BLOCK_ROWS, block_join, effective_k, merge_top_k
+from mailvane.shipping import ship_package
 
 MAX_CELLS = 1 << 16
 
@@ -85,6 +86,7 @@ def _cell_keys(q: np.ndarray, index: CellIndex) -> np.ndarray:
 
 def nearest_cells(index: CellIndex, vector: Column, n_probe: int = 1) -> Column:
     """Numbers of the ``n_probe`` nearest cells, nearest first; ties to the lower number."""
+    ship_package()
     spark = SparkSession.getActiveSession()
     shared = spark.sparkContext.broadcast(index)
     n_probe = max(1, min(n_probe, index.n_cells))

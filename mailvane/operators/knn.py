@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 from mailvane.functions import fixed_values as V
 from mailvane.functions.vectors import check_dim, distance, metric_name
 from mailvane.operators.kernels import KEY_SCALE, Block, matrix, sort_key
+from mailvane.shipping import ship_package
 
 BROADCAST_BYTES = 64 << 20
 BLOCK_ROWS = 16384
@@ -95,6 +96,7 @@ def neighbours_udf(
     For a corpus that passed ``fits_broadcast``.  The query rows keep all their other
     columns and stay where they are, so scoring needs no join back.
     """
+    ship_package()
     spark, k = corpus.sparkSession, effective_k(k)
     out_type = neighbour_type(corpus.schema[id_col].dataType)
     shared = spark.sparkContext.broadcast(collect_block(corpus, id_col, vector, category, metric, k))
@@ -159,6 +161,7 @@ def merge_top_k(candidates: DataFrame, k: int) -> DataFrame:
 
 
 def _query_broadcast(queries: DataFrame, corpus: DataFrame, k: int, metric: str) -> DataFrame:
+    ship_package()
     spark = queries.sparkSession
     t = queries.toArrow().combine_chunks()
     shared = spark.sparkContext.broadcast((t["qid"].combine_chunks(), matrix(t["qv"])))
@@ -218,6 +221,7 @@ def block_join(
     id, so no task sees more than about one block of each side, however the rows
     spread over the cells.
     """
+    ship_package()
     out = _candidate_schema(queries.schema["qid"].dataType, corpus.schema["id"].dataType)
     if cells:
         # one row per cell, at most MAX_CELLS.  Broadcast, because a shuffle by cell would
