@@ -1,8 +1,9 @@
 """Secret scans: character Markov models by log-likelihood ratio, beside three plain patterns.
 
 Two first-order models over characters are trained on all documents: one on the labelled
-secrets (values of the patterns), one on ordinary identifiers (all other tokens of the
-same shape).  A token whose mean log ratio per step is high enough is a secret, too.
+secrets (values of the patterns), one on ordinary identifiers (other tokens of the same
+shape that are words or numbers, not both mixed; a mixed one is left unlabelled, as it
+may be a secret).  A token whose mean log ratio per step is high enough is a secret, too.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ _MAYBE_ASSIGN = re.compile(rf"(?:{_KEYWORD})[\"']?\x20*[:=]")
 #: Tokens the models are about: as long as a key, and of a key's characters.
 LEAST_TOKEN = 16
 TOKEN = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LEAST_TOKEN},}}(?![A-Za-z0-9+/_=-])")
+#: Letters and digits side by side.
+_MIXED = re.compile(r"[A-Za-z][0-9]|[0-9][A-Za-z]")
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SYMBOLS = len(_ALPHABET) + 1  # the last stands for a token's edge
 _CODE = np.full(128, SYMBOLS - 1, dtype=np.int64)
@@ -74,7 +77,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 value = ASSIGN.match(text, start).group(2) if kind == 0 else text[start:end]
                 counts[1] += np.bincount(_steps(re.sub(r"[^A-Za-z0-9+/_=-]", "", value)), minlength=SYMBOLS**2)
             for m in TOKEN.finditer(text):
-                if not _inside(spans, m.start(), m.end()):
+                if not _MIXED.search(m.group()) and not _inside(spans, m.start(), m.end()):
                     counts[0] += np.bincount(_steps(m.group()), minlength=SYMBOLS**2)
     label, step = np.nonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(label.astype(np.int32)), pa.array(step.astype(np.int32)), pa.array(counts[label, step])], ["label", "step", "n"])
