@@ -4,11 +4,12 @@
    keys; all samples together are folded into a parity bitmap, the odd sketch.  The bits
    in which two sketches differ estimate how far two sets differ, most precisely where
    they are much alike.
-2. Equal sets are one class.  In each band bucket two central classes (the ones with most
-   company over all their buckets, and the smallest) are paired with the others.
+2. Equal sets are one class.  The class with most company over all its buckets is the
+   centre of a bucket; each class is paired with the most central of its buckets' centres.
 3. Pairs whose sketches differ too much are dropped; the rest is confirmed on full sets.
 4. Buckets that still hold several components have their remaining pairs compared by
-   sketch, block against block inside a task; only likely pairs leave it and are confirmed.
+   sketch, block against block inside a task; only likely pairs leave it, from the first
+   bucket that they share, and are confirmed.
 5. Components are found over the confirmed links.
 """
 
@@ -31,10 +32,10 @@ SHINGLE_WORDS = 5
 #: A pair of similarity 0.75 misses every one of 40 bands of 5 with probability 2e-5.
 BANDS, BAND_ROWS = 40, 5
 #: All samples go into the sketch, those beyond the bands as well.
-SAMPLES = 320
-SKETCH_BITS = 1024
+SAMPLES = 640
+SKETCH_BITS = 2048
 #: Sketches may make a pair look this many standard errors less alike than it is.
-STANDARD_ERRORS = 4.5
+STANDARD_ERRORS = 4
 BLOCK = 1024
 
 _XOR = mix(np.arange(1, SAMPLES + 1, dtype=U64)).astype(np.uint32)[:, None]
@@ -134,6 +135,7 @@ def _likely(limit: int):
             ids, comp = rows["id"].to_numpy(), rows["component"].to_numpy()
             side = rows["side"].to_numpy()
             sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), dtype=U64).reshape(len(ids), -1)
+            bucket, bands = rows["bucket"].to_numpy(), rows["bands"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
             out_u, out_v = [], []
             if len(key):
                 ends = np.searchsorted(key, key, "right") if np.all(key[1:] >= key[:-1]) else _ends(key)
@@ -148,6 +150,9 @@ def _likely(limit: int):
                     a, b = here[due], there[due]
                     if len(a):
                         near = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1) <= limit
+                        a, b = a[near], b[near]
+                        shared = (bands[a] == bands[b]).argmax(axis=1)
+                        near = bands[a, shared] == bucket[a]
                         out_u.append(np.minimum(ids[a[near]], ids[b[near]]))
                         out_v.append(np.maximum(ids[a[near]], ids[b[near]]))
                     step += 1
@@ -205,13 +210,13 @@ def near_duplicate_groups(docs: DataFrame, percent: int = 75, id_col: str = "doc
     members = durable(banded.join(shared.select("key", "n"), "key").distinct())
 
     company = members.groupBy("id").agg(F.sum("n").alias("company"))
-    central = members.join(company, "id").groupBy("key").agg(F.max(F.struct("company", (-F.col("id")).alias("least"))).alias("c"), F.min("id").alias("low"))
-    pivots = central.select("key", F.explode(F.array_distinct(F.array(-F.col("c.least"), F.col("low")))).alias("pivot"))
-    starred = members.join(pivots, "key").filter("id <> pivot").select(F.col("pivot").alias("u"), F.col("id").alias("v")).distinct()
+    hub = F.struct("company", (-F.col("id")).alias("least"))
+    centres = members.join(company, "id").groupBy("key").agg(F.max(hub).alias("hub"))
+    nearest = members.join(centres, "key").groupBy("id").agg(F.max("hub").alias("hub"))
+    starred = nearest.select((-F.col("hub.least")).alias("u"), F.col("id").alias("v")).filter("u <> v")
 
     limit = most_differing_bits(percent / 100)
-    sketches = apart.join(members.select("id").distinct(), "id", "left_semi").select("id", "sketch")
-    sketches = durable(sketches)
+    sketches = durable(apart.join(members.select("id").distinct(), "id", "left_semi"))
     likely = (
         starred.join(sketches.select(F.col("id").alias("u"), F.col("sketch").alias("sketch_u")), "u")
         .join(sketches.select(F.col("id").alias("v"), F.col("sketch").alias("sketch_v")), "v")
@@ -237,9 +242,11 @@ def near_duplicate_groups(docs: DataFrame, percent: int = 75, id_col: str = "doc
     met = met.select(
         F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).alias("key"),
         F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int")).alias("side"),
+        F.col("key").alias("bucket"),
         "id",
         "component",
         "sketch",
+        "bands",
     )
     more = met.repartition("key").sortWithinPartitions("key").mapInArrow(_likely(limit), "u long, v long").distinct()
     tried = likely.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
