@@ -8,7 +8,9 @@ group, so no task sees more than its share; a group leaves one open sequence at
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,43 +26,69 @@ CAPACITY = 2048
 END_ID = 0
 #: Pieces in a group, about; each is a few bytes.
 GROUP_PIECES = 20_000
-#: Words whose ids a worker remembers; beyond it memory starts anew.
-REMEMBERED = 400_000
+#: Words, and parts of words, whose ids a worker remembers; beyond it memory starts anew.
+REMEMBERED = 1_000_000
 
 _END = END_ID.to_bytes(4, "little")
 
 
+#: Letters that are lower case and composed already, then punctuation: one or two tokens' worth
+#: for the tokenizer, whatever stands around.
+_PLAIN = re.compile(rb"((?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])*)([!\"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}~]*)")
+
+
+def _byte_characters() -> dict[int, str]:
+    """The characters by which a byte-level vocabulary writes bytes: printable ones as they are, others from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class _Remembered(dict):
+    """Ids by word, found by ``learn`` the first time."""
+
+    def __init__(self, learn):
+        self.learn = learn
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        ids = self[word] = self.learn(word)
+        return ids
+
+
 class WordIds:
     """Token ids of texts, as little-endian unsigned 32-bit numbers, word by word.
 
     The tokenizer never joins across ASCII white space, so a text's ids are those of its
     words one after the other.  ASCII capitals are folded first, as the tokenizer does
     itself; a text with ``<|``, which may hold a special token, is left to it whole.
+    Words of plain letters and punctuation go straight to its model, part by part.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def _learn(self, words: list[bytes]) -> None:
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known.clear()
-        done = self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
-        self.known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(words, done))
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        split = [None if "<|" in t else t.encode().lower().split() for t in texts]
-        known = self.known
-        missing = {w for words in split if words for w in words if w not in known}
-        if missing:
-            # clearing may drop words that this batch needs as well
-            if len(known) + len(missing) > REMEMBERED:
-                missing = {w for words in split if words for w in words}
-            self._learn(list(missing))
-        plain = lambda t: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return [plain(t) if words is None else b"".join([known[w] for w in words]) for t, words in zip(texts, split)]
+        self.model, self.characters = self.tokenizer.model, _byte_characters()
+        self.words, self.parts = _Remembered(self._word), _Remembered(self._part)
+
+    def _part(self, part: bytes) -> bytes:
+        tokens = self.model.tokenize(part.decode("latin-1").translate(self.characters)) if part else []
+        return array("I", [t.id for t in tokens]).tobytes()
+
+    def _word(self, word: bytes) -> bytes:
+        plain = _PLAIN.fullmatch(word)
+        return self.parts[plain[1]] + self.parts[plain[2]] if plain else self._whole(word.decode())
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def ids(self, text: str) -> bytes:
+        if "<|" in text:
+            return self._whole(text)
+        known = self.words
+        return b"".join([known[w] for w in text.encode().lower().split()])
 
 
 def _pieces(path: str | None, capacity: int):
@@ -77,10 +105,9 @@ def _pieces(path: str | None, capacity: int):
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                texts = [t or "" for t in batch.column(1).to_pylist()]
                 rows: list[tuple] = []
-                for i, ids in enumerate(words.batch(texts)):
-                    ids += _END
+                for i, text in enumerate(batch.column(1).to_pylist()):
+                    ids = words.ids(text or "") + _END
                     for k, start in enumerate(range(0, len(ids) // 4, capacity)):
                         part = ids[4 * start : 4 * (start + capacity)]
                         rows.append((i, k, start, len(part) // 4, zlib.crc32(part)))
