@@ -32,8 +32,8 @@ SHINGLE_WORDS = 5
 #: A pair of similarity 0.75 misses every one of 40 bands of 5 with probability 2e-5.
 BANDS, BAND_ROWS = 40, 5
 #: All samples go into the sketch, those beyond the bands as well.
-SAMPLES = 640
-SKETCH_BITS = 2048
+SAMPLES = 1280
+SKETCH_BITS = 4096
 #: Sketches may make a pair look this many standard errors less alike than it is.
 STANDARD_ERRORS = 4
 BLOCK = 1024
