@@ -118,8 +118,6 @@ DEFAULT_TOP_K = 10
 MIN_SECOND_SCORE = 0.0001
 
 # --- vector tables ---------------------------------------------------------
-MAX_DIM = 4096
-METADATA_MAX_BYTES = 1023
 COSINE_EPS = 1e-30
 SIMILARITY_EPS = 1e-9
 

@@ -17,7 +17,7 @@ def strict_variant(line: Column) -> Column:
 
     Spark's parser stops after the first value; wrapping the text as the first of
     two array items makes any trailing text break the array or change its length.
-    An object that repeats a key counts as invalid.
+    An object that repeats a key counts as invalid (see :func:`object_members`).
     """
     items = F.try_variant_get(
         F.try_parse_json(F.concat(F.lit("["), line, F.lit(",0]"))), "$", "array<variant>"
@@ -33,10 +33,25 @@ def is_number(v: Column) -> Column:
     return variant_type(v).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
 
 
-def cap_bytes(text: Column, limit: int = V.METADATA_MAX_BYTES) -> Column:
-    """Longest prefix of whole characters within ``limit`` bytes (a storage limit of metadata)."""
-    cut = F.make_valid_utf8(F.substring(F.encode(text, "UTF-8"), 1, limit).cast("string"))
-    return F.when(F.octet_length(text) <= limit, text).otherwise(F.rtrim(cut, F.lit("�")))
+def object_members(line: Column) -> Column:
+    """Members of a text that is exactly one JSON object, as ``map<string,variant>``, else null.
+
+    Repeated keys are all there, in order; looking one up finds the first.  An object that
+    repeats keys deeper down is read member by member, and a member that still has no
+    variant form is held as its text.
+    """
+    whole = F.concat(F.lit("["), line, F.lit(",{}]"))
+    options = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+    read = lambda kind: F.from_json(whole, f"array<map<string,{kind}>>", options)
+    only = lambda items: F.when(F.size(items) == 2, F.get(items, F.lit(0)))
+    text_of = lambda _, v: F.coalesce(F.try_parse_json(v), v.cast("variant"))
+    return F.coalesce(only(read("variant")), F.transform_values(only(read("string")), text_of))
+
+
+def last_member(members: Column, name: str) -> Column:
+    """The last value of a key that is not null, upper and lower case alike."""
+    same = F.filter(F.map_entries(members), lambda e: (F.lower(e["key"]) == name) & (variant_type(e["value"]) != "VOID"))
+    return F.try_element_at(same, F.lit(-1))["value"]
 
 
 def number_g6(x: Column) -> Column:

@@ -11,17 +11,22 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailvane.functions.fixed_values import COSINE_EPS
 from mailvane.functions.vectors import metric_name, normalize
 from mailvane.operators.kernels import matrix, sort_key
-from mailvane.operators.knn import BLOCK_ROWS, block_join, effective_k, merge_top_k
+from mailvane.operators.knn import BLOCK_ROWS, block_join, effective_k, merge_top_k, numbered
 from mailvane.shipping import ship_package
+from mailvane.sources.tables import written
 
-MAX_CELLS = 1 << 16
+#: Centroids are held by every task; an index whose centroids take more is refused.
+CENTROID_BYTES = 256 << 20
+#: Rows that a cell should hold: as many as there are cells, within these bounds.
+LEAST_CELL_ROWS, MOST_CELL_ROWS = 64, 16_384
 
 
 @dataclass(frozen=True)
@@ -32,42 +37,37 @@ class CellIndex:
     metric: str
 
     def __post_init__(self):
-        if not 1 <= len(self.centroids) <= MAX_CELLS:
-            raise ValueError(f"an index has 1..{MAX_CELLS} cells")
+        if not len(self.centroids):
+            raise ValueError("an index has at least one cell")
+        if self.centroids.nbytes > CENTROID_BYTES:
+            raise ValueError(f"centroids of {self.centroids.nbytes} bytes; at most {CENTROID_BYTES} can be held by every task")
 
     @property
     def n_cells(self) -> int:
         return len(self.centroids)
 
 
+def cells_for(rows: int) -> int:
+    """Number of cells for a corpus: the square root of its rows, cells of bounded size."""
+    return max(1, min(rows // LEAST_CELL_ROWS, max(round(rows**0.5), rows // MOST_CELL_ROWS)))
+
+
 def build_index(
-    corpus: DataFrame, n_cells: int, *, metric: str = "cosine", vector: str = "embedding", train_rows: int = 200_000,
-    seed: int = 7,
+    corpus: DataFrame, n_cells: int | None = None, *, metric: str = "cosine", vector: str = "embedding", seed: int = 7
 ) -> CellIndex:
-    """Train centroids by k-means on a sample of about ``train_rows`` rows (all, if fewer)."""
+    """Train centroids by k-means on all rows; ``n_cells`` follows from their number if not given."""
     metric = metric_name(metric)
     v = normalize(F.col(vector)) if metric == "cosine" else F.col(vector).cast("array<double>")
-    rows = corpus.select(v.alias("v"))
+    train = corpus.select(array_to_vector(v).alias("features"))
     n = corpus.count()
-    if n > train_rows:
-        rows = rows.sample(fraction=train_rows / n, seed=seed)
-    train = rows.select(array_to_vector("v").alias("features"))
-    model = KMeans(k=min(n_cells, max(n, 1)), seed=seed, maxIter=10).fit(train)
+    model = KMeans(k=min(n_cells or cells_for(n), max(n, 1)), seed=seed, maxIter=10).fit(train)
     return CellIndex(np.array(model.clusterCenters()), metric)
 
 
 def class_mean_index(corpus: DataFrame, category: str, *, metric: str = "cosine", vector: str = "embedding"):
-    """Index with one cell per category, at the mean of its vectors (categories: a bounded set)."""
-    means = (
-        corpus.select(category, F.posexplode(vector).alias("pos", "x"))
-        .groupBy(category, "pos")
-        .agg(F.avg(F.col("x").cast("double")).alias("x"))
-        .groupBy(category)
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("m"))  # one item per dimension
-        .select(category, F.transform("m", lambda e: e["x"]).alias("m"))
-    )
-    if means.limit(MAX_CELLS + 1).count() > MAX_CELLS:
-        raise ValueError("too many categories for one cell each")
+    """Index with one cell per category, at the mean of its vectors; vectors are summed before the shuffle."""
+    means = corpus.groupBy(category).agg(Summarizer.mean(array_to_vector(F.col(vector).cast("array<double>"))).alias("m"))
+    means = means.select(category, vector_to_array("m").alias("m"))
     rows = means.orderBy(category).collect()
     return CellIndex(np.array([r["m"] for r in rows]), metric_name(metric))
 
@@ -111,10 +111,15 @@ def nearest_cells(index: CellIndex, vector: Column, n_probe: int = 1) -> Column:
 
 
 def assign(index: CellIndex, corpus: DataFrame, vector: str = "embedding") -> DataFrame:
-    """Corpus with its ``cell``; write it partitioned by cell to search it repeatedly."""
+    """Corpus with its ``cell``; write it (see :func:`filed`) to search it repeatedly."""
     return corpus.withColumn("cell", F.get(nearest_cells(index, F.col(vector), 1), F.lit(0)))
 
 
+def filed(index: CellIndex, corpus: DataFrame, vector: str = "embedding") -> DataFrame:
+    """``assign`` written once, so that sizing and searching cells read what has been computed."""
+    return written(assign(index, corpus, vector))
+
+
 def search(
     index: CellIndex, queries: DataFrame, corpus: DataFrame, k: int = 0, *, n_probe: int = 8, query_id: str = "qid",
     query_vector: str = "embedding", id_col: str = "vec_id", vector: str = "embedding", category: str | None = None,
@@ -126,10 +131,11 @@ def search(
     are split into blocks, so they become more tasks and not longer ones.
     """
     k = effective_k(k)
-    filed = corpus if "cell" in corpus.columns else assign(index, corpus, vector)
+    rows = corpus if "cell" in corpus.columns else filed(index, corpus, vector)
     cat = F.col(category).cast("string") if category else F.lit(None).cast("string")
-    c = filed.select(F.col(id_col).alias("id"), F.col(vector).alias("v"), cat.alias("c"), "cell")
-    q = queries.select(
+    c = rows.select(F.col(id_col).alias("id"), F.col(vector).alias("v"), cat.alias("c"), "cell")
+    q = numbered(queries).select(
+        "qrow",
         F.col(query_id).alias("qid"),
         F.col(query_vector).alias("qv"),
         F.explode_outer(nearest_cells(index, F.col(query_vector), n_probe)).alias("cell"),
@@ -151,5 +157,5 @@ def save_index(spark: SparkSession, index: CellIndex, path: str) -> None:
 
 
 def load_index(spark: SparkSession, path: str) -> CellIndex:
-    rows = spark.read.parquet(path).orderBy("cell").limit(MAX_CELLS + 1).collect()
+    rows = spark.read.parquet(path).orderBy("cell").collect()  # checked against CENTROID_BYTES when built
     return CellIndex(np.array([r["centroid"] for r in rows]), rows[0]["metric"])

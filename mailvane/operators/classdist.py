@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailvane.functions.vectors import normalize
+from mailvane.functions.vectors import dot, normalize
 
 
 def class_distances(vectors: DataFrame, label: str = "label", vector: str = "embedding") -> DataFrame:
@@ -17,13 +19,12 @@ def class_distances(vectors: DataFrame, label: str = "label", vector: str = "emb
     product.
     """
     unit = vectors.select(label, normalize(F.col(vector)).alias("u"))
-    # map-side sums first: a class that holds most rows sends one row per dimension and task
-    sums = (
-        unit.select(label, F.posexplode("u").alias("pos", "x"))
-        .groupBy(label, "pos")
-        .agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("sq"), F.count(F.lit(1)).alias("n"))
+    # vectors are summed as wholes before the shuffle: a task sends one row per class
+    summed = unit.groupBy(label).agg(
+        Summarizer.sum(array_to_vector("u")).alias("s"), F.sum(dot(F.col("u"), F.col("u"))).alias("own"), F.count(F.lit(1)).alias("n")
     )
-    a = sums.select(F.col(label).alias("label_a"), "pos", F.col("s").alias("sa"), "sq", F.col("n").alias("na"))
+    sums = summed.select(label, F.posexplode(vector_to_array("s")).alias("pos", "s"), "own", "n")
+    a = sums.select(F.col(label).alias("label_a"), "pos", F.col("s").alias("sa"), "own", F.col("n").alias("na"))
     b = sums.select(F.col(label).alias("label_b"), "pos", F.col("s").alias("sb"), F.col("n").alias("nb"))
     products = (
         a.join(b, "pos")
@@ -31,7 +32,7 @@ def class_distances(vectors: DataFrame, label: str = "label", vector: str = "emb
         .groupBy("label_a", "label_b")
         .agg(
             F.sum(F.col("sa") * F.col("sb")).alias("dots"),
-            F.sum("sq").alias("own"),
+            F.max("own").alias("own"),
             F.max("na").alias("na"),
             F.max("nb").alias("nb"),
         )

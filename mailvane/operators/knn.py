@@ -10,6 +10,7 @@ Three plans, chosen by counted sizes; all give the same rows:
   blocks meets in one task, and the k best per query and block are merged.
 
 No plan builds row pairs; ties on the distance (nine decimals) go to the smaller id.
+Every query row has its own neighbours, also where an id repeats.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import types as T
 
 from mailvane.functions import fixed_values as V
 from mailvane.functions.vectors import check_dim, distance, metric_name
-from mailvane.operators.kernels import KEY_SCALE, Block, matrix, sort_key
+from mailvane.operators.kernels import KEY_SCALE, Block, matrix, sort_key, top_k
 from mailvane.shipping import ship_package
 
 BROADCAST_BYTES = 64 << 20
@@ -124,6 +125,7 @@ def neighbours_udf(
 def _candidate_schema(query_type: T.DataType, id_type: T.DataType) -> T.StructType:
     return T.StructType(
         [
+            T.StructField("qrow", T.LongType()),
             T.StructField("qid", query_type),
             T.StructField("category", T.StringType()),
             T.StructField("vec_id", id_type),
@@ -133,10 +135,16 @@ def _candidate_schema(query_type: T.DataType, id_type: T.DataType) -> T.StructTy
     )
 
 
-def _candidates(block: Block, qids: pa.Array, queries: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
+def numbered(queries: DataFrame) -> DataFrame:
+    """Queries with ``qrow``, a number for each row."""
+    return queries.withColumn("qrow", F.monotonically_increasing_id())
+
+
+def _candidates(block: Block, qrows: pa.Array, qids: pa.Array, queries: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
     r, c, d, _ = block.search(queries)
     names = pa.array([None, *block.names], pa.string())
     columns = [
+        qrows.take(pa.array(r)),
         qids.take(pa.array(r)),
         names.take(pa.array(block.code[c] + 1)),
         block.ids.take(pa.array(c)),
@@ -147,14 +155,13 @@ def _candidates(block: Block, qids: pa.Array, queries: np.ndarray, schema: pa.Sc
 
 
 def merge_top_k(candidates: DataFrame, k: int) -> DataFrame:
-    """Final k nearest per query and category out of per-block bests.
+    """Final k nearest per query row and category out of per-block bests.
 
-    Rows are hashed by query alone, so a vote per query needs no second shuffle.
+    Spark cuts each task's rows to k per group before the shuffle.
     """
-    w = Window.partitionBy("qid", "category").orderBy("dkey", "vec_id")
+    w = Window.partitionBy("qrow", "category").orderBy("dkey", "vec_id")
     return (
-        candidates.repartition("qid")
-        .withColumn("rank", F.row_number().over(w))
+        candidates.withColumn("rank", F.row_number().over(w))
         .where(F.col("rank") <= k)
         .select("qid", "category", "vec_id", "distance", "rank")
     )
@@ -186,13 +193,14 @@ def _query_broadcast(queries: DataFrame, corpus: DataFrame, k: int, metric: str)
         if best is not None and len(best):
             yield pa.RecordBatch.from_arrays(
                 [
+                    best["r"].combine_chunks(),
                     qids.take(best["r"].combine_chunks()),
                     best["c"].combine_chunks(),
                     best["id"].combine_chunks(),
                     best["d"].combine_chunks(),
                     pa.array(sort_key(np.asarray(best["d"]))),
                 ],
-                names=["qid", "category", "vec_id", "distance", "dkey"],
+                names=["qrow", "qid", "category", "vec_id", "distance", "dkey"],
             )
 
     return corpus.select("id", "v", "c").mapInArrow(scan, out)
@@ -215,7 +223,7 @@ def block_join(
 ) -> DataFrame:
     """Candidates from all pairs of blocks of the two sides.
 
-    ``queries`` is ``(qid, qv)``, ``corpus`` is ``(id, v, c)``.  With ``cells`` both
+    ``queries`` is ``(qrow, qid, qv)``, ``corpus`` is ``(id, v, c)``.  With ``cells`` both
     have a column ``cell`` as well (queries one row per probed cell) and only blocks of
     the same cell meet.  Blocks hold about ``block_rows`` rows, split by a hash of the
     id, so no task sees more than about one block of each side, however the rows
@@ -224,7 +232,7 @@ def block_join(
     ship_package()
     out = _candidate_schema(queries.schema["qid"].dataType, corpus.schema["id"].dataType)
     if cells:
-        # one row per cell, at most MAX_CELLS.  Broadcast, because a shuffle by cell would
+        # one row per cell; their centroids are broadcast as well.  Broadcast, because a shuffle by cell would
         # bring the rows of a large cell together before they are split
         parts = lambda n: F.ceil(F.col(n) / F.lit(float(block_rows))).cast("int")
         sizes = (
@@ -239,13 +247,14 @@ def block_join(
         queries, corpus = queries.withColumns(whole), corpus.withColumns(whole)
     split = lambda col, n: F.pmod(F.xxhash64(col), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    q = queries.select("qid", "qv", "cell", split("qid", "q_parts").alias("qb"), every("c_parts").alias("cb"))
+    q = queries.select("qrow", "qid", "qv", "cell", split("qrow", "q_parts").alias("qb"), every("c_parts").alias("cb"))
     c = corpus.select("id", "v", "c", "cell", split("id", "c_parts").alias("cb"), every("q_parts").alias("qb"))
     keys = ["cell", "qb", "cb"]
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         schema = pa.schema(
             [
+                ("qrow", pa.int64()),
                 ("qid", left.schema.field("qid").type),
                 ("category", pa.string()),
                 ("vec_id", right.schema.field("id").type),
@@ -258,7 +267,7 @@ def block_join(
         block = Block(
             right["id"].combine_chunks(), matrix(right["v"]), right["c"].combine_chunks(), metric, k
         )
-        batch = _candidates(block, left["qid"].combine_chunks(), matrix(left["qv"]), schema)
+        batch = _candidates(block, left["qrow"].combine_chunks(), left["qid"].combine_chunks(), matrix(left["qv"]), schema)
         return pa.Table.from_batches([batch])
 
     return q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInArrow(meet, out)
@@ -278,11 +287,13 @@ def knn_join(
     broadcast_bytes: int = BROADCAST_BYTES,
     block_rows: int = BLOCK_ROWS,
     dim: int | None = None,
+    plan: str | None = None,
 ) -> DataFrame:
     """k nearest corpus rows of every query, within each category if one is named.
 
     Result ``(qid, category, vec_id, distance, rank)``; ``category`` is null without one.
-    ``dim`` spares a look at the first vector.
+    ``dim`` spares a look at the first vector.  ``plan`` (``corpus``, ``queries`` or
+    ``blocks``: what is broadcast) spares the counts, where the caller knows the sizes.
     """
     k, metric = effective_k(k), metric_name(metric)
     q = queries.select(F.col(query_id).alias("qid"), F.col(query_vector).alias("qv"))
@@ -292,7 +303,9 @@ def knn_join(
     if dim is None:
         empty = _candidate_schema(q.schema["qid"].dataType, c.schema["id"].dataType)
         return merge_top_k(queries.sparkSession.createDataFrame([], empty), k)
-    if fits_broadcast(c, dim, broadcast_bytes):
+    if plan not in (None, "corpus", "queries", "blocks"):
+        raise ValueError("plan is 'corpus', 'queries' or 'blocks'")
+    if plan == "corpus" or plan is None and fits_broadcast(c, dim, broadcast_bytes):
         near = neighbours_udf(c, k, metric=metric, id_col="id", vector="v", category="c")
         return (
             q.select("qid", near(F.col("qv")).alias("n"))
@@ -300,9 +313,9 @@ def knn_join(
             .where("vec_id IS NOT NULL")
             .select("qid", "category", "vec_id", "distance", "rank")
         )
-    if fits_broadcast(q, dim, broadcast_bytes):
+    if plan == "queries" or plan is None and fits_broadcast(q, dim, broadcast_bytes):
         return merge_top_k(_query_broadcast(q, c, k, metric), k)
-    return merge_top_k(block_join(q, c, k, metric, block_rows, cells=False), k)
+    return merge_top_k(block_join(numbered(q), c, k, metric, block_rows, cells=False), k)
 
 
 def knn_similarity(queries: DataFrame, corpus: DataFrame, k: int = 0, **kwargs) -> DataFrame:

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailvane.functions.vectors import check_dim
+from mailvane.sources.tables import written
 
 
 def validate_dim(table: DataFrame, dim: int, vector: str = "embedding") -> tuple[DataFrame, DataFrame]:
@@ -18,37 +16,25 @@ def validate_dim(table: DataFrame, dim: int, vector: str = "embedding") -> tuple
     return table.where(ok), table.where(~ok)
 
 
-MAX_RANGES = 4096
-RANGE_ROWS = 250_000
-
-
-def dense_rank_ids(rows: DataFrame, order: str, start: Column, out: str, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """Number rows ``start, start+1, ...`` in the order of a numeric column without repeats.
+def dense_rank_ids(rows: DataFrame, order: str, start: Column, out: str) -> DataFrame:
+    """Number rows ``start, start+1, ...`` in the order of a column; ties by the other columns.
 
-    Rows fall into value ranges of about ``range_rows`` rows; counts per range give each
-    range its first number, and rows are ranked within their range.  A number depends
-    on the data alone, so a task that is run again gives the same one, and no task sees
-    more than one range at a time.
+    Rows are sorted over all tasks and written once; the counts of the tasks' parts (one row
+    each) give each part its first number.  Rows equal in all columns may get each other's
+    number and are dealt to several tasks, so a value that very many rows share is no hot spot.
     """
-    ranges = min(MAX_RANGES, max(1, math.ceil(rows.count() / range_rows)))
-    bounds = []
-    if ranges > 1:
-        shares = ", ".join(f"{i / ranges}D" for i in range(1, ranges))
-        cuts = F.expr(f"percentile_approx(CAST(`{order}` AS DOUBLE), array({shares}), {10 * MAX_RANGES})")
-        bounds = rows.agg(cuts.alias("bounds")).first()["bounds"]
-    splits = [float("-inf"), *(sorted(set(bounds)) or [0.0]), float("inf")]
-    value = rows.withColumn("_value", F.col(order).cast("double"))
-    placed = Bucketizer(splits=splits, inputCol="_value", outputCol="_range").transform(value).drop("_value")
-    counts = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over at most MAX_RANGES rows
-    first = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    within = F.row_number().over(Window.partitionBy("_range").orderBy(order))
-    return (
-        placed.withColumn("_row", within)
-        .join(F.broadcast(first), "_range")
-        .withColumn(out, (start + F.col("_first") + F.col("_row") - 1).cast("long"))
-        .drop("_range", "_row", "_first")
+    tied = rows.withColumn("_tie", F.xxhash64(*rows.columns)).withColumn("_row", F.monotonically_increasing_id())
+    keys = [order, "_tie", "_row"]
+    placed = written(
+        tied.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_tie", "_row").withColumn("_place", F.monotonically_increasing_id())
     )
+    # the task's number is in the upper bits
+    placed = placed.withColumn("_part", F.shiftright("_place", 33))
+    counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    number = start + F.col("_first") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(F.broadcast(first), "_part").withColumn(out, number.cast("long")).drop("_place", "_part", "_first")
 
 
 def append_ids(table: DataFrame, incoming: DataFrame, order: str, id_col: str = "vec_id") -> DataFrame:

@@ -64,12 +64,35 @@ def sparse(vectors: DataFrame, id_col: str, vector: str = "vector") -> DataFrame
     return vectors.select(id_col, F.posexplode_outer(vector).alias("bucket", "value")).where(F.col("value") != 0)
 
 
+def _runs(items: Column, value) -> Column:
+    """Distinct items of an array, each with ``value(its equal items)``, within the row.
+
+    Sorting brings equal ones together, so no row is exploded before it has been counted.
+    """
+
+    def of_sorted(s: Column) -> Column:
+        placed = F.transform(s, lambda x, i: F.struct(x["item"].alias("item"), i.alias("at")))
+        first = F.filter(placed, lambda e: (e["at"] == 0) | (e["item"] != F.get(s, e["at"] - 1)["item"]))
+        upto = lambda starts, j: F.coalesce(F.get(starts, j + 1)["at"], F.size(s))
+        return X.let(
+            first,
+            lambda starts: F.transform(
+                starts, lambda e, j: F.struct(e["item"].alias("item"), value(F.slice(s, e["at"] + 1, upto(starts, j) - e["at"])).alias("v"))
+            ),
+        )
+
+    return X.let(F.sort_array(items), of_sorted)
+
+
+def feature_counts(docs: DataFrame, id_col: str, features: Column, name: str) -> DataFrame:
+    """``(id, feature, n)``: how often each feature of an array occurs in its row."""
+    items = F.transform(features, lambda t: F.struct(t.alias("item")))
+    counted = docs.select(id_col, F.explode(_runs(items, lambda same: F.size(same).cast("long"))).alias("e"))
+    return counted.select(id_col, F.col("e.item").alias(name), F.col("e.v").alias("n"))
+
+
 def unigram_counts(docs: DataFrame, id_col: str, tokens: Column) -> DataFrame:
-    return (
-        docs.select(id_col, F.explode(tokens).alias("word"))
-        .groupBy(id_col, "word")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    return feature_counts(docs, id_col, tokens, "word")
 
 
 def boosted_unigrams(docs: DataFrame, id_col: str, tokens: Column) -> DataFrame:
@@ -92,7 +115,7 @@ def enhanced_features(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
         return weight
 
     def weighted(tokens: Column, base: float) -> Column:
-        item = lambda f, w: F.struct(f.alias("feature"), w.alias("weight"))
+        item = lambda f, w: F.struct(f.alias("item"), w.alias("weight"))
         return F.concat(
             F.transform(tokens, lambda t: item(X.utf8_hex(t), boost(t) * base)),
             F.transform(X.bigrams(tokens), lambda t: item(X.utf8_hex(t), F.lit(V.BIGRAM_WEIGHT * base))),
@@ -101,11 +124,10 @@ def enhanced_features(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
 
     (first, w1), (second, w2) = token_passes(text)
     tokens = docs.select(id_col, first.alias("_t1"), second.alias("_t2"))
-    return (
-        tokens.select(id_col, F.explode(F.concat(weighted(F.col("_t1"), w1), weighted(F.col("_t2"), w2))).alias("f"))
-        .groupBy(id_col, "f.feature")
-        .agg(F.sum("f.weight").alias("weight"))
-    )
+    both = F.concat(weighted(F.col("_t1"), w1), weighted(F.col("_t2"), w2))
+    total = lambda same: F.aggregate(same, F.lit(0.0), lambda acc, x: acc + x["weight"])
+    summed = tokens.select(id_col, F.explode(_runs(both, total)).alias("e"))
+    return summed.select(id_col, F.col("e.item").alias("feature"), F.col("e.v").alias("weight"))
 
 
 def vocabulary(docs: DataFrame, tokens: Column, dim: int) -> DataFrame:

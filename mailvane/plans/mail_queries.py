@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,12 +11,15 @@ from mailvane.functions import fixed_values as V
 from mailvane.functions import mail as P
 from mailvane.functions import risk as R
 from mailvane.functions.text import combine_mail
+from mailvane.operators import ann
 from mailvane.operators import classify as C
 from mailvane.operators import vectorize as vz
 from mailvane.plans import duck
 from mailvane.plans.mails import CATEGORY, mails, table
 from mailvane.plans.registry import query, r6, sql_r6
+from mailvane.session import ensure_checkpoint_dir
 from mailvane.sources import mail as src
+from mailvane.sources.corpus import read_corpus, write_corpus
 from mailvane.sources.vectors import reject_counts
 
 NAMED = list(P.NAMED_HEADERS)
@@ -360,6 +365,65 @@ def classify_text(spark, sf_dir):
     )
 
 
+@query(
+    "classify_text_index",
+    f"""WITH {duck.MAILS}, {_MAIL_SRC}, {_SETS}, {_STAGE1}
+SELECT qid AS mail_id, votes.category, {sql_r6('confidence')} AS confidence FROM votes""",
+)
+def classify_text_index(spark, sf_dir):
+    """With an index the index is searched; with all cells probed the result is that of the scan."""
+    base = classifier(spark, sf_dir)
+    index = ann.class_mean_index(base.corpus, "category")
+    out = C.Classifier(base.corpus, index=index, n_probe=index.n_cells).classify_text(unlabelled(spark, sf_dir))
+    return out.select("mail_id", "category", r6("confidence").alias("confidence"))
+
+
+@query(
+    "classify_missing_category",
+    f"""WITH {duck.MAILS}, {_MAIL_SRC}, {_SETS.replace('category IS NOT NULL', "category IN ('safe', 'attack')")}, {_STAGE1}
+SELECT qid AS mail_id, votes.category, {sql_r6('confidence')} AS confidence FROM votes""",
+)
+def classify_missing_category(spark, sf_dir):
+    """A category without any training mail cannot win."""
+    corpus = classifier(spark, sf_dir).corpus.where("category <> 'spam'")
+    out = C.Classifier(corpus).classify_text(unlabelled(spark, sf_dir))
+    return out.select("mail_id", "category", r6("confidence").alias("confidence"))
+
+
+# held-out evaluation: a fifth of the labelled mails are the cases, the others the corpus
+_HELD_SETS = (
+    "corpus AS (SELECT id, category FROM src WHERE category IS NOT NULL AND id % 5 <> 0), "
+    "qs AS (SELECT id FROM src WHERE category IS NOT NULL AND id % 5 = 0)"
+)
+
+
+def held_out(spark, sf_dir) -> tuple[C.Classifier, DataFrame]:
+    corpus = classifier(spark, sf_dir).corpus.where("vec_id % 5 <> 0")
+    return C.Classifier(corpus), mails(spark, sf_dir).where("category IS NOT NULL AND mail_id % 5 = 0")
+
+
+def evaluation_report(detail: DataFrame) -> DataFrame:
+    return detail.select(
+        "mail_id", "expected", "category", "correct", r6("confidence").alias("confidence"), "subtype",
+        r6("risk_score").alias("risk_score"),
+    )
+
+
+@query(
+    "evaluate_text",
+    f"""WITH {duck.MAILS}, {_MAIL_SRC}, {_HELD_SETS}, {_STAGE1}, {duck.rules('mails', headers=False)}
+SELECT qid AS mail_id, src.category AS expected, votes.category, votes.category = src.category AS correct,
+  {sql_r6('confidence')} AS confidence, CASE WHEN votes.category = 'attack' THEN subtype END AS subtype,
+  CASE WHEN votes.category = 'attack' THEN {sql_r6('risk_score')} END AS risk_score
+FROM votes JOIN risk ON risk.mail_id = votes.qid JOIN src ON src.id = votes.qid""",
+)
+def evaluate_text(spark, sf_dir):
+    """Two-stage evaluation on subject and body, case by case."""
+    c, cases = held_out(spark, sf_dir)
+    expected = cases.select("mail_id", F.col("category").alias("expected"))
+    return evaluation_report(C.evaluate(c.classify_text(cases.select("mail_id", "subject", "body")), expected))
+
+
 _RAW_COLS = ["mail_id", "category", "confidence", "score_safe", "score_spam", "score_attack", "subtype", "risk_score",
              "risk_level", "signals"]
 _RAW_SQL = f"""WITH {duck.MAILS}, {duck.PARSED},
@@ -397,6 +461,25 @@ def classify_raw_joined(spark, sf_dir):
     return raw_report(c.classify_raw(unlabelled(spark, sf_dir).select("mail_id", "raw")))
 
 
+@query(
+    "evaluate_raw",
+    f"""WITH {duck.MAILS}, {duck.PARSED},
+src AS (SELECT p.mail_id id, p.category,
+  CASE WHEN p.category IS NOT NULL AND p.mail_id % 5 = 0 THEN {duck.combined('p.subject', 'p.body')}
+    ELSE {duck.combined('m.subject', 'm.body')} END txt
+  FROM parsed p JOIN mails m USING (mail_id)),
+{_HELD_SETS}, {_STAGE1}, {duck.SQUATS}, {duck.rules('parsed')}
+SELECT qid AS mail_id, src.category AS expected, votes.category, votes.category = src.category AS correct,
+  {sql_r6('confidence')} AS confidence, subtype, {sql_r6('risk_score')} AS risk_score
+FROM votes JOIN risk ON risk.mail_id = votes.qid JOIN src ON src.id = votes.qid""",
+)
+def evaluate_raw(spark, sf_dir):
+    """The same on raw messages, all rules on every case."""
+    c, cases = held_out(spark, sf_dir)
+    expected = cases.select("mail_id", F.col("category").alias("expected"))
+    return evaluation_report(C.evaluate(c.classify_raw(cases.select("mail_id", "raw")), expected))
+
+
 _DOC_SRC = f"""src AS (SELECT doc_id id, {duck.combined('source', 'text')} txt,
   CASE WHEN toxic = 1 THEN 'attack' WHEN quality = 0 THEN 'spam' WHEN quality = 1 THEN 'safe' END category
   FROM documents LEFT JOIN labels USING (doc_id))"""
@@ -492,3 +575,38 @@ def train_corpus(spark, sf_dir):
         .where("value <> 0")
         .withColumn("value", r6("value"))
     )
+
+
+def _corpus_folder(spark) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/corpus-{uuid.uuid4().hex}"
+
+
+def _corpus_rows(rows: DataFrame) -> DataFrame:
+    items = rows.select("vec_id", "category", "metadata", F.posexplode_outer("embedding").alias("bucket", "value"))
+    return items.where("value <> 0").withColumn("value", r6("value"))
+
+
+def _corpus_sql(where: str) -> str:
+    return f"""WITH {duck.MAILS}, src AS (SELECT mail_id id, {duck.combined()} txt FROM mails WHERE category IS NOT NULL AND {where}),
+{duck.features('src', 'enhanced')}
+SELECT id AS vec_id, category, '{{"subject":"' || replace(subject, '"', chr(92) || '"') || '"}}' AS metadata, bucket,
+  {sql_r6('value::FLOAT')} AS value FROM f_vec JOIN mails ON mail_id = id"""
+
+
+@query("corpus_append", _corpus_sql("true"))
+def corpus_append(spark, sf_dir):
+    """Two loads into one corpus, one of them repeated, and all of it read back."""
+    path, rows = _corpus_folder(spark), C.train_corpus(mails(spark, sf_dir).where("category IS NOT NULL"))
+    write_corpus(rows.where("category <> 'spam'"), path)
+    for _ in range(2):
+        write_corpus(rows.where("category = 'spam'"), path, batch="second")
+    return _corpus_rows(read_corpus(spark, path))
+
+
+@query("corpus_replace", _corpus_sql("(category <> 'spam' OR mail_id % 2 = 0)"))
+def corpus_replace(spark, sf_dir):
+    """A load that replaces the one category it holds."""
+    path, rows = _corpus_folder(spark), C.train_corpus(mails(spark, sf_dir).where("category IS NOT NULL"))
+    write_corpus(rows, path)
+    write_corpus(rows.where("category = 'spam' AND vec_id % 2 = 0"), path, mode="replace")
+    return _corpus_rows(read_corpus(spark, path))

@@ -93,10 +93,7 @@ def boosted_unigrams(spark, sf_dir):
 )
 def bigrams(spark, sf_dir):
     pairs = X.bigrams(X.remove_stop_words(X.unicode_tokens("text")))
-    return (
-        docs(spark, sf_dir).select("doc_id", F.explode(pairs).alias("bigram")).groupBy("doc_id", "bigram")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    return vz.feature_counts(docs(spark, sf_dir), "doc_id", pairs, "bigram")
 
 
 @query(
@@ -107,10 +104,7 @@ def bigrams(spark, sf_dir):
 )
 def char_trigrams(spark, sf_dir):
     grams = X.byte_trigrams_hex(X.remove_stop_words(X.unicode_tokens("text")))
-    return (
-        docs(spark, sf_dir).select("doc_id", F.explode(grams).alias("trigram")).groupBy("doc_id", "trigram")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    return vz.feature_counts(docs(spark, sf_dir), "doc_id", grams, "trigram")
 
 
 @query("leet_normalize", f"WITH {duck.MAILS} SELECT mail_id, {duck.leet('lower(body)')} AS text FROM mails")

@@ -11,6 +11,7 @@ from mailvane.plans import duck
 from mailvane.plans.mails import table
 from mailvane.plans.registry import query, r6, sql_r6
 from mailvane.sources import vectors as src
+from mailvane.sources.tables import written
 
 DIM = 64
 K = 5
@@ -109,6 +110,33 @@ def export_jsonl(spark, sf_dir):
     return src.export_lines(rows, metadata="metadata")
 
 
+@query(
+    "export_active",
+    """SELECT vec_id, '{"id": ' || vec_id || ', "vector": [' ||
+  array_to_string(list_transform(embedding, lambda x: printf('%.6g', x::DOUBLE)), ', ') || ']}' AS line
+FROM embeddings WHERE vec_id NOT IN (SELECT p_partkey FROM part WHERE p_size > 25)""",
+)
+def export_active(spark, sf_dir):
+    """Deleted rows are not exported."""
+    return src.export_lines(with_active(spark, sf_dir), active="active")
+
+
+@query(
+    "metadata_round_trip",
+    """SELECT vec_id, len(m) AS length, md5(m) AS digest FROM (SELECT vec_id,
+  '{"label":' || label || ',"note":"' || repeat('x' || vec_id || ' ', 400) || '"}' m FROM embeddings)""",
+)
+def metadata_round_trip(spark, sf_dir):
+    """Metadata beyond a kilobyte survives load, export and load."""
+    note = F.repeat(F.concat(F.lit("x"), F.col("vec_id").cast("string"), F.lit(" ")), F.lit(400))
+    given = embeddings(spark, sf_dir).withColumn("metadata", F.to_json(F.struct("label", note.alias("note"))))
+    load = lambda lines: src.split_rejects(src.tag_vector_lines(lines.select("line"), DIM))[0]
+    once = written(load(src.export_lines(given, metadata="metadata")))
+    own = F.regexp_extract("metadata", r"x(\d+) ", 1).cast("long")
+    twice = written(load(src.export_lines(once.withColumn("vec_id", own), metadata="metadata")))
+    return twice.select(own.alias("vec_id"), F.length("metadata").cast("long").alias("length"), F.md5("metadata").alias("digest"))
+
+
 # --- table operators -------------------------------------------------------
 @query(
     "validate_dim",
@@ -280,6 +308,33 @@ def knn_join_blocks(spark, sf_dir):
     return found.select("qid", "vec_id", r6("distance").alias("distance"), "rank")
 
 
+@query("knn_join_query_broadcast", f"WITH {knn_sql('cosine', 10)} SELECT {_KNN_COLS} FROM knn")
+def knn_join_query_broadcast(spark, sf_dir):
+    """The plan for a large corpus and few queries."""
+    e = embeddings(spark, sf_dir)
+    found = knn.knn_join(as_queries(e), e, plan="queries")
+    return found.select("qid", "vec_id", r6("distance").alias("distance"), "rank")
+
+
+@query("knn_per_category_query_broadcast", f"WITH {knn_sql('cosine', K, category=True)} SELECT category, {_KNN_COLS} FROM knn")
+def knn_per_category_query_broadcast(spark, sf_dir):
+    e = embeddings(spark, sf_dir)
+    found = knn.knn_join(as_queries(e), e, K, category="label", plan="queries")
+    return found.select("category", "qid", "vec_id", r6("distance").alias("distance"), "rank")
+
+
+@query(
+    "knn_active",
+    f"""WITH {knn_sql('cosine', 10).replace('e q, e c)', 'e q, e c WHERE c.vec_id NOT IN (SELECT p_partkey FROM part WHERE p_size > 25))')}
+SELECT {_KNN_COLS} FROM knn""",
+)
+def knn_active(spark, sf_dir):
+    """Deleted rows are nobody's neighbours."""
+    rows = with_active(spark, sf_dir)
+    found = knn.knn_join(as_queries(rows), tb.active_rows(rows))
+    return found.select("qid", "vec_id", r6("distance").alias("distance"), "rank")
+
+
 @query(
     "knn_similarity",
     f"WITH {knn_sql('cosine', 5)} SELECT qid, vec_id, {sql_r6('1 - distance')} AS score, rank FROM knn",
@@ -333,7 +388,12 @@ def knn_ann_probe(spark, sf_dir):
 
 
 def _kmeans_index(spark, sf_dir) -> ann.CellIndex:
-    return ann.build_index(embeddings(spark, sf_dir), n_cells=16)
+    return ann.build_index(embeddings(spark, sf_dir))
+
+
+def ann_probes(index: ann.CellIndex) -> int:
+    """Half of the cells: the vectors have no clusters, so fewer would find under nine in ten."""
+    return -(-index.n_cells // 2)
 
 
 @query("ann_index_build")
@@ -345,7 +405,8 @@ def ann_index_build(spark, sf_dir):
 @query("knn_ann")
 def knn_ann(spark, sf_dir):
     e = embeddings(spark, sf_dir)
-    found = ann.search(_kmeans_index(spark, sf_dir), as_queries(e), e, n_probe=6)
+    index = _kmeans_index(spark, sf_dir)
+    found = ann.search(index, as_queries(e), e, n_probe=ann_probes(index))
     return found.select("qid", "vec_id", r6("distance").alias("distance"), "rank")
 
 
@@ -353,7 +414,8 @@ def knn_ann(spark, sf_dir):
 def knn_ann_exhaustive(spark, sf_dir):
     """All cells probed: must equal the exact search."""
     e = embeddings(spark, sf_dir)
-    found = ann.search(_kmeans_index(spark, sf_dir), as_queries(e), e, n_probe=16)
+    index = _kmeans_index(spark, sf_dir)
+    found = ann.search(index, as_queries(e), e, n_probe=index.n_cells)
     return found.select("qid", "vec_id", r6("distance").alias("distance"), "rank")
 
 
@@ -361,7 +423,8 @@ def knn_ann_exhaustive(spark, sf_dir):
 def ann_recall(spark, sf_dir):
     e = embeddings(spark, sf_dir)
     q = as_queries(e)
-    return ann.recall(ann.search(_kmeans_index(spark, sf_dir), q, e, n_probe=6), knn.knn_join(q, e))
+    index = _kmeans_index(spark, sf_dir)
+    return ann.recall(ann.search(index, q, e, n_probe=ann_probes(index)), knn.knn_join(q, e))
 
 
 # --- classes and votes -----------------------------------------------------

@@ -14,19 +14,20 @@ from mailvane.sources.vectors import split_rejects, text_lines
 def tag_mail_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     """Labelled mail per JSON line: ``reason, category, subject, body``.
 
-    Blank lines and lines starting with ``#`` vanish.  A missing or null member is
+    Blank lines and lines starting with ``#`` vanish.  Keys count in upper and lower case
+    alike; of a repeated one the last value that is not null counts.  A missing member is
     ''; a member of another type than string makes the line invalid.
     """
-    doc = F.col("_doc")
-    member = lambda name: F.try_variant_get(doc, f"$.{name}", "variant")
-    typed = lambda name: F.coalesce(J.variant_type(member(name)), F.lit("VOID")).isin("STRING", "VOID")
-    text = lambda name: F.coalesce(F.try_variant_get(doc, f"$.{name}", "string"), F.lit(""))
-    valid = J.variant_type(doc).startswith("OBJECT") & typed("category") & typed("subject") & typed("body")
+    members = F.col("_members")
+    member = lambda name: J.last_member(members, name)
+    typed = lambda name: F.coalesce(J.variant_type(member(name)), F.lit("STRING")) == "STRING"
+    text = lambda name: F.coalesce(F.try_variant_get(member(name), "$", "string"), F.lit(""))
+    valid = members.isNotNull() & typed("category") & typed("subject") & typed("body")
     category = F.lower(text("category"))
     return (
         lines.withColumn(line, strip(F.col(line)))
         .where((F.col(line) != "") & ~F.col(line).startswith("#"))
-        .withColumn("_doc", J.strict_variant(F.col(line)))
+        .withColumn("_members", J.object_members(F.col(line)))
         .withColumn(
             "reason",
             F.when(~F.coalesce(valid, F.lit(False)), "invalid_json").when(
@@ -34,7 +35,7 @@ def tag_mail_lines(lines: DataFrame, line: str = "line") -> DataFrame:
             ),
         )
         .withColumns({"category": category, "subject": text("subject"), "body": text("body")})
-        .drop("_doc")
+        .drop("_members")
     )
 
 
@@ -80,4 +81,4 @@ def subject_metadata(subject: Column) -> Column:
     text = subject
     for raw, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
         text = F.replace(text, F.lit(raw), F.lit(escaped))
-    return J.cap_bytes(F.concat(F.lit('{"subject":"'), text, F.lit('"}')))
+    return F.concat(F.lit('{"subject":"'), text, F.lit('"}'))

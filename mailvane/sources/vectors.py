@@ -20,32 +20,34 @@ def _chomp(line: Column) -> Column:
 def tag_vector_lines(lines: DataFrame, dim: int, line: str = "line") -> DataFrame:
     """Add ``reason`` (null for a good line), ``embedding`` and ``metadata``.
 
-    Empty lines vanish.  Items of ``vector`` that are not numbers count as 0.0.
+    Empty lines vanish.  Items of ``vector`` that are not numbers count as 0.0.  Of a
+    repeated key the first value counts.  Metadata is kept whole.
     """
     check_dim(dim)
-    doc, vec = F.col("_doc"), F.col("_vec")
+    members, vec = F.col("_members"), F.col("_vec")
     items = F.try_variant_get(vec, "$", "array<variant>")
     one = lambda x: F.when(J.is_number(x), F.try_variant_get(x, "$", "double")).otherwise(0.0)
     # an all-number array is cast at once; only mixed ones are looked at item by item
     numbers = J.variant_type(vec).rlike("^ARRAY<(BIGINT|DOUBLE|FLOAT|DECIMAL)")
     values = F.when(numbers, F.try_variant_get(vec, "$", "array<double>")).otherwise(F.transform(items, one))
-    meta = F.try_variant_get(doc, "$.metadata", "variant")
-    nested = J.variant_type(meta).rlike("^(OBJECT|ARRAY)")
-    meta_text = F.when(nested, F.get_json_object(F.col(line), "$.metadata")).otherwise(F.to_json(meta))
+    meta, meta_raw = F.try_element_at(members, F.lit("metadata")), F.get_json_object(F.col(line), "$.metadata")
+    # metadata that repeats keys has no variant form; its members then hold it as text
+    nested = J.variant_type(meta).rlike("^(OBJECT|ARRAY)") | (meta_raw.rlike(r"^\s*[\[{]") & J.strict_variant(F.col(line)).isNull())
+    meta_text = F.when(nested, meta_raw).otherwise(F.to_json(meta))
     return (
         lines.withColumn(line, _chomp(F.col(line)))
         .where(F.col(line) != "")
-        .withColumn("_doc", J.strict_variant(F.col(line)))
-        .withColumn("_vec", F.try_variant_get(doc, "$.vector", "variant"))
+        .withColumn("_members", J.object_members(F.col(line)))
+        .withColumn("_vec", F.try_element_at(members, F.lit("vector")))
         .withColumn(
             "reason",
-            F.when(doc.isNull() | ~J.variant_type(doc).startswith("OBJECT"), "invalid_json")
+            F.when(members.isNull(), "invalid_json")
             .when(vec.isNull() | ~J.variant_type(vec).startswith("ARRAY"), "missing_vector")
             .when(F.size(items) != dim, "wrong_dimension"),
         )
         .withColumn("embedding", F.when(F.col("reason").isNull(), values.cast("array<float>")))
-        .withColumn("metadata", F.when(F.col("reason").isNull(), F.coalesce(J.cap_bytes(meta_text), F.lit(""))))
-        .drop("_doc", "_vec")
+        .withColumn("metadata", F.when(F.col("reason").isNull(), F.coalesce(meta_text, F.lit(""))))
+        .drop("_members", "_vec")
     )
 
 
@@ -66,8 +68,14 @@ def load_vectors_jsonl(spark: SparkSession, path: str, dim: int) -> tuple[DataFr
     return split_rejects(tag_vector_lines(text_lines(spark, path), dim))
 
 
-def export_lines(table: DataFrame, id_col: str = "vec_id", vector: str = "embedding", metadata: str | None = None):
-    """One JSON text per row: id, vector with six significant digits, metadata as it is."""
+def export_lines(
+    table: DataFrame, id_col: str = "vec_id", vector: str = "embedding", metadata: str | None = None, active: str | None = None
+):
+    """One JSON text per row: id, vector with six significant digits, metadata as it is.
+
+    With ``active`` named, rows for which that column is not true are left out.
+    """
+    table = table.where(F.col(active)) if active else table
     numbers = F.array_join(F.transform(F.col(vector), J.number_g6), ", ")
     head = F.concat(
         F.lit('{"id": '), F.col(id_col).cast("string"), F.lit(', "vector": ['), numbers, F.lit("]")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from mailvane.operators.classify import train_corpus
 from mailvane.operators.table import dense_rank_ids
+from mailvane.sources.corpus import read_corpus, write_corpus
 from mailvane.sources.mail import tag_mail_lines
+from mailvane.sources.tables import written
 from mailvane.sources.vectors import reject_counts
 
 
@@ -17,22 +21,27 @@ def train_stream(
 ) -> StreamingQuery:
     """Append the good lines of a stream ``(line)`` to ``corpus``; count outcomes per batch.
 
-    Each batch owns the folder ``batch=<id>`` of both tables and overwrites it when it
-    runs again.  Ids continue after the highest one of the earlier batches, in the
-    order of a hash of the line, so a repeated batch numbers its rows alike.
+    The corpus has the layout of :func:`write_corpus` and may hold rows already.  A batch
+    is named by the checkpoint and its number, so another checkpoint overwrites nothing and
+    a repeated batch replaces itself.  Ids follow the highest one in the corpus, which is
+    looked up once a start, in the order of a hash of the line.
     """
+    stream = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
+    highest: dict[str, int] = {}
 
     def train(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        top = 0
-        if batch_id > 0:
-            earlier = spark.read.parquet(corpus).where(F.col("batch") < batch_id)
-            top = earlier.agg(F.coalesce(F.max("vec_id"), F.lit(0)).alias("top")).first()["top"]
-        tagged = tag_mail_lines(batch)
+        name = f"stream-{stream}-{batch_id}"
+        if "id" not in highest:
+            others = read_corpus(batch.sparkSession, corpus).where(F.col("batch") != name)
+            highest["id"] = others.agg(F.coalesce(F.max("vec_id"), F.lit(0)).alias("top")).first()["top"]
+        tagged = written(tag_mail_lines(batch))
         good = tagged.where("reason IS NULL").withColumn("_order", F.xxhash64("line"))
-        rows = train_corpus(dense_rank_ids(good, "_order", F.lit(top + 1), "mail_id"), profile=profile)
-        rows.write.mode("overwrite").partitionBy("category").parquet(f"{corpus}/batch={batch_id}")
-        reject_counts(tagged).write.mode("overwrite").parquet(f"{outcomes}/batch={batch_id}")
+        numbered = dense_rank_ids(good, "_order", F.lit(highest["id"] + 1), "mail_id")
+        write_corpus(train_corpus(numbered, profile=profile), corpus, batch=name)
+        counts = reject_counts(tagged)
+        counts.write.mode("overwrite").parquet(f"{outcomes}/batch={name}")
+        loaded = counts.where("outcome = 'loaded'").first()
+        highest["id"] += loaded["n_lines"] if loaded else 0
 
     writer = lines.writeStream.foreachBatch(train).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from mailvane.operators import classify as C
 from mailvane.plans.mails import mails
+from mailvane.sources.corpus import read_corpus, write_corpus
 from mailvane.sources.vectors import text_lines
 from mailvane.streaming.scoring import score_raw_stream
 from mailvane.streaming.training import train_stream
@@ -41,8 +42,44 @@ def test_stream_training_appends_and_numbers(spark, tmp_path):
     run()
     corpus = spark.read.parquet(f"{tmp_path}/corpus")
     assert sorted(r["vec_id"] for r in corpus.collect()) == list(range(1, 9))
-    assert corpus.where("batch = 1").agg(F.min("vec_id")).first()[0] == 6
+    assert corpus.where("batch LIKE '%-1'").agg(F.min("vec_id")).first()[0] == 6
     assert corpus.where(F.size("embedding") != 256).count() == 0
     counts = {r[0]: r[1] for r in spark.read.parquet(f"{tmp_path}/outcomes").groupBy("outcome").sum("n_lines").collect()}
     assert counts == {"loaded": 8, "invalid_json": 1, "invalid_category": 1}
     assert text_lines(spark, str(folder)).count() == 11
+
+
+def test_scoring_restarted_with_another_plan_loses_nothing(spark, sf_dir, tmp_path):
+    m = mails(spark, sf_dir)
+    corpus = C.train_corpus(m.where("category IS NOT NULL"))
+    raw = m.where("category IS NULL").select("mail_id", "raw")
+    raw.limit(5).write.parquet(f"{tmp_path}/in")
+    for kw in ({}, {"broadcast_bytes": 0}):
+        stream = spark.readStream.schema(raw.schema).parquet(f"{tmp_path}/in")
+        score_raw_stream(stream, C.Classifier(corpus, **kw), f"{tmp_path}/out", f"{tmp_path}/checkpoint", once=True).awaitTermination()
+        if not kw:
+            first = spark.read.parquet(f"{tmp_path}/out").drop("batch").schema
+            raw.exceptAll(raw.limit(5)).limit(4).write.mode("append").parquet(f"{tmp_path}/in")
+    got = spark.read.parquet(f"{tmp_path}/out")
+    assert got.drop("batch").schema == first
+    assert got.count() == got.select("mail_id").distinct().count() == 9
+
+
+def test_training_after_rejects_on_an_old_corpus_with_a_new_checkpoint(spark, tmp_path):
+    old = C.train_corpus(spark.createDataFrame([(41, "safe", "s", "old mail")], "mail_id long, category string, subject string, body string"))
+    write_corpus(old, f"{tmp_path}/corpus")
+    folder = tmp_path / "lines"
+    folder.mkdir()
+    good = '{"category": "spam", "subject": "s", "body": "free prize"}'
+
+    def run(checkpoint):
+        stream = spark.readStream.text(str(folder)).withColumnRenamed("value", "line")
+        train_stream(stream, f"{tmp_path}/corpus", f"{tmp_path}/outcomes", f"{tmp_path}/{checkpoint}", once=True).awaitTermination()
+
+    (folder / "a.jsonl").write_text("broken\nbroken too\n")
+    run("one")
+    (folder / "b.jsonl").write_text((good + "\n") * 500)
+    run("one")
+    run("two")
+    ids = sorted(r["vec_id"] for r in read_corpus(spark, f"{tmp_path}/corpus").collect())
+    assert ids == [41, *range(42, 542), *range(542, 1042)]

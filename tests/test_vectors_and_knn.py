@@ -39,7 +39,7 @@ def test_metric_names():
     assert [M.metric_name(n) for n in ("cos", "cosine", "euc", "l2", "dot", "other", None)] == [
         "cosine", "cosine", "euclidean", "euclidean", "dot", "cosine", "cosine"
     ]
-    for bad in (0, 4097):
+    for bad in (0, -1):
         with pytest.raises(ValueError):
             M.check_dim(bad)
 
@@ -219,3 +219,29 @@ def test_vote_in_place_equals_vote(spark):
     s = vote.category_scores(knn.knn_join(q, c, 5, category="label"))
     b = {(r["qid"], r["category"], round(r["confidence"], 9)) for r in vote.vote(s, ["safe", "spam", "attack"]).collect()}
     assert a == b
+
+
+def test_plans_agree_over_several_batches(spark):
+    """More than three Arrow batches a task, repeated query ids, ties by copies."""
+    rows = spark.range(0, 32_000, 1, 1).select(
+        F.col("id").alias("vec_id"),
+        F.array(*[F.sin(F.col("id") % 9_000 * (i + 1)).cast("float") for i in range(8)]).alias("embedding"),
+        (F.col("id") % 3).cast("string").alias("label"),
+    )
+    queries = rows.where("vec_id % 800 = 0").select((F.col("vec_id") % 4_000).alias("qid"), "embedding")
+    order = ["qid", "category", "rank", "vec_id"]
+    for category in (None, "label"):
+        found = [
+            sorted(tuple(r[c] for c in order) for r in knn.knn_join(queries, rows, 4, category=category, plan=plan, block_rows=9_000).collect())
+            for plan in ("corpus", "queries", "blocks")
+        ]
+        assert found[0] == found[1] == found[2]
+        assert len(found[0]) == 40 * 4 * (3 if category else 1)
+
+
+def test_dimension_has_no_upper_bound(spark):
+    from mailvane.functions.vectors import check_dim
+
+    assert check_dim(100_000) == 100_000
+    with pytest.raises(ValueError):
+        check_dim(0)
