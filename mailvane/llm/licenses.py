@@ -64,8 +64,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     spark = docs.sparkSession
     bigrams = template_bigrams(spark, TEMPLATES if templates is None else templates)
     known = bigrams.collect()  # bounded by the templates
-    low = min((r["size"] for r in known), default=1) * threshold / (2 - threshold)
-    high = max((r["size"] for r in known), default=0) * (2 - threshold) / threshold
+    # a little wider than the bounds, which fractions may miss by a rounding
+    share = threshold / (2 - threshold)
+    low = min((r["size"] for r in known), default=1) * share - 1e-6
+    high = max((r["size"] for r in known), default=0) / share + 1e-6
     vocabulary = sorted({r["bigram"] for r in known})
 
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
@@ -82,7 +84,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
         counted.select("doc_id", "line", "n_bigrams", hits.alias("bigram"))
         .distinct()
         .join(F.broadcast(bigrams), "bigram")
-        .filter((F.col("n_bigrams") >= F.col("size") * threshold / (2 - threshold)) & (F.col("n_bigrams") <= F.col("size") * (2 - threshold) / threshold))
+        .filter(F.col("n_bigrams").between(F.col("size") * share - 1e-6, F.col("size") / share + 1e-6))
         .groupBy("doc_id", "line", "n_bigrams", "license", "size")
         .agg(F.count(F.lit(1)).alias("shared"))
     )

@@ -352,6 +352,6 @@ def test_packing_of_odd_rows(odd, empty):
 
     rows = packing.packed(odd, 64).collect()
     path = public_tokenizers.path(packing.TOKENIZER)
-    check_packing([r for r in rows if r["doc_id"] not in (5,)], {1: "one two three", 2: None, 3: "", 4: LONG, 6: " "}, 64, path)
+    check_packing(rows, {1: "one two three", 2: None, 3: "", 4: LONG, 6: " "}, 64, path)
     assert sum(r["doc_id"] == 5 for r in rows) == 2
     assert packing.packed(empty).count() == 0
