@@ -33,7 +33,7 @@ SHINGLE_WORDS = 5
 BANDS, BAND_ROWS = 40, 5
 #: All samples go into the sketch, those beyond the bands as well.
 SAMPLES = 1280
-SKETCH_BITS = 4096
+SKETCH_BITS = 2048
 #: Sketches may make a pair look this many standard errors less alike than it is.
 STANDARD_ERRORS = 4
 BLOCK = 1024
@@ -136,6 +136,7 @@ def _likely(limit: int):
             side = rows["side"].to_numpy()
             sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), dtype=U64).reshape(len(ids), -1)
             bucket, bands = rows["bucket"].to_numpy(), rows["bands"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+            bucket = bucket.astype(np.int32)
             out_u, out_v = [], []
             if len(key):
                 ends = np.searchsorted(key, key, "right") if np.all(key[1:] >= key[:-1]) else _ends(key)
@@ -246,7 +247,8 @@ def near_duplicate_groups(docs: DataFrame, percent: int = 75, id_col: str = "doc
         "id",
         "component",
         "sketch",
-        "bands",
+        # half of each key tells the first bucket that two rows share
+        F.transform("bands", lambda b: F.shiftright(F.shiftleft(b, 32), 32).cast("int")).alias("bands"),
     )
     more = met.repartition("key").sortWithinPartitions("key").mapInArrow(_likely(limit), "u long, v long").distinct()
     tried = likely.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))

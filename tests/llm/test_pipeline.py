@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from mailvane.llm import mixing, neardup, quality, queries
@@ -47,13 +48,19 @@ def test_secret_stage(stages):
     assert sorted(r["doc_id"] for r in before) == sorted(r["doc_id"] for r in after)
     assert not any(re.search(r"[0-9a-f]{24,}", r["text"] or "") for r in after)
     old = {r["doc_id"]: r for r in before}
-    assert any(re.search(r"[0-9a-f]{24,}", r["text"] or "") for r in before)
     for r in after:
         if "[SECRET]" not in r["text"]:
             assert r == old[r["doc_id"]]
         assert r["n_chars"] == len(r["text"])
 
 
+def test_secret_stage_replaces(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").limit(20)
+    marked = docs.withColumn("text", F.concat("text", F.lit(" key 0123456789abcdef0123456789abcdef"))).withColumn("n_chars", F.length("text").cast("long"))
+    rows = corpus_pipeline.secrets(spark, marked, sf_dir).collect()
+    assert len(rows) == 20 and all(r["text"].endswith(" key [SECRET]") and r["n_chars"] == len(r["text"]) for r in rows)
+
+
 def test_mix_stage(stages):
     before, after = stages["source_mix"]
     times = {r["doc_id"]: r["taken"] // max(r["size"], 1) for r in mixing.mix_report(before).collect()}
@@ -77,7 +84,7 @@ def test_run_is_the_stages_in_order(spark, sf_dir, stages):
 
 def test_stages_with_clashing_columns_and_nulls(spark, sf_dir):
     names = "doc_id long, text string, lang string, source string, n_chars long"
-    text = " ".join(f"the thing {i} ereth" for i in range(40))
+    text = " ".join(f"word{i}" for i in range(80))
     rows = [(1, text, "en", "a", len(text)), (2, None, None, None, None), (None, text, "en", None, 3), (3, "", "en", "b", 0), (1, text, "en", "a", len(text))]
     for data in (rows, []):
         docs = spark.createDataFrame(data, names)
