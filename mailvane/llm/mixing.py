@@ -130,7 +130,8 @@ def mixed(rows: DataFrame, n_shards: int = 8, blocks_per_shard: int = 64, seed:
 def sized(docs: DataFrame, carry: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``row, doc_id, source, size`` of ``docs`` (and ``carry`` as a struct), written once so that ``row`` stays.
 
-    ``row`` is the id as text; rows that repeat an id, or have none, get a number behind it.
+    ``row`` is the id as text; rows that repeat an id, or have none, get ``#`` and a number
+    behind it, which no id has.
     """
     columns = [F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")]
     if carry:
@@ -141,7 +142,7 @@ def sized(docs: DataFrame, carry: list[str] | None = None, id_col: str = "doc_id
         return rows.withColumn("row", F.col("doc_id").cast("string")).drop("_n")
     marked = rows.join(repeated, F.col("doc_id").eqNullSafe(F.col("_again")), "left").withColumn(
         "row",
-        F.when(F.col("doc_id").isNull() | F.col("_again").isNotNull(), F.concat_ws("#", F.col("doc_id").cast("string"), F.col("_n"))).otherwise(F.col("doc_id").cast("string")),
+        F.when(F.col("doc_id").isNull() | F.col("_again").isNotNull(), F.concat_ws("#", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("_n"))).otherwise(F.col("doc_id").cast("string")),
     )
     return durable(marked.drop("_again", "_n"))
 

@@ -152,6 +152,21 @@ def test_mix_of_odd_rows(odd, empty):
     assert mixing.mix_documents(empty).count() == 0
 
 
+def test_mix_of_null_ids_beside_equal_numbers(spark):
+    """In one partition the running number of a row is its place, which is here the id of another."""
+    n = 40
+    rows = [(None if i % 2 else (i + 1) % n, f"word {i}" * (i % 5 + 1), "en", "ab"[i % 3 == 0], 1, str(i), None) for i in range(n)]
+    docs = spark.createDataFrame(rows, COLUMNS).coalesce(1)
+    names = [r["row"] for r in mixing.sized(docs).collect()]
+    assert len(set(names)) == n
+    report = mixing.mix_report(docs).collect()
+    assert len(report) == n
+    mix_is_right(report)
+    out = mixing.mix_documents(docs).collect()
+    assert max(Counter(r["shard"] for r in out).values()) <= 3
+    assert sum(n_words(r["text"]) for r in out) == sum(r["taken"] for r in report)
+
+
 def test_mix_documents_repeats_what_it_takes(documents):
     taken = {r["doc_id"]: r["taken"] // max(r["size"], 1) for r in mixing.mix_report(documents).collect()}
     got = Counter(r["doc_id"] for r in mixing.mix_documents(documents).select("doc_id").collect())
