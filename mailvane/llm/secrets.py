@@ -1,9 +1,12 @@
 """Secret scans: character Markov models by log-likelihood ratio, beside three plain patterns.
 
-Two first-order models over characters are trained on all documents: one on the labelled
-secrets (values of the patterns), one on ordinary identifiers (other tokens of the same
-shape that are words or numbers, not both mixed; a mixed one is left unlabelled, as it
-may be a secret).  A token whose mean log ratio per step is high enough is a secret, too.
+First-order models over characters.  Secret ones: one for each alphabet of keys, trained
+on labelled random samples, and one on the values of the patterns in all documents.  The
+ordinary one is trained on the other tokens of the same shape in all documents that are
+words or numbers, not both mixed (a mixed one is left unlabelled, as it may be a secret).
+All tables hold shares, not counts, so a larger corpus of the same kind gives the same
+ratios.  A token, or a run of its parts between / and =, whose mean log ratio per step is
+high enough under one of the secret models is a secret, too.
 """
 
 from __future__ import annotations
@@ -41,6 +44,21 @@ _CODE = np.full(128, SYMBOLS - 1, dtype=np.int64)
 _CODE[[ord(c) for c in _ALPHABET]] = np.arange(len(_ALPHABET))
 #: Mean log ratio per character from which a token is a secret.
 THRESHOLD = 1.0
+#: Alphabets of the random samples.
+KEY_ALPHABETS = (
+    "0123456789abcdef",
+    "0123456789ABCDEF",
+    "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    "abcdefghijklmnopqrstuvwxyz234567",
+    _ALPHABET[:62],
+    _ALPHABET[:64],
+    _ALPHABET[:62] + "_-",
+)
+SAMPLES, SAMPLE_SIZES = 4000, (16, 64)
+#: Share of every transition that comes from single characters, and of these from all alike.
+BACKOFF, EVEN = 0.05, 0.1
+#: Where a token may be cut.
+_CUT = re.compile(r"[/=]+")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -83,31 +101,112 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(label.astype(np.int32)), pa.array(step.astype(np.int32)), pa.array(counts[label, step])], ["label", "step", "n"])
 
 
+def _conditional(counts: np.ndarray) -> np.ndarray:
+    """Transition table of pair counts; only their proportions matter.
+
+    ``BACKOFF`` of every transition, and all of it after a character never seen, goes by
+    how often the next character occurs at all.
+    """
+    pairs = counts.reshape(SYMBOLS, SYMBOLS)
+    all_pairs, after = pairs.sum(), pairs.sum(axis=1, keepdims=True)
+    single = np.full(SYMBOLS, 1 / SYMBOLS)
+    if all_pairs:
+        single = (1 - EVEN) * pairs.sum(axis=0) / all_pairs + EVEN * single
+    share = np.divide(pairs, after, out=np.tile(single, (SYMBOLS, 1)), where=after > 0)
+    return (1 - BACKOFF) * share + BACKOFF * single
+
+
+def random_samples() -> np.ndarray:
+    """Pair counts of random strings, one row for each of ``KEY_ALPHABETS``; always the same."""
+    rnd = np.random.default_rng(5)
+    counts = np.zeros((len(KEY_ALPHABETS), SYMBOLS * SYMBOLS))
+    for k, alphabet in enumerate(KEY_ALPHABETS):
+        codes = np.array([_ALPHABET.index(c) for c in alphabet])
+        for n in rnd.integers(SAMPLE_SIZES[0], SAMPLE_SIZES[1], size=SAMPLES, endpoint=True):
+            edged = np.concatenate(([SYMBOLS - 1], codes[rnd.integers(0, len(codes), size=n)], [SYMBOLS - 1]))
+            np.add.at(counts[k], edged[:-1] * SYMBOLS + edged[1:], 1)
+    return counts
+
+
+def _any_case(counts: np.ndarray) -> np.ndarray:
+    """Pair counts with as much again of the same tokens in capitals, which need not occur themselves."""
+    capital = np.array([*(_ALPHABET.index(c.upper()) for c in _ALPHABET), SYMBOLS - 1])
+    pairs = counts.reshape(SYMBOLS, SYMBOLS)
+    out = pairs.astype(float)
+    np.add.at(out, (capital[:, None], capital[None, :]), pairs)
+    return out.ravel()
+
+
 def train(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Log ratio of every pair of characters, secret against ordinary; as large as the alphabet squared.
+    """Log ratio of every pair of characters, one row for each secret model, against ordinary.
 
-    Both transition tables are smoothed by half a count.  Without any labelled secret all
-    ratios are 0, and no token is found.
+    The values of the patterns make a last row; half of it are the random samples, so a
+    few values alone do not decide.
     """
     ship_package()
     counted = docs.select(F.col(text_col)).mapInArrow(_count, "label int, step int, n long").groupBy("label", "step").agg(F.sum("n").alias("n"))
     counts = np.zeros((2, SYMBOLS * SYMBOLS))
     for r in counted.collect():  # at most 2 x 68 x 68 rows
         counts[r["label"], r["step"]] = r["n"]
-    if not counts[1].any():
-        return np.zeros(SYMBOLS * SYMBOLS)
-    table = counts.reshape(2, SYMBOLS, SYMBOLS) + 0.5
-    logs = np.log(table / table.sum(axis=2, keepdims=True))
-    return (logs[1] - logs[0]).ravel()
+    return ratios(counts)
+
+
+def ratios(counts: np.ndarray) -> np.ndarray:
+    """The rows of :func:`train` from the pair counts of ordinary tokens (0) and pattern values (1)."""
+    keys = random_samples()
+    secret = [_conditional(k) for k in keys]
+    if counts[1].any():
+        pooled = keys.sum(axis=0)
+        secret.append(_conditional(counts[1] / counts[1].sum() + pooled / pooled.sum()))
+    return np.array([(np.log(s) - np.log(_conditional(_any_case(counts[0])))).ravel() for s in secret])
+
+
+def secret_runs(token: str, ratio: np.ndarray) -> list[tuple[int, int]]:
+    """``(start, end)`` of the secrets within a token, by start.
+
+    A token is a secret as a whole when its mean ratio reaches the threshold under one
+    model.  Otherwise a run of neighbouring parts between / and = may be one, if long
+    enough: that which exceeds the threshold by the largest sum is taken, then what is
+    left and right of it is searched.
+    """
+    steps = _steps(token)
+    cuts = [m.span() for m in _CUT.finditer(token)]
+    starts = np.array([0, *(e for _, e in cuts)])
+    ends = np.array([*(s for s, _ in cuts), len(token)])
+    before, after = np.empty((len(ratio), len(starts))), np.empty((len(ratio), len(ends)))
+    for k, model in enumerate(ratio):  # the sums before the step into a part, and with the step out of it
+        sums = np.concatenate(([0.0], np.cumsum(model[steps] - THRESHOLD)))
+        if sums[-1] >= 0:
+            return [(0, len(token))]
+        before[k], after[k] = sums[starts], sums[ends + 1]
+    found: list[tuple[int, int]] = []
+    todo = [(0, len(starts))]
+    while todo:
+        first, last = todo.pop()
+        # of each end, the last start that leaves room for a token
+        room = np.searchsorted(starts[first:last], ends[first:last] - LEAST_TOKEN, side="right") - 1
+        long = np.flatnonzero(room >= 0)
+        if not len(long):
+            continue
+        least = np.minimum.accumulate(before[:, first:last], axis=1)
+        score = after[:, first + long] - least[:, room[long]]
+        k, j = np.unravel_index(score.argmax(), score.shape)
+        if score[k, j] >= 0:
+            i = first + int(before[k, first : first + room[long[j]] + 1].argmin())
+            j = first + int(long[j])
+            found.append((int(starts[i]), int(ends[j])))
+            todo += [(first, i), (j + 1, last)]
+    return sorted(found)
 
 
 def all_spans(text: str, ratio: np.ndarray) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Base spans, and all spans: tokens found by the models join unless a base span overlaps them."""
+    """Base spans, and all spans: what the models find in tokens joins unless a base span overlaps the token."""
     base = base_spans(text)
     extra = [
-        (m.start(), 3, m.end())
+        (m.start() + start, 3, m.start() + end)
         for m in TOKEN.finditer(text)
-        if not _inside(base, m.start(), m.end()) and ratio[_steps(m.group())].mean() >= THRESHOLD
+        if not _inside(base, m.start(), m.end())
+        for start, end in secret_runs(m.group(), ratio)
     ]
     return base, sorted(base + extra)
 

@@ -259,6 +259,49 @@ def test_markov_models_find_other_secrets(spark, documents):
     assert sum("markov" in s for i, s in out.items() if i < 10_000) == 0
 
 
+KEYS = {
+    "base62": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 40),
+    "upper hex": ("0123456789ABCDEF", 32),
+    "base32": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 24),
+}
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_random_keys_are_found_at_two_sizes(spark, sf):
+    """No planted labels; the keys stand alone, behind a path, or behind a name and =."""
+    rnd = random.Random(4)
+    docs = table(spark, f"/root/testdata/{sf}", "documents").select("doc_id", "text")
+    first, rows = 10**9, []
+    for letters, n in KEYS.values():
+        for _ in range(100):
+            key = "".join(rnd.choice(letters) for _ in range(n))
+            rows.append((first + len(rows), ("see ", "see beberschlichkeitge/nichtchzulichein/", "anthrererendanhe=")[len(rows) % 3] + key + " end"))
+    ratio = secrets.train(docs)
+    assert np.allclose(ratio, secrets.train(docs.unionByName(docs).unionByName(docs)))
+    every = docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    out = {r["doc_id"]: r["spans"] for r in secrets.scan(every, ratio).collect()}
+    assert sum("markov" in s for i, s in out.items() if i < first) == 0
+    for k, (name, (_, n)) in enumerate(KEYS.items()):
+        mine = rows[100 * k : 100 * k + 100]
+        covered = 0
+        for i, text in mine:
+            end = len(text) - len(" end")
+            spans = [s.split(":") for s in out[i].split(",") if s.startswith("markov")]
+            covered += any(int(a) <= end - n and int(b) == end for _, a, b in spans)
+        assert covered >= 95, name
+
+
+def test_runs_within_long_tokens(spark, documents):
+    ratio = secrets.train(documents)
+    rnd = random.Random(8)
+    keys = ["".join(rnd.choice(KEYS["base62"][0]) for _ in range(30)) for _ in range(2)]
+    words = "/thanonontioniner/nichtchzulichein/pasoutionmentment/beberschlichkeitge/" * 2000
+    token = words + keys[0] + words + keys[1] + words
+    got = secrets.secret_runs(token, ratio)
+    assert [token[a:b] for a, b in got] == keys
+    assert secrets.secret_runs(words, ratio) == []
+
+
 def test_secrets_are_replaced(spark, odd_rows):
     docs = frame(spark, [*odd_rows, (9, "x token = 'abcdef123456' y")])
     out = secrets.redact_documents(docs)
