@@ -1,6 +1,7 @@
 """Sharding, mixing, quality rules, licence scans and packing against plain Python."""
 
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -238,6 +239,19 @@ def test_quality_scores_are_mean_log_ratios(spark):
     assert got[2] == pytest.approx(ratio(0, 1), abs=1e-8)
 
 
+def test_quality_reads_whole_words(spark, sf_dir):
+    """Good documents with other characters between the first and last three of their words score lower."""
+    rnd = random.Random(3)
+    docs, labels = (table(spark, sf_dir, name) for name in ("documents", "labels"))
+    good = {r["doc_id"] for r in labels.filter("quality = 1").collect()}
+    mess = lambda w: w[:3] + "".join(rnd.choice("xqzjkvw") for _ in w[3:-3]) + w[-3:] if len(w) > 6 else w
+    first = 10**9
+    rows = [(first + r["doc_id"], " ".join(map(mess, r["text"].split()))) for r in docs.collect() if r["doc_id"] in good and len((r["text"] or "").split()) >= 50]
+    every = docs.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    score = {r["doc_id"]: r["score"] for r in quality.quality_report(every, labels).collect()}
+    assert sum(score[i] < score[i - first] - 0.01 for i, _ in rows) >= 0.95 * len(rows) > 0
+
+
 def test_quality_of_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(4, 1, 0), (None, 1, None), (3, None, 1)], "doc_id long, quality int, toxic int")
     rows = quality.quality_report(odd, labels).collect()
