@@ -296,6 +296,23 @@ def test_licenses_without_pruning(spark, documents, texts):
     assert got == want and {10_001, 10_002, 10_003} <= {x[0] for x in got}
 
 
+def test_licenses_within_lines_and_across_them(spark):
+    fill = "some words of a file that go on and on "
+    texts = {
+        1: ("Released under the MIT License, see LICENSE for details.", 1, "MIT"),
+        2: ("The package is released under the MIT License and maintained by volunteers.", 1, "MIT"),
+        3: ('Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.', 1, "Apache-2.0"),
+        4: (f"{fill}\n{fill}\n# Released under\n# the MIT License.\n{fill}", 3, "MIT"),
+        5: (fill * 50 + "\n" + licenses._MIT + "\n" + fill * 50, 2, "MIT"),
+        6: (fill * 50 + licenses._BSD_TOP + licenses._BSD_NAMES + licenses._BSD_END, 1, "BSD-3-Clause"),
+        7: (licenses._GNU.format("GNU General Public License", 3) + fill * 90, 1, "GPL-3.0"),
+    }
+    rows = [(i, t) for i, (t, _, _) in texts.items()] + [(100, fill * 9), (101, "released in the open under the terms of a license")]
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["line"], r["license"]) for r in found if r["line"]} == {(i, line, name) for i, (_, line, name) in texts.items()}
+    assert all(licenses.THRESHOLD <= r["dice"] <= 1 for r in found)
+
+
 def test_licenses_of_odd_rows(spark, odd, empty):
     assert licenses.scan(odd).count() == 0
     assert licenses.scan(empty).count() == 0
