@@ -1,8 +1,8 @@
-"""Removal of repeated byte strings: distributed prefix doubling over sampled positions.
+"""Removal of repeated byte strings: winnowed anchors, in place of prefix doubling.
 
-A position's rank at length n names the n bytes from it; equal names are equal strings
-(names are 64-bit hashes, so that no global order is needed).  The doubling goes from 24
-bytes to the threshold of 50, and a position is dropped as soon as its name is unique.
+A name stands for the n bytes from a position; equal names are equal strings (names are
+64-bit hashes, so that no global order is needed).  There is one step, from 24 bytes to
+the threshold of 50, and a position is dropped as soon as its name is unique.
 
 * 24 bytes: only anchors are named.  The anchor of a 50-byte string is the place of its
   least 24-byte hash, so equal strings have equal anchors; about one byte in 14 is one.
