@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from mailvane.llm.alignment import alignment_report
 from mailvane.llm.fingerprints import fingerprint_report
 from mailvane.llm.licenses import scan, scan_sql
 from mailvane.llm.mixing import MIX_SQL, mix_report
@@ -40,6 +41,7 @@ QUERIES: dict[str, Query] = {
     "op8_fingerprints": _documents(fingerprint_report),
     "op9_packing": _documents(packed),
     "op10_licenses": _documents(scan),
+    "op13_token_alignment": _documents(alignment_report),
 }
 
 CHECK_SQL: dict[str, str] = {"op3_source_mix": MIX_SQL, "op10_licenses": scan_sql()}
