@@ -218,6 +218,31 @@ def _best(t: pa.Table, k: int) -> pa.Table:
     return t.take(pa.array(back[position]))
 
 
+def meet_blocks(k: int, metric: str) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Function of a block of queries (``qrow, qid, qv``) and a block of rows (``id, v, c``): its candidates."""
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        schema = pa.schema(
+            [
+                ("qrow", pa.int64()),
+                ("qid", left.schema.field("qid").type),
+                ("category", pa.string()),
+                ("vec_id", right.schema.field("id").type),
+                ("distance", pa.float64()),
+                ("dkey", pa.int64()),
+            ]
+        )
+        if not len(left) or not len(right):
+            return schema.empty_table()
+        block = Block(
+            right["id"].combine_chunks(), matrix(right["v"]), right["c"].combine_chunks(), metric, k
+        )
+        batch = _candidates(block, left["qrow"].combine_chunks(), left["qid"].combine_chunks(), matrix(left["qv"]), schema)
+        return pa.Table.from_batches([batch])
+
+    return meet
+
+
 def block_join(
     queries: DataFrame, corpus: DataFrame, k: int, metric: str, block_rows: int = BLOCK_ROWS, *, cells: bool = True
 ) -> DataFrame:
@@ -251,26 +276,7 @@ def block_join(
     c = corpus.select("id", "v", "c", "cell", split("id", "c_parts").alias("cb"), every("q_parts").alias("qb"))
     keys = ["cell", "qb", "cb"]
 
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        schema = pa.schema(
-            [
-                ("qrow", pa.int64()),
-                ("qid", left.schema.field("qid").type),
-                ("category", pa.string()),
-                ("vec_id", right.schema.field("id").type),
-                ("distance", pa.float64()),
-                ("dkey", pa.int64()),
-            ]
-        )
-        if not len(left) or not len(right):
-            return schema.empty_table()
-        block = Block(
-            right["id"].combine_chunks(), matrix(right["v"]), right["c"].combine_chunks(), metric, k
-        )
-        batch = _candidates(block, left["qrow"].combine_chunks(), left["qid"].combine_chunks(), matrix(left["qv"]), schema)
-        return pa.Table.from_batches([batch])
-
-    return q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInArrow(meet, out)
+    return q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInArrow(meet_blocks(k, metric), out)
 
 
 def knn_join(

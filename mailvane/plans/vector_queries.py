@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailvane.functions import vectors as M
-from mailvane.operators import ann, classdist, knn, table as tb, vote
+from mailvane.operators import ann, classdist, knn, lsh, table as tb, tree, vote
 from mailvane.plans import duck
 from mailvane.plans.mails import table
 from mailvane.plans.registry import query, r6, sql_r6
@@ -427,6 +427,97 @@ def ann_recall(spark, sf_dir):
     return ann.recall(ann.search(index, q, e, n_probe=ann_probes(index)), knn.knn_join(q, e))
 
 
+# --- search among clustered vectors -----------------------------------------
+CLUSTERS, SPREAD = 50, 0.3
+_CLUSTERED = f"""e AS MATERIALIZED (SELECT a.vec_id, a.label,
+  list_transform(list_zip(a.embedding::DOUBLE[], c.embedding::DOUBLE[]), lambda p: p[1] * {SPREAD} + p[2]) v
+  FROM embeddings a JOIN embeddings c ON c.vec_id = a.vec_id % {CLUSTERS})"""
+
+
+def clustered(spark, sf_dir) -> DataFrame:
+    """Every embedding, drawn towards one of 50 of them."""
+    e = embeddings(spark, sf_dir)
+    centres = e.where(f"vec_id < {CLUSTERS}").select(F.col("vec_id").alias("cluster"), F.col("embedding").alias("centre"))
+    near = F.zip_with("embedding", "centre", lambda x, c: x.cast("double") * SPREAD + c.cast("double"))
+    return e.join(F.broadcast(centres), F.col("vec_id") % CLUSTERS == F.col("cluster")).select("vec_id", "label", near.alias("embedding"))
+
+
+def _clustered_knn(metric: str, k: int, category: bool = False) -> str:
+    return knn_sql(metric, k, category).replace(_E, _CLUSTERED)
+
+
+def _pruned_metric(metric: str) -> None:
+    @query(f"knn_pruned_{metric}", f"WITH {_clustered_knn(metric, K)} SELECT {_KNN_COLS} FROM knn")
+    def run(spark, sf_dir):
+        """Two large sides: only cells that bounds leave open are searched."""
+        e = clustered(spark, sf_dir)
+        found, _ = tree.knn_join_pruned(as_queries(e), e, K, metric=metric)
+        return found.select("qid", "vec_id", r6("distance").alias("distance"), "rank")
+
+
+for _m in ("cosine", "euclidean", "dot"):
+    _pruned_metric(_m)
+
+
+@query("knn_pruned_per_category", f"WITH {_clustered_knn('cosine', K, category=True)} SELECT category, {_KNN_COLS} FROM knn")
+def knn_pruned_per_category(spark, sf_dir):
+    e = clustered(spark, sf_dir)
+    found, _ = tree.knn_join_pruned(as_queries(e), e, K, category="label")
+    return found.select("category", "qid", "vec_id", r6("distance").alias("distance"), "rank")
+
+
+@query("knn_pruned_rounds", f"WITH {_clustered_knn('cosine', K)} SELECT {_KNN_COLS} FROM knn")
+def knn_pruned_rounds(spark, sf_dir):
+    """Probing in rounds of the queries that are still open, until all have closed: exact."""
+    e = clustered(spark, sf_dir)
+    found, _ = tree.tree_search(tree.build_tree(e), as_queries(e), K, schedule=(2, 8, None))
+    return found.select("qid", "vec_id", r6("distance").alias("distance"), "rank")
+
+
+@query("knn_pruned_visits")
+def knn_pruned_visits(spark, sf_dir):
+    """Cells and rows that each query met when it may visit eight cells, and whether its bound had closed by then."""
+    e = clustered(spark, sf_dir)
+    return tree.tree_search(tree.build_tree(e), as_queries(e), K, schedule=(8,))[1]
+
+
+TABLES, BITS = 10, 12
+_CODES = f"""planes AS MATERIALIZED (SELECT p, list(CASE WHEN substr(md5(p || ':' || d), 1, 1) >= '8' THEN 1.0::DOUBLE ELSE -1.0 END ORDER BY d) w
+  FROM range({TABLES * BITS}) a(p), range({DIM}) b(d) GROUP BY p),
+codes AS MATERIALIZED (SELECT vec_id, (p // {BITS})::INTEGER AS tab,
+  sum(CASE WHEN list_inner_product(v, w) >= 0 THEN 1::BIGINT << (p % {BITS})::INTEGER ELSE 0 END)::BIGINT AS code FROM e, planes GROUP BY 1, 2)"""
+
+
+@query("lsh_codes", f"WITH {_CLUSTERED}, {_CODES} SELECT vec_id, tab, code FROM codes")
+def lsh_codes(spark, sf_dir):
+    return lsh.coded(lsh.SignCodes(DIM, TABLES, BITS), clustered(spark, sf_dir)).select("vec_id", "tab", "code")
+
+
+@query(
+    "knn_lsh",
+    f"""WITH {_CLUSTERED}, {_CODES},
+pairs AS (SELECT DISTINCT q.vec_id qid, c.vec_id FROM codes q JOIN codes c USING (tab, code)),
+measured AS (SELECT qid, c.vec_id, {_DIST['cosine']} distance FROM pairs p JOIN e q ON q.vec_id = p.qid JOIN e c ON c.vec_id = p.vec_id)
+SELECT {_KNN_COLS} FROM (SELECT *, row_number() OVER (PARTITION BY qid
+  ORDER BY {duck.dkey('distance')}, vec_id)::INTEGER rank FROM measured) WHERE rank <= {K}""",
+)
+def knn_lsh(spark, sf_dir):
+    e = clustered(spark, sf_dir)
+    found, _ = lsh.lsh_search(lsh.SignCodes(DIM, TABLES, BITS), as_queries(e), e, K)
+    return found.select("qid", "vec_id", r6("distance").alias("distance"), "rank")
+
+
+@query("lsh_recall")
+def lsh_recall(spark, sf_dir):
+    """Recall of the queries whose id is divisible by 100 against all rows, and the share of rows compared."""
+    e = clustered(spark, sf_dir)
+    q = as_queries(e.where("vec_id % 100 = 0"))
+    found, compared = lsh.lsh_search(lsh.SignCodes(DIM, TABLES, BITS), q, e, K)
+    share = compared.agg(F.avg("rows_compared").alias("mean")).join(e.agg(F.count(F.lit(1)).alias("n")), F.lit(True))
+    share = share.select((F.col("mean") / F.col("n")).alias("share_compared"))
+    return ann.recall(found, knn.knn_join(q, e, K)).join(share, F.lit(True))
+
+
 # --- classes and votes -----------------------------------------------------
 _CLASS = f"""{_E},
 pairs AS (SELECT least(a.label, b.label) label_a, greatest(a.label, b.label) label_b,
