@@ -123,9 +123,9 @@ def filed(index: CellIndex, corpus: DataFrame, vector: str = "embedding") -> Dat
 def search(
     index: CellIndex, queries: DataFrame, corpus: DataFrame, k: int = 0, *, n_probe: int = 8, query_id: str = "qid",
     query_vector: str = "embedding", id_col: str = "vec_id", vector: str = "embedding", category: str | None = None,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int = BLOCK_ROWS, leave_out_own: bool = False,
 ) -> DataFrame:
-    """k nearest among the probed cells; result as that of ``knn_join``.
+    """k nearest among the probed cells; result, and ``leave_out_own``, as in ``knn_join``.
 
     ``corpus`` may already carry ``cell``.  Cells that hold far more rows than others
     are split into blocks, so they become more tasks and not longer ones.
@@ -140,7 +140,7 @@ def search(
         F.col(query_vector).alias("qv"),
         F.explode_outer(nearest_cells(index, F.col(query_vector), n_probe)).alias("cell"),
     )
-    return merge_top_k(block_join(q, c, k, index.metric, block_rows), k)
+    return merge_top_k(block_join(q, c, k + 1 if leave_out_own else k, index.metric, block_rows), k, leave_out_own)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

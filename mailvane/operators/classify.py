@@ -33,22 +33,23 @@ class Classifier:
     ``method`` is ``exact``, ``ann`` (needs ``index``) or ``auto``: the index if there
     is one, else exact.  A corpus within ``broadcast_bytes`` is searched in place:
     parsing, vectorizing, searching, voting and the rules are then one narrow stage.
+    ``leave_out_own`` scores a mail against all others: the corpus row of its id has no vote.
     """
 
     def __init__(
         self, corpus: DataFrame, *, k: int = V.VOTE_K, profile: str = "enhanced", method: str = "auto",
         index: ann.CellIndex | None = None, n_probe: int = 8, broadcast_bytes: int = knn.BROADCAST_BYTES,
-        dim: int = V.ENHANCED_DIM,
+        dim: int = V.ENHANCED_DIM, leave_out_own: bool = False,
     ):
         if method == "auto":
             method = "ann" if index else "exact"
         if method not in ("exact", "ann") or (method == "ann") != (index is not None):
             raise ValueError("method is 'exact', or 'ann' together with an index")
         self.corpus, self.k, self.profile, self.index, self.n_probe = corpus, k, profile, index, n_probe
-        self.broadcast_bytes = broadcast_bytes
+        self.broadcast_bytes, self.leave_out_own = broadcast_bytes, leave_out_own
         self._near = None
         if method == "exact" and knn.fits_broadcast(corpus, dim, broadcast_bytes):
-            self._near = knn.neighbours_udf(corpus, k, category="category")
+            self._near = knn.neighbours_udf(corpus, k + 1 if leave_out_own else k, category="category")
 
     @property
     def in_place(self) -> bool:
@@ -58,12 +59,17 @@ class Classifier:
     def _neighbours(self, queries: DataFrame, id_col: str, text) -> DataFrame:
         vector = vectorize(text, self.profile)
         if self._near is not None:
-            return queries.withColumn("neighbours", self._near(vector))
+            near = queries.withColumn("neighbours", self._near(vector))
+            return near.withColumn("neighbours", knn.others(F.col("neighbours"), F.col(id_col), self.k)) if self.leave_out_own else near
         q = queries.select(F.col(id_col).alias("qid"), vector.alias("embedding"))
         if self.index is not None:
-            found = ann.search(self.index, q, self.corpus, self.k, n_probe=self.n_probe, category="category")
+            found = ann.search(
+                self.index, q, self.corpus, self.k, n_probe=self.n_probe, category="category", leave_out_own=self.leave_out_own
+            )
         else:
-            found = knn.knn_join(q, self.corpus, self.k, category="category", broadcast_bytes=self.broadcast_bytes)
+            found = knn.knn_join(
+                q, self.corpus, self.k, category="category", broadcast_bytes=self.broadcast_bytes, leave_out_own=self.leave_out_own
+            )
         item = F.struct("category", "vec_id", "distance", "rank")
         # at most k rows per category
         lists = found.groupBy("qid").agg(F.collect_list(item).alias("neighbours")).withColumnRenamed("qid", id_col)

@@ -154,11 +154,26 @@ def _candidates(block: Block, qrows: pa.Array, qids: pa.Array, queries: np.ndarr
     return pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(columns, schema)], schema=schema)
 
 
-def merge_top_k(candidates: DataFrame, k: int) -> DataFrame:
+def others(neighbours: Column, own_id: Column, k: int) -> Column:
+    """Of an array of k + 1 neighbours per category, the k nearest that are not the row ``own_id`` itself."""
+    is_own = lambda n: n["vec_id"].eqNullSafe(own_id)
+    own = F.get(F.filter(neighbours, is_own), F.lit(0))
+    # one less where the own row of that category came before
+    rank = lambda n: (
+        n["rank"] - F.when(n["category"].eqNullSafe(own["category"]) & (own["rank"] < n["rank"]), 1).otherwise(0)
+    ).cast("int")
+    moved = lambda n: F.struct(n["category"].alias("category"), n["vec_id"].alias("vec_id"), n["distance"].alias("distance"), rank(n).alias("rank"))
+    return F.filter(F.transform(F.filter(neighbours, lambda n: ~is_own(n)), moved), lambda n: n["rank"] <= k)
+
+
+def merge_top_k(candidates: DataFrame, k: int, leave_out_own: bool = False) -> DataFrame:
     """Final k nearest per query row and category out of per-block bests.
 
-    Spark cuts each task's rows to k per group before the shuffle.
+    Spark cuts each task's rows to k per group before the shuffle.  ``leave_out_own``
+    drops the row of the query's own id first; blocks must have returned k + 1 then.
     """
+    if leave_out_own:
+        candidates = candidates.where(~F.col("qid").eqNullSafe(F.col("vec_id")))
     w = Window.partitionBy("qrow", "category").orderBy("dkey", "vec_id")
     return (
         candidates.withColumn("rank", F.row_number().over(w))
@@ -294,14 +309,18 @@ def knn_join(
     block_rows: int = BLOCK_ROWS,
     dim: int | None = None,
     plan: str | None = None,
+    leave_out_own: bool = False,
 ) -> DataFrame:
     """k nearest corpus rows of every query, within each category if one is named.
 
     Result ``(qid, category, vec_id, distance, rank)``; ``category`` is null without one.
+    ``leave_out_own`` leaves out the corpus row that has the query's own id (ids of a
+    corpus are unique): one neighbour more is searched, and the own row goes before ranking.
     ``dim`` spares a look at the first vector.  ``plan`` (``corpus``, ``queries`` or
     ``blocks``: what is broadcast) spares the counts, where the caller knows the sizes.
     """
     k, metric = effective_k(k), metric_name(metric)
+    searched = k + 1 if leave_out_own else k
     q = queries.select(F.col(query_id).alias("qid"), F.col(query_vector).alias("qv"))
     cat = F.col(category).cast("string") if category else F.lit(None).cast("string")
     c = corpus.select(F.col(id_col).alias("id"), F.col(vector).alias("v"), cat.alias("c"))
@@ -312,16 +331,19 @@ def knn_join(
     if plan not in (None, "corpus", "queries", "blocks"):
         raise ValueError("plan is 'corpus', 'queries' or 'blocks'")
     if plan == "corpus" or plan is None and fits_broadcast(c, dim, broadcast_bytes):
-        near = neighbours_udf(c, k, metric=metric, id_col="id", vector="v", category="c")
+        near = neighbours_udf(c, searched, metric=metric, id_col="id", vector="v", category="c")
+        found = q.select("qid", near(F.col("qv")).alias("n"))
+        if leave_out_own:
+            found = found.select("qid", others(F.col("n"), F.col("qid"), k).alias("n"))
         return (
-            q.select("qid", near(F.col("qv")).alias("n"))
+            found
             .select("qid", F.inline_outer("n"))  # plain inline would add a filter that searches twice
             .where("vec_id IS NOT NULL")
             .select("qid", "category", "vec_id", "distance", "rank")
         )
     if plan == "queries" or plan is None and fits_broadcast(q, dim, broadcast_bytes):
-        return merge_top_k(_query_broadcast(q, c, k, metric), k)
-    return merge_top_k(block_join(numbered(q), c, k, metric, block_rows, cells=False), k)
+        return merge_top_k(_query_broadcast(q, c, searched, metric), k, leave_out_own)
+    return merge_top_k(block_join(numbered(q), c, searched, metric, block_rows, cells=False), k, leave_out_own)
 
 
 def knn_similarity(queries: DataFrame, corpus: DataFrame, k: int = 0, **kwargs) -> DataFrame:

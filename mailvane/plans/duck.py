@@ -100,17 +100,18 @@ def dkey(d: str) -> str:
     return f"floor({d} * 1e9 + 0.5)"
 
 
-def vector_knn(queries: str, corpus: str, k: int, name: str, dim: int = V.ENHANCED_DIM) -> str:
+def vector_knn(queries: str, corpus: str, k: int, name: str, dim: int = V.ENHANCED_DIM, others: bool = False) -> str:
     """CTE ``{name}(qid, category, vec_id, distance, rank)``: every pair of unit vectors of f_vec.
 
-    ``queries(id)`` and ``corpus(id, category)`` name relations.
+    ``queries(id)`` and ``corpus(id, category)`` name relations; with ``others`` no query meets its own row.
     """
+    apart = " WHERE q.id <> c.id" if others else ""
     return f"""
 f_dense AS MATERIALIZED (SELECT id, list(coalesce(value, 0.0)::DOUBLE ORDER BY bucket) v FROM
   (SELECT id, unnest(generate_series(0, {dim - 1}))::INTEGER bucket FROM src) LEFT JOIN f_vec USING (id, bucket)
   GROUP BY id),
 {name}_pairs AS (SELECT q.id qid, c.category, c.id vec_id, 1 - list_inner_product(a.v, b.v) distance
-  FROM {queries} q JOIN f_dense a ON a.id = q.id CROSS JOIN {corpus} c JOIN f_dense b ON b.id = c.id),
+  FROM {queries} q JOIN f_dense a ON a.id = q.id CROSS JOIN {corpus} c JOIN f_dense b ON b.id = c.id{apart}),
 {name} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY qid, category
   ORDER BY {dkey('distance')}, vec_id)::INTEGER rank FROM {name}_pairs QUALIFY rank <= {k})"""
 

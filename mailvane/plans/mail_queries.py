@@ -485,9 +485,9 @@ _DOC_SRC = f"""src AS (SELECT doc_id id, {duck.combined('source', 'text')} txt,
   FROM documents LEFT JOIN labels USING (doc_id))"""
 
 
-def _vote_ctes(queries: str) -> str:
+def _vote_ctes(queries: str, others: bool = False) -> str:
     return (
-        f"{duck.features('src', 'basic')}, {duck.vector_knn(queries, 'corpus', V.VOTE_K, 'knn')}, "
+        f"{duck.features('src', 'basic')}, {duck.vector_knn(queries, 'corpus', V.VOTE_K, 'knn', others=others)}, "
         + duck.votes("knn", "votes", duck.CATEGORY_ORDER)
     )
 
@@ -501,12 +501,12 @@ def documents_labelled(spark, sf_dir) -> DataFrame:
     return docs.select(F.col("doc_id").alias("mail_id"), combine_mail("source", "text").alias("txt"), "category")
 
 
-def _basic(spark, sf_dir) -> tuple[C.Classifier, DataFrame]:
+def _basic(spark, sf_dir, **kwargs) -> tuple[C.Classifier, DataFrame]:
     docs = documents_labelled(spark, sf_dir)
     corpus = docs.where("category IS NOT NULL").select(
         F.col("mail_id").alias("vec_id"), "category", vz.vectorize(F.col("txt"), "basic").alias("embedding")
     )
-    return C.Classifier(corpus, profile="basic"), docs
+    return C.Classifier(corpus, profile="basic", **kwargs), docs
 
 
 def classify_documents(spark, sf_dir) -> DataFrame:
@@ -528,12 +528,12 @@ def classify_summary(spark, sf_dir):
     return C.category_summary(classify_documents(spark, sf_dir)).withColumn("percent", r6("percent"))
 
 
-# evaluation: every labelled document is a case; the corpus is the labelled set
-_CASES = f"WITH {_DOC_SRC}, corpus AS (SELECT id, category FROM src WHERE category IS NOT NULL), " + _vote_ctes("corpus")
+# evaluation: every labelled document is a case, scored against all other labelled ones
+_CASES = f"WITH {_DOC_SRC}, corpus AS (SELECT id, category FROM src WHERE category IS NOT NULL), " + _vote_ctes("corpus", others=True)
 
 
-def evaluated(spark, sf_dir) -> DataFrame:
-    c, docs = _basic(spark, sf_dir)
+def evaluated(spark, sf_dir, **kwargs) -> DataFrame:
+    c, docs = _basic(spark, sf_dir, leave_out_own=True, **kwargs)
     cases = docs.where("category IS NOT NULL")
     return C.evaluate(
         c.stage1(cases, "mail_id", F.col("txt")), cases.select("mail_id", F.col("category").alias("expected"))
@@ -561,6 +561,16 @@ def evaluate_misses(spark, sf_dir):
     )
 
 
+@query(
+    "evaluate_joined",
+    f"""{_CASES} SELECT id AS mail_id, corpus.category AS expected, votes.category, {sql_r6('confidence')} AS confidence
+FROM votes JOIN corpus ON id = qid""",
+)
+def evaluate_joined(spark, sf_dir):
+    """Every case, by the plan for two large sides."""
+    return evaluated(spark, sf_dir, broadcast_bytes=0).select("mail_id", "expected", "category", r6("confidence").alias("confidence"))
+
+
 @query(
     "train_corpus",
     f"""WITH {duck.MAILS}, src AS (SELECT mail_id id, {duck.combined()} txt FROM mails WHERE category IS NOT NULL),
