@@ -17,6 +17,7 @@ from mailvane.operators import vectorize as vz
 from mailvane.plans import duck
 from mailvane.plans.mails import CATEGORY, mails, table
 from mailvane.plans.registry import query, r6, sql_r6
+from mailvane.plans.vector_queries import FILE_PART, in_files
 from mailvane.session import ensure_checkpoint_dir
 from mailvane.sources import mail as src
 from mailvane.sources.corpus import read_corpus, write_corpus
@@ -26,7 +27,7 @@ NAMED = list(P.NAMED_HEADERS)
 
 
 # --- loading ---------------------------------------------------------------
-def mail_lines_of(m: DataFrame) -> DataFrame:
+def mail_lines_of(m: DataFrame, *more: str) -> DataFrame:
     """Labelled mails as JSON lines, with comments, blanks and broken lines in between."""
     kind = F.col("mail_id") % 9
     label = F.when(kind == 1, F.upper("category")).when(kind == 2, F.lit("unsure")).otherwise(F.col("category"))
@@ -38,7 +39,7 @@ def mail_lines_of(m: DataFrame) -> DataFrame:
         .when(kind == 6, F.to_json(F.struct("category", "mail_id", F.lit(7).alias("subject"), "body")))
         .otherwise(good)
     )
-    return m.select(line.alias("line"))
+    return m.select(line.alias("line"), *more)
 
 
 def mail_lines(spark, sf_dir) -> DataFrame:
@@ -63,6 +64,19 @@ def load_mail_rejects(spark, sf_dir):
     return reject_counts(src.tag_mail_lines(mail_lines(spark, sf_dir)))
 
 
+@query(
+    "load_mail_located",
+    f"""WITH {duck.MAILS} SELECT mail_id % 4 AS part, line_no, CASE mail_id % 9 WHEN 2 THEN 'invalid_category' ELSE 'invalid_json' END AS reason
+FROM (SELECT mail_id, row_number() OVER (PARTITION BY mail_id % 4 ORDER BY mail_id) AS line_no FROM mails WHERE category IS NOT NULL)
+WHERE mail_id % 9 IN (2, 5, 6)""",
+)
+def load_mail_located(spark, sf_dir):
+    """Where the bad lines are; blank lines and comments count."""
+    folder = in_files(mail_lines_of(mails(spark, sf_dir).where("category IS NOT NULL"), "mail_id"), "mail_id")
+    _, rejects = src.load_mail_jsonl(spark, folder, located=True)
+    return rejects.select(FILE_PART(), "line_no", "reason")
+
+
 _FLAT_BODY = "replace(replace(body, chr(10), ' '), chr(13), ' ')"
 
 
@@ -454,6 +468,18 @@ def classify_raw(spark, sf_dir):
     return raw_report(classifier(spark, sf_dir).classify_raw(unlabelled(spark, sf_dir).select("mail_id", "raw")))
 
 
+@query("classify_raw_files", _RAW_SQL)
+def classify_raw_files(spark, sf_dir):
+    """The same from a folder with a file for each message."""
+    folder = f"{ensure_checkpoint_dir(spark)}/inbox-{uuid.uuid4().hex}"
+    unlabelled(spark, sf_dir).select("mail_id", "raw").write.partitionBy("mail_id").text(folder)
+    # the writer ends every file with a line feed
+    files = src.load_raw_mail(spark, f"{folder}/*").select(
+        F.regexp_extract("mail_id", r"/mail_id=(\d+)/", 1).cast("long").alias("mail_id"), F.regexp_replace("raw", r"\n\z", "").alias("raw")
+    )
+    return raw_report(classifier(spark, sf_dir).classify_raw(files))
+
+
 @query("classify_raw_joined", _RAW_SQL)
 def classify_raw_joined(spark, sf_dir):
     """The same with the plan for a corpus too large for a broadcast."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from mailvane.operators import ann, classdist, knn, lsh, table as tb, tree, vote
 from mailvane.plans import duck
 from mailvane.plans.mails import table
 from mailvane.plans.registry import query, r6, sql_r6
+from mailvane.session import ensure_checkpoint_dir
 from mailvane.sources import vectors as src
 from mailvane.sources.tables import written
 
@@ -30,7 +33,7 @@ def as_queries(df: DataFrame) -> DataFrame:
 
 
 # --- sources and sinks -----------------------------------------------------
-def vector_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def vector_lines(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     """The embeddings as JSON lines, with broken ones of every kind in between."""
     good = F.to_json(
         F.struct(F.col("embedding").alias("vector"), F.struct("vec_id", "label").alias("metadata"))
@@ -46,7 +49,7 @@ def vector_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 7, F.substr(good, F.lit(1), F.length(good) - 1))
         .otherwise(good)
     )
-    return embeddings(spark, sf_dir).select(line.alias("line"))
+    return embeddings(spark, sf_dir).select(line.alias("line"), *more)
 
 
 @query(
@@ -73,6 +76,30 @@ def load_vectors_rejects(spark, sf_dir):
     return src.reject_counts(src.tag_vector_lines(vector_lines(spark, sf_dir), DIM))
 
 
+def in_files(lines: DataFrame, order: str, n_files: int = 4) -> str:
+    """Folder of text files, one per remainder of ``order``, their lines in its order."""
+    folder = f"{ensure_checkpoint_dir(lines.sparkSession)}/lines-{uuid.uuid4().hex}"
+    dealt = lines.withColumn("part", F.col(order) % n_files).repartition(n_files, "part").sortWithinPartitions("part", order)
+    dealt.select("part", "line").write.partitionBy("part").text(folder)
+    return folder
+
+
+FILE_PART = lambda: F.regexp_extract("path", r"/part=(\d+)/", 1).cast("long").alias("part")
+
+
+@query(
+    "load_vectors_located",
+    """SELECT vec_id % 4 AS part, line_no, CASE vec_id % 9 WHEN 3 THEN 'missing_vector' WHEN 4 THEN 'wrong_dimension' ELSE 'invalid_json' END AS reason
+FROM (SELECT vec_id, row_number() OVER (PARTITION BY vec_id % 4 ORDER BY vec_id) AS line_no FROM embeddings)
+WHERE vec_id % 9 IN (1, 2, 3, 4, 7)""",
+)
+def load_vectors_located(spark, sf_dir):
+    """Where the bad lines are, in files read by splits."""
+    folder = in_files(vector_lines(spark, sf_dir, "vec_id"), "vec_id")
+    _, rejects = src.load_vectors_jsonl(spark, folder, DIM, located=True)
+    return rejects.select(FILE_PART(), "line_no", "reason")
+
+
 @query(
     "format_vector",
     """SELECT vec_id, array_to_string(list_transform(embedding, lambda x: printf('%.6f', x::DOUBLE)), ',') AS text

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mailvane.functions import fixed_values as V
 from mailvane.functions import jsontext as J
 from mailvane.functions.mail import strip
+from mailvane.sources.lines import located_lines, split_located
 from mailvane.sources.vectors import split_rejects, text_lines
 
 
@@ -39,7 +40,10 @@ def tag_mail_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     )
 
 
-def load_mail_jsonl(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def load_mail_jsonl(spark: SparkSession, path: str, located: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``(good, rejects)``; with ``located`` rejects name file and line number."""
+    if located:
+        return split_located(tag_mail_lines(located_lines(spark, path)))
     return split_rejects(tag_mail_lines(text_lines(spark, path)))
 
 
@@ -54,7 +58,10 @@ def tag_tsv_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     )
 
 
-def load_mail_tsv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def load_mail_tsv(spark: SparkSession, path: str, located: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``(good, rejects)``; with ``located`` rejects name file and line number."""
+    if located:
+        return split_located(tag_tsv_lines(located_lines(spark, path)))
     return split_rejects(tag_tsv_lines(text_lines(spark, path)))
 
 

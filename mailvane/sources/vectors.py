@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mailvane.functions import jsontext as J
 from mailvane.functions.vectors import check_dim
+from mailvane.sources.lines import located_lines, split_located
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -63,8 +64,10 @@ def reject_counts(tagged: DataFrame) -> DataFrame:
     )
 
 
-def load_vectors_jsonl(spark: SparkSession, path: str, dim: int) -> tuple[DataFrame, DataFrame]:
-    """``(good, rejects)`` of a JSON-lines file or folder."""
+def load_vectors_jsonl(spark: SparkSession, path: str, dim: int, located: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``(good, rejects)`` of a JSON-lines file or folder; with ``located`` rejects name file and line number."""
+    if located:
+        return split_located(tag_vector_lines(located_lines(spark, path), dim))
     return split_rejects(tag_vector_lines(text_lines(spark, path), dim))
 
 
