@@ -1,13 +1,21 @@
-"""Mean cosine distance within and between classes, without building pairs."""
+"""Mean distances within and between classes, without emitting pairs."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailvane.functions.vectors import dot, normalize
+from mailvane.functions.vectors import dot, metric_name, normalize
+from mailvane.operators.kernels import matrix
+from mailvane.shipping import ship_package
+
+#: Rows of a block; pairs of blocks are summed inside a task.
+BLOCK_ROWS = 4096
 
 
 def class_distances(vectors: DataFrame, label: str = "label", vector: str = "embedding") -> DataFrame:
@@ -48,6 +56,76 @@ def class_distances(vectors: DataFrame, label: str = "label", vector: str = "emb
     )
 
 
+def _by_label(t: pa.Table, names: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors sorted by label, the labels' numbers among ``names``, and where each label's rows begin."""
+    code = np.asarray(pc.index_in(t["label"].combine_chunks(), names))
+    order = np.argsort(code, kind="stable")
+    code = code[order]
+    first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+    return matrix(t["v"])[order], code[first], first
+
+
+def _pair_sums(metric: str):
+    """Of two blocks, the sum of distances for every pair of labels; of a block and itself, over its pairs once."""
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        schema = pa.schema([("label_a", left.schema.field("label").type), ("label_b", left.schema.field("label").type), ("total", pa.float64()), ("n_pairs", pa.int64())])
+        if not len(left) or not len(right):
+            return schema.empty_table()
+        same = left["i"][0].as_py() == right["j"][0].as_py()
+        names = pa.chunked_array([*left["label"].chunks, *right["label"].chunks]).unique()
+        names = names.take(pc.sort_indices(names))
+        a, a_code, a_first = _by_label(left, names)
+        b, b_code, b_first = (a, a_code, a_first) if same else _by_label(right, names)
+        sums, step = np.zeros((len(a_code), len(b_code))), max(1, (1 << 22) // len(b))
+        rows_of = np.searchsorted(a_first, np.arange(len(a)), side="right") - 1
+        bsq = np.einsum("ij,ij->i", b, b)
+        for at in range(0, len(a), step):
+            x = a[at : at + step]
+            d = x @ b.T
+            if metric == "dot":
+                d = -d
+            else:
+                d = np.sqrt(np.maximum(np.einsum("ij,ij->i", x, x)[:, None] + bsq[None, :] - 2.0 * d, 0.0))
+            if same:
+                d[np.arange(len(x)), at + np.arange(len(x))] = 0.0  # a row and itself are no pair
+            np.add.at(sums, rows_of[at : at + step], np.add.reduceat(d, b_first, axis=1))
+        a_n, b_n = np.diff(np.r_[a_first, len(a)]), np.diff(np.r_[b_first, len(b)])
+        n = a_n[:, None] * b_n[None, :] - (np.diag(a_n) if same else 0)
+        la, lb = (x.ravel() for x in np.meshgrid(a_code, b_code, indexing="ij"))
+        low, high = np.minimum(la, lb), np.maximum(la, lb)
+        half = 2 if same else 1  # both orders of a pair have been met
+        total, n = sums.ravel() / half, n.ravel() / half
+        return pa.Table.from_arrays([names.take(pa.array(low)), names.take(pa.array(high)), pa.array(total), pa.array(np.rint(2 * n).astype(np.int64))], schema=schema)
+
+    return meet
+
+
+def class_distances_by_pairs(
+    vectors: DataFrame, label: str = "label", vector: str = "embedding", *, metric: str = "euclidean", block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """The same table for Euclidean distances (or negative dot products), which have no closed form.
+
+    Every pair of blocks meets in one task that returns one row per pair of labels, so
+    the work is quadratic and what is shuffled after it is not.  Rows without label are left out.
+    """
+    metric = metric_name(metric)
+    if metric == "cosine":
+        return class_distances(vectors, label, vector)
+    ship_package()
+    rows = vectors.where(F.col(label).isNotNull()).select(F.col(label).alias("label"), F.col(vector).alias("v"))
+    blocks = max(1, -(-rows.count() // block_rows))
+    # a row number spreads rows that are equal in all columns
+    own = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int")
+    left = rows.withColumn("i", own).withColumn("j", F.explode(F.sequence(F.col("i"), F.lit(blocks - 1))))
+    right = rows.select(F.col("label").alias("label"), F.col("v").alias("v"), own.alias("j")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("j"))))
+    kind = rows.schema["label"].dataType.simpleString()
+    met = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(_pair_sums(metric), f"label_a {kind}, label_b {kind}, total double, n_pairs long")
+    summed = met.groupBy("label_a", "label_b").agg(F.sum("total").alias("total"), (F.sum("n_pairs") / 2).cast("long").alias("n_pairs"))
+    mean = F.when(F.col("n_pairs") > 0, F.col("total") / F.col("n_pairs")).otherwise(0.0)
+    return summed.select("label_a", "label_b", mean.alias("mean_distance"), "n_pairs")
+
+
 def discrimination(distances: DataFrame) -> DataFrame:
     """One row: mean within, mean between, and their ratio (above 1: classes separate)."""
     same = F.col("label_a") == F.col("label_b")

@@ -172,3 +172,29 @@ def profile_diff(docs: DataFrame, id_col: str, text: Column, left: str = "basic"
         cosine_distance(F.col("a"), F.col("b")).alias("distance"),
         F.size(F.filter(gaps, lambda g: g > 0.001)).alias("n_diff"),
     )
+
+
+def table_diff(
+    left: DataFrame, right: DataFrame, id_col: str = "vec_id", vector: str = "embedding", tolerance: float = 0.001
+) -> DataFrame:
+    """``id, side, distance, n_diff`` of two stored vector tables: rows of both, or of one of them only.
+
+    One full outer join by id (ids are unique in each table); dimensions are compared
+    within the row, missing ones and missing rows as zeros.  ``side`` is ``both``, ``left`` or
+    ``right``; ``distance`` is the cosine distance, 1 where a row has no counterpart.
+    """
+    a = left.select(F.col(id_col), F.col(vector).alias("_a"), F.lit(True).alias("_left"))
+    b = right.select(F.col(id_col), F.col(vector).alias("_b"), F.lit(True).alias("_right"))
+    side = F.when(F.col("_left").isNull(), "right").when(F.col("_right").isNull(), "left").otherwise("both")
+    none = F.array().cast("array<double>")
+    at = lambda x: F.coalesce(x.cast("double"), F.lit(0.0))
+    both = a.join(b, id_col, "full").select(
+        id_col, side.alias("side"), F.zip_with(F.coalesce("_a", none), F.coalesce("_b", none), lambda x, y: F.struct(at(x).alias("x"), at(y).alias("y"))).alias("p")
+    )
+    part = lambda name: F.transform("p", lambda e: e[name])
+    return both.select(
+        id_col,
+        "side",
+        cosine_distance(part("x"), part("y")).alias("distance"),
+        F.size(F.filter("p", lambda e: F.abs(e["x"] - e["y"]) > tolerance)).alias("n_diff"),
+    )

@@ -629,6 +629,28 @@ SELECT id AS vec_id, category, '{{"subject":"' || replace(subject, '"', chr(92)
   {sql_r6('value::FLOAT')} AS value FROM f_vec JOIN mails ON mail_id = id"""
 
 
+@query(
+    "corpus_diff",
+    f"""WITH {duck.MAILS}, asrc AS (SELECT mail_id id, {duck.combined()} txt FROM mails WHERE category IS NOT NULL AND mail_id % 5 <> 0),
+bsrc AS (SELECT mail_id id, {duck.combined("''", 'body')} txt FROM mails WHERE category IS NOT NULL AND mail_id % 7 <> 0),
+{duck.features('asrc', 'enhanced', 'a')}, {duck.features('bsrc', 'enhanced', 'b')},
+cells AS (SELECT coalesce(a_vec.id, b_vec.id) id, coalesce(a_vec.value::FLOAT::DOUBLE, 0) x, coalesce(b_vec.value::FLOAT::DOUBLE, 0) y
+  FROM a_vec FULL JOIN b_vec ON a_vec.id = b_vec.id AND a_vec.bucket = b_vec.bucket)
+SELECT i.id AS vec_id, CASE WHEN i.id % 5 = 0 THEN 'right' WHEN i.id % 7 = 0 THEN 'left' ELSE 'both' END AS side,
+  {sql_r6('1 - coalesce(sum(x * y) / nullif(sqrt(sum(x * x)) * sqrt(sum(y * y)), 0), 0)')} AS distance,
+  (count(*) FILTER (abs(x - y) > 0.001))::INTEGER AS n_diff
+FROM (SELECT id FROM asrc UNION SELECT id FROM bsrc) i LEFT JOIN cells USING (id) GROUP BY i.id""",
+)
+def corpus_diff(spark, sf_dir):
+    """Two written corpora, one without subjects; each lacks some mails of the other."""
+    m = mails(spark, sf_dir).where("category IS NOT NULL")
+    one, two = _corpus_folder(spark), _corpus_folder(spark)
+    write_corpus(C.train_corpus(m.where("mail_id % 5 <> 0")), one)
+    write_corpus(C.train_corpus(m.where("mail_id % 7 <> 0").withColumn("subject", F.lit(""))), two)
+    out = vz.table_diff(read_corpus(spark, one), read_corpus(spark, two))
+    return out.withColumn("distance", r6("distance"))
+
+
 @query("corpus_append", _corpus_sql("true"))
 def corpus_append(spark, sf_dir):
     """Two loads into one corpus, one of them repeated, and all of it read back."""

@@ -597,6 +597,19 @@ def class_distance_matrix(spark, sf_dir):
     return d.select("label_a", "label_b", r6("mean_distance").alias("mean_distance"), "n_pairs")
 
 
+def _class_pairs(metric: str) -> None:
+    sql = _CLASS.replace("1 - list_cosine_similarity(a.v, b.v)", _DIST[metric].replace("q.v", "a.v").replace("c.v", "b.v"))
+
+    @query(f"class_distance_matrix_{metric}", f"WITH {sql} SELECT label_a, label_b, {sql_r6('mean_distance')} AS mean_distance, n_pairs FROM cd")
+    def run(spark, sf_dir):
+        d = classdist.class_distances_by_pairs(embeddings(spark, sf_dir), metric=metric)
+        return d.select("label_a", "label_b", r6("mean_distance").alias("mean_distance"), "n_pairs")
+
+
+_class_pairs("euclidean")
+_class_pairs("dot")
+
+
 @query(
     "class_discrimination",
     f"""WITH {_CLASS} SELECT {sql_r6('w')} AS within_mean, {sql_r6('b')} AS between_mean, {sql_r6('b / w')} AS ratio

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from mailvane.operators.classify import train_corpus
-from mailvane.operators.table import dense_rank_ids
-from mailvane.sources.corpus import read_corpus, write_corpus
+from mailvane.sources.corpus import write_corpus
+from mailvane.sources.ledger import number_rows
 from mailvane.sources.mail import tag_mail_lines
 from mailvane.sources.tables import written
 from mailvane.sources.vectors import reject_counts
@@ -23,25 +23,18 @@ def train_stream(
 
     The corpus has the layout of :func:`write_corpus` and may hold rows already.  A batch
     is named by the checkpoint and its number, so another checkpoint overwrites nothing and
-    a repeated batch replaces itself.  Ids follow the highest one in the corpus, which is
-    looked up once a start, in the order of a hash of the line.
+    a repeated batch replaces itself.  Its ids are a range that the corpus's ledger gives to
+    no other writer, in the order of a hash of the line.
     """
     stream = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
-    highest: dict[str, int] = {}
 
     def train(batch: DataFrame, batch_id: int) -> None:
         name = f"stream-{stream}-{batch_id}"
-        if "id" not in highest:
-            others = read_corpus(batch.sparkSession, corpus).where(F.col("batch") != name)
-            highest["id"] = others.agg(F.coalesce(F.max("vec_id"), F.lit(0)).alias("top")).first()["top"]
         tagged = written(tag_mail_lines(batch))
         good = tagged.where("reason IS NULL").withColumn("_order", F.xxhash64("line"))
-        numbered = dense_rank_ids(good, "_order", F.lit(highest["id"] + 1), "mail_id")
+        numbered = number_rows(good, corpus, name, "_order", "mail_id")
         write_corpus(train_corpus(numbered, profile=profile), corpus, batch=name)
-        counts = reject_counts(tagged)
-        counts.write.mode("overwrite").parquet(f"{outcomes}/batch={name}")
-        loaded = counts.where("outcome = 'loaded'").first()
-        highest["id"] += loaded["n_lines"] if loaded else 0
+        reject_counts(tagged).write.mode("overwrite").parquet(f"{outcomes}/batch={name}")
 
     writer = lines.writeStream.foreachBatch(train).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
