@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from mailvane.llm.shared import durable, hash_key, ranked, word_count
+from mailvane.llm.shared import durable, hash_key, named, ranked, word_count
 
 #: No source, and so no document, is taken more often than this.
 MOST_EPOCHS = 3
@@ -135,7 +135,7 @@ def sized(docs: DataFrame, carry: list[str] | None = None, id_col: str = "doc_id
     """
     columns = [F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")]
     if carry:
-        columns.append(F.struct(*carry).alias("carried"))
+        columns.append(F.struct(*named(carry)).alias("carried"))
     rows = durable(docs.select(*columns).withColumn("_n", F.monotonically_increasing_id()))
     repeated = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1 or doc_id is null").select(F.col("doc_id").alias("_again"))
     if repeated.isEmpty():
@@ -148,29 +148,42 @@ def sized(docs: DataFrame, carry: list[str] | None = None, id_col: str = "doc_id
 
 
 def mix_report(docs: DataFrame, n_shards: int = 8) -> DataFrame:
-    """One row per document with the words the mix takes from it, and the shards it goes to."""
+    """One row per document: the words the mix takes from it, and ``places``, where its copies go.
+
+    ``places`` has ``shard:slot`` of every copy, sorted and comma-joined; slots of a shard are
+    gapless from 0.  Null and empty texts have size 0 and are never taken.  Null is a source.
+    Null and repeated ids and repeated rows are documents of their own.  An empty table
+    gives no rows; other columns are not read.
+    """
     rows = sized(docs)
     items = mixed(rows, n_shards)
-    taken = items.groupBy("row").agg(F.sum("size").alias("taken"), F.sort_array(F.collect_list("shard")).alias("shards"))
+    place = F.concat_ws(":", "shard", "slot")
+    taken = items.groupBy("row").agg(F.sum("size").alias("taken"), F.array_join(F.sort_array(F.collect_list(place)), ",").alias("places"))
     targets = water_filled(rows.groupBy("source").agg(F.sum("size").alias("source_size"))).withColumnRenamed("source", "_source")
     return (
         rows.join(targets, F.col("source").eqNullSafe(F.col("_source")))
         .join(taken, "row", "left")
-        .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source")
+        .select(
+            "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source",
+            F.coalesce("places", F.lit("")).alias("places"),
+        )
     )
 
 
-def mix_documents(docs: DataFrame, n_shards: int = 8) -> DataFrame:
+def mix_documents(docs: DataFrame, n_shards: int = 8, places: bool = False) -> DataFrame:
     """``docs`` as the mix takes them: a document taken twice is there twice, one not taken is gone.
 
-    All columns come back unchanged and in order.
+    All columns come back unchanged and in order, whatever their names; with ``places``,
+    ``shard`` and ``slot`` of each copy follow (columns of those names are replaced).
+    Nulls, repeated rows and empty tables are as in :func:`mix_report`.
     """
+    docs = docs.drop("shard", "slot") if places else docs
     rows = sized(docs, carry=docs.columns)
-    items = mixed(rows.select("row", "source", "size"), n_shards).select("row")
-    return items.join(rows.select("row", "carried"), "row").select("carried.*")
+    items = mixed(rows.select("row", "source", "size"), n_shards).select("row", "shard", "slot")
+    return items.join(rows.select("row", "carried"), "row").select("carried.*", *(["shard", "slot"] if places else []))
 
 
-#: The query's rows in DuckDB: the same levels, order by hash, and rule for the last document.
+#: The query's rows in DuckDB: the same levels, order by hash, rule for the last document, and tree over eight shards.
 MIX_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
@@ -190,10 +203,39 @@ WITH sized AS (
 ), stream AS (
   SELECT s.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5('mix:' || coalesce(source, '\N') || ':' || doc_id::VARCHAR)
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM sized s
+), items AS (
+  SELECT doc_id::VARCHAR AS row, source, size, copy, copy * source_size + start AS offs
+  FROM stream JOIN targets USING (source), range(3) r(copy)
+  WHERE size > 0 AND copy * source_size + start + size / 2 <= target
+), cut AS (
+  SELECT *, offs // greatest(1, (SELECT sum(source_size)::BIGINT FROM targets) // 512) AS block FROM items
+), blocks AS (
+  SELECT source, block, row_number() OVER (PARTITION BY source ORDER BY md5('mix:blocks:' || source || ':' || block), block) - 1 AS drawn
+  FROM (SELECT DISTINCT source, block FROM cut)
+), level0 AS (
+  SELECT source, unnest(range(count(*))) AS token, 0 AS lo, 8 AS hi FROM blocks GROUP BY source
+), @LEVELS@, leaves AS (
+  SELECT source, lo AS shard, count(*) AS quota FROM level3 GROUP BY source, lo
+), runs AS (
+  SELECT *, coalesce(sum(quota) OVER (PARTITION BY source ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM leaves
+), placed AS (
+  SELECT c.row, c.copy, c.size, r.shard, row_number() OVER (PARTITION BY r.shard
+    ORDER BY md5('mix:local:' || r.shard || ':' || c.row || ':' || c.copy), c.row, c.copy) - 1 AS slot
+  FROM cut c JOIN blocks b ON b.source = c.source AND b.block = c.block
+  JOIN runs r ON r.source = c.source AND b.drawn >= r.first AND b.drawn < r.first + r.quota
+), taken AS (
+  SELECT row, sum(size)::BIGINT AS taken, string_agg(shard || ':' || slot, ',' ORDER BY shard || ':' || slot) AS places FROM placed GROUP BY row
+)
+SELECT doc_id, size, source_size, target, source, coalesce(taken, 0)::BIGINT AS taken, coalesce(places, '') AS places
+FROM sized JOIN targets USING (source) LEFT JOIN taken ON row = doc_id::VARCHAR
+""".replace(
+    "@LEVELS@",
+    ", ".join(
+        f"""level{n + 1} AS (
+  SELECT source, token, CASE WHEN rank < held * ((lo + hi + 1) // 2 - lo) // (hi - lo) THEN lo ELSE (lo + hi + 1) // 2 END AS lo,
+    CASE WHEN rank < held * ((lo + hi + 1) // 2 - lo) // (hi - lo) THEN (lo + hi + 1) // 2 ELSE hi END AS hi
+  FROM (SELECT *, count(*) OVER (PARTITION BY lo) AS held,
+    row_number() OVER (PARTITION BY lo ORDER BY md5('mix:{n}:' || source || ':' || token), source, token) - 1 AS rank FROM level{n}))"""
+        for n in range(3)
+    ),
 )
-SELECT doc_id, size, source_size, target, source,
-  (size * (CASE WHEN size > 0 AND start + size / 2 <= target THEN 1 ELSE 0 END
-    + CASE WHEN size > 0 AND source_size + start + size / 2 <= target THEN 1 ELSE 0 END
-    + CASE WHEN size > 0 AND 2 * source_size + start + size / 2 <= target THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM stream JOIN targets USING (source)
-"""

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailvane.llm.shared import broadcast_if_small, components, durable
+from mailvane.llm.shared import broadcast_if_small, components, durable, free_name
 from mailvane.llm.wordhash import U64, mix, shingle_sets
 from mailvane.shipping import ship_package
 
@@ -275,8 +275,11 @@ def _near(limit: int):
 def drop_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """``docs`` with one document of each group, all columns unchanged.
 
-    Only the ids to drop are joined, so ``docs`` is shuffled only if they are many.
+    Only the ids to drop are joined, so ``docs`` is shuffled only if they are many.  Rows
+    without an id, and texts without words, stay; rows that repeat an id stay or go
+    together.  An empty table stays empty; other columns may have any names.
     """
     groups = durable(near_duplicate_groups(docs, percent))
-    gone = groups.filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(broadcast_if_small(gone, gone.count(), 64), docs["doc_id"] == F.col("_gone"), "left_anti")
+    name = free_name(docs, "_gone")
+    gone = groups.filter("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(broadcast_if_small(gone, gone.count(), 64), docs["doc_id"] == F.col(name), "left_anti")

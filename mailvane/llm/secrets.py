@@ -2,8 +2,10 @@
 
 First-order models over characters.  Secret ones: one for each alphabet of keys, trained
 on labelled random samples, and one on the values of the patterns in all documents.  The
-ordinary one is trained on the other tokens of the same shape in all documents that are
-words or numbers, not both mixed (a mixed one is left unlabelled, as it may be a secret).
+ordinary one is trained in equal shares on labelled samples of names as programs have them
+(words joined by underscores, hyphens, slashes or capitals, with numbers, and rulers), and on
+the other tokens of the same shape in all documents that are words or numbers, not both
+mixed (a mixed one is left unlabelled, as it may be a secret).
 All tables hold shares, not counts, so a larger corpus of the same kind gives the same
 ratios.  A token, or a run of its parts between / and =, whose mean log ratio per step is
 high enough under one of the secret models is a secret, too.
@@ -13,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,6 +58,22 @@ KEY_ALPHABETS = (
     _ALPHABET[:62] + "_-",
 )
 SAMPLES, SAMPLE_SIZES = 4000, (16, 64)
+#: Words that names are put together from.
+NAME_WORDS = (
+    "access action active address after alpha array async base batch before block body boolean bucket buffer build bytes cache call char "
+    "check child class client close code collect column com command common config connection context convert core count create current "
+    "data date debug default delete dev device dir dist document domain double driver enable end engine entry env error event example "
+    "exception execute executor export factory field file filter find first flag float format function get global group handler hash head "
+    "header hidden host html http id image impl import include index info init input install int interface internal item java job json key "
+    "label last lat left length level lib library limit line list load local log long main map master max memory message meta method min "
+    "mode model module name native net new next node null number object of open option order org output package page param parent parse "
+    "part path pool port prefix private process program project property proxy public python query queue range rate read reader record "
+    "ref region register remote render report request reset resource response result return right root row run sample save schema scope "
+    "script search select send server service session set setting share size socket sort source spark src stack start state static status "
+    "step store stream string style sub sum system table tag target task temp test text thread time timeout to token tool top total "
+    "transform tree type unit update upper url user utils valid value var vector version view wait web width window word worker write"
+).split()
+NAMES = 40_000
 #: Share of every transition that comes from single characters, and of these from all alike.
 BACKOFF, EVEN = 0.05, 0.1
 #: Where a token may be cut.
@@ -79,8 +98,29 @@ def _steps(token: str) -> np.ndarray:
     return edged[:-1] * SYMBOLS + edged[1:]
 
 
-def _inside(spans: list[tuple[int, int, int]], start: int, end: int) -> bool:
-    return any(s < end and start < e for s, _, e in spans)
+def _merged(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of what the spans cover, apart and in order."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for start, _, end in spans:
+        if ends and start <= ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
+    return starts, ends
+
+
+def _free_parts(covered: tuple[list[int], list[int]], start: int, end: int) -> list[tuple[int, int]]:
+    """What is left of a stretch of text outside the covered parts."""
+    starts, ends = covered
+    out = []
+    for i in range(bisect_right(ends, start), len(starts)):
+        if starts[i] >= end:
+            break
+        out.append((start, starts[i]))
+        start = ends[i]
+    return [(lo, hi) for lo, hi in [*out, (start, end)] if lo < hi]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,11 +131,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not text:
                 continue
             spans = base_spans(text)
+            covered = _merged(spans)
             for start, kind, end in spans:
                 value = ASSIGN.match(text, start).group(2) if kind == 0 else text[start:end]
                 counts[1] += np.bincount(_steps(re.sub(r"[^A-Za-z0-9+/_=-]", "", value)), minlength=SYMBOLS**2)
             for m in TOKEN.finditer(text):
-                if not _MIXED.search(m.group()) and not _inside(spans, m.start(), m.end()):
+                if not _MIXED.search(m.group()) and _free_parts(covered, m.start(), m.end()) == [m.span()]:
                     counts[0] += np.bincount(_steps(m.group()), minlength=SYMBOLS**2)
     label, step = np.nonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(label.astype(np.int32)), pa.array(step.astype(np.int32)), pa.array(counts[label, step])], ["label", "step", "n"])
@@ -128,6 +169,35 @@ def random_samples() -> np.ndarray:
     return counts
 
 
+def name_samples() -> np.ndarray:
+    """Pair counts of names made of ``NAME_WORDS``; always the same."""
+    rnd = np.random.default_rng(7)
+    counts = np.zeros(SYMBOLS * SYMBOLS)
+    number = lambda: str(rnd.integers(0, 10 ** rnd.integers(1, 4)))
+    for _ in range(NAMES):
+        words = [NAME_WORDS[i] for i in rnd.integers(0, len(NAME_WORDS), size=rnd.integers(3, 8))]
+        style = rnd.integers(0, 7)
+        if rnd.random() < 0.3:
+            at = rnd.integers(0, len(words))
+            words[at] += number()
+        if style == 0:
+            name = "_".join(words)
+        elif style == 1:
+            name = "_".join(words).upper()
+        elif style == 2:
+            name = "-".join(words)
+        elif style == 3:
+            name = "/" * (rnd.random() < 0.5) + "/".join(words)
+        elif style == 4:
+            name = words[0] + "".join(w.capitalize() for w in words[1:])
+        elif style == 5:
+            name = "".join(w.capitalize() for w in words)
+        else:
+            name = "-_=/+"[rnd.integers(0, 5)] * rnd.integers(LEAST_TOKEN, 60)
+        counts += np.bincount(_steps(name), minlength=SYMBOLS**2)
+    return counts
+
+
 def _any_case(counts: np.ndarray) -> np.ndarray:
     """Pair counts with as much again of the same tokens in capitals, which need not occur themselves."""
     capital = np.array([*(_ALPHABET.index(c.upper()) for c in _ALPHABET), SYMBOLS - 1])
@@ -158,7 +228,11 @@ def ratios(counts: np.ndarray) -> np.ndarray:
     if counts[1].any():
         pooled = keys.sum(axis=0)
         secret.append(_conditional(counts[1] / counts[1].sum() + pooled / pooled.sum()))
-    return np.array([(np.log(s) - np.log(_conditional(_any_case(counts[0])))).ravel() for s in secret])
+    names = name_samples()
+    ordinary = names / names.sum()
+    if counts[0].any():
+        ordinary = ordinary + _any_case(counts[0]) / _any_case(counts[0]).sum()
+    return np.array([(np.log(s) - np.log(_conditional(ordinary))).ravel() for s in secret])
 
 
 def secret_runs(token: str, ratio: np.ndarray) -> list[tuple[int, int]]:
@@ -200,13 +274,20 @@ def secret_runs(token: str, ratio: np.ndarray) -> list[tuple[int, int]]:
 
 
 def all_spans(text: str, ratio: np.ndarray) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Base spans, and all spans: what the models find in tokens joins unless a base span overlaps the token."""
+    """Base spans, and all spans: base ones, and what the models find in the rest of every token.
+
+    A token is judged without what base spans cover; a part of it that is left counts if
+    it is long enough to be a token.
+    """
     base = base_spans(text)
+    covered = _merged(base)
     extra = [
-        (m.start() + start, 3, m.start() + end)
+        (low + start, 3, low + end)
         for m in TOKEN.finditer(text)
-        if not _inside(base, m.start(), m.end())
-        for start, end in secret_runs(m.group(), ratio)
+        for left, high in _free_parts(covered, m.start(), m.end())
+        for low in [left if left == m.start() else high - len(text[left:high].lstrip("/="))]
+        if high - low >= LEAST_TOKEN
+        for start, end in secret_runs(text[low:high], ratio)
     ]
     return base, sorted(base + extra)
 
@@ -237,7 +318,13 @@ def scan(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col: s
 
 
 def secret_report(docs: DataFrame) -> DataFrame:
-    """The query's rows: models trained on all documents, then every document scanned."""
+    """The query's rows: models trained on all documents, then every document scanned.
+
+    Null and empty texts have no spans; long ones are scanned whole.  Repeated rows give
+    equal rows and null ids stay null.  An empty table gives no rows; its models are those of
+    the samples.  Other columns are not read.  A string of digits alone is no secret, as
+    far as the models go.
+    """
     return scan(docs, train(docs))
 
 
@@ -258,9 +345,10 @@ def redacted(text: str, ratio: np.ndarray) -> str:
 def redact_documents(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """``docs`` with every secret replaced by ``REDACTED`` and its length put right; other columns unchanged.
 
-    Null texts stay null.
+    Null texts stay null, and nothing but text and length is changed: repeated rows, null
+    ids and columns of any name come back as they are.  An empty table stays empty.
     """
-    ratio = train(docs, text_col)
+    ratio = train(docs.select(text_col), text_col)
     at, names = docs.columns.index(text_col), docs.columns
     size_at = names.index(length_col) if length_col in names else None
 
@@ -273,7 +361,9 @@ def redact_documents(docs: DataFrame, text_col: str = "text", length_col: str =
             if size_at is not None:
                 sizes = columns[size_at].to_pylist()
                 columns[size_at] = pa.array([n if a == b else len(b) for n, a, b in zip(sizes, old, new)], columns[size_at].type)
-            yield pa.RecordBatch.from_arrays(columns, names)
+            yield pa.RecordBatch.from_arrays(columns, plain.columns)
 
     ship_package()
-    return docs.mapInArrow(clean, docs.schema)
+    # Arrow functions look columns up by name, which fails for some names: numbers on the way
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    return plain.mapInArrow(clean, plain.schema).toDF(*names)

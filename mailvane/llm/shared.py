@@ -35,6 +35,18 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def named(columns: list[str]) -> list[Column]:
+    """The columns, whatever their names hold (dots as well)."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """``df`` marked for broadcast when its counted size is within ``BROADCAST_BYTES``."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from mailvane.llm import licenses, mixing, packing, quality, sharding
 from mailvane.llm.shared import table
@@ -153,6 +154,57 @@ def test_mix_of_odd_rows(odd, empty):
     assert mixing.mix_documents(empty).count() == 0
 
 
+def places_are_right(rows, n_shards):
+    """Each copy has one place, slots are gapless, and every shard has its part of each source."""
+    slots, words = defaultdict(list), Counter()
+    for r in rows:
+        places = [tuple(map(int, p.split(":"))) for p in r["places"].split(",") if p]
+        assert len(places) * r["size"] == r["taken"]
+        for shard, slot in places:
+            slots[shard].append(slot)
+            words[shard, r["source"]] += r["size"]
+    for taken in slots.values():
+        assert sorted(taken) == list(range(len(taken)))
+    assert set(slots) <= set(range(n_shards))
+    return words
+
+
+def test_mix_places(documents):
+    rows = mixing.mix_report(documents).collect()
+    words, sizes = places_are_right(rows, 8), [r["size"] for r in rows]
+    taken = Counter()
+    for r in rows:
+        taken[r["source"]] += r["taken"]
+    block = max(1, sum(sizes) // 512)
+    for source, n in taken.items():
+        # a shard draws whole blocks of a source, an eighth of them give or take what the draw does
+        blocks = n / block
+        for shard in range(8):
+            assert abs(words[shard, source] / block - blocks / 8) <= 4 * math.sqrt(blocks / 8 + 1) + 2 * max(sizes) / block
+
+
+def test_mix_places_of_odd_rows(odd):
+    places_are_right(mixing.mix_report(odd, 3).collect(), 3)
+    out = mixing.mix_documents(odd.withColumnRenamed("n_chars", "a.b"), 3, places=True)
+    assert out.columns == ["doc_id", "text", "lang", "source", "a.b", "size", "shard", "slot"]
+    by_shard = defaultdict(list)
+    for r in out.collect():
+        by_shard[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in by_shard.values())
+
+
+def test_shards_of_many_rows_without_id_and_any_names(spark):
+    """A third of all rows has no id; they are spread like others, and no column name is in the way."""
+    rows = [(None if i % 3 == 0 else i, "t", "en", "ab"[i % 4 == 0], 1, "x", "y") for i in range(900)]
+    docs = spark.createDataFrame(rows, COLUMNS).withColumns({n: F.lit("z") for n in ("_key", "_rows", "key", "rows", "tie", "given", "rank", "again", "n")})
+    docs = docs.withColumnRenamed("lang", "a.b`c")
+    out = sharding.interleaved(docs, 4)
+    assert out.columns == [*[c for c in docs.columns if c != "shard"], "shard", "slot"]
+    shards_are_right(out.collect(), 4)
+    without = Counter(r["shard"] for r in out.collect() if r["doc_id"] is None)
+    assert len(without) == 4 and max(without.values()) - min(without.values()) <= 60
+
+
 def test_mix_of_null_ids_beside_equal_numbers(spark):
     """In one partition the running number of a row is its place, which is here the id of another."""
     n = 40

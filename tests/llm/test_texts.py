@@ -302,6 +302,30 @@ def test_runs_within_long_tokens(spark, documents):
     assert secrets.secret_runs(words, ratio) == []
 
 
+NAMES = [
+    "MAX_BUFFER_SIZE_IN_BYTES", "/usr/local/lib/python3/dist-packages", "src/main/java/com/example/App2Test", "-" * 18, "_" * 25,
+    "ThreadPoolExecutorService", "org/apache/hadoop/fs/Path", "getResourceAsStreamFromClassLoader2", "TestCase1234NumberOfWorkers",
+]
+
+
+def test_names_are_no_secrets_and_keys_do_not_hide(documents):
+    ratio = secrets.train(documents)
+    for name in NAMES:
+        assert secrets.all_spans(f"see {name} there", ratio)[1] == [], name
+    key = "q7Zt0LxV3bKp9sWd2mYc8RfH5uJg1nTa6oEiXvBQ"
+    text = f"x 0123456789abcdef01234567/{key} y"
+    assert secrets.all_spans(text, ratio)[1] == [(2, 2, 26), (27, 3, 67)]
+    assert key not in secrets.redacted(text, ratio)
+
+
+def test_many_matches_in_one_text(documents):
+    """Spans are looked up, not walked: a text of many matches takes time in proportion."""
+    ratio = secrets.train(documents)
+    text = " ".join(f"password=abcdefgh{i} someOrdinaryTokenNumber" for i in range(20_000))
+    base, spans = secrets.all_spans(text, ratio)
+    assert len(base) == 20_000 and spans == base
+
+
 def test_secrets_are_replaced(spark, odd_rows):
     docs = frame(spark, [*odd_rows, (9, "x token = 'abcdef123456' y")])
     out = secrets.redact_documents(docs)
