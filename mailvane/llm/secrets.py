@@ -361,9 +361,10 @@ def redact_documents(docs: DataFrame, text_col: str = "text", length_col: str =
             if size_at is not None:
                 sizes = columns[size_at].to_pylist()
                 columns[size_at] = pa.array([n if a == b else len(b) for n, a, b in zip(sizes, old, new)], columns[size_at].type)
-            yield pa.RecordBatch.from_arrays(columns, plain.columns)
+            yield pa.RecordBatch.from_arrays(columns, numbers)
 
     ship_package()
     # Arrow functions look columns up by name, which fails for some names: numbers on the way
-    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    numbers = [f"c{i}" for i in range(len(names))]
+    plain = docs.toDF(*numbers)
     return plain.mapInArrow(clean, plain.schema).toDF(*names)
