@@ -576,9 +576,8 @@ def lsh_recall(spark, sf_dir):
     e = clustered(spark, sf_dir)
     q = as_queries(e.where("vec_id % 100 = 0"))
     found, compared = lsh.lsh_search(lsh.SignCodes(DIM, TABLES, BITS), q, e, K)
-    share = compared.agg(F.avg("rows_compared").alias("mean")).join(e.agg(F.count(F.lit(1)).alias("n")), F.lit(True))
-    share = share.select((F.col("mean") / F.col("n")).alias("share_compared"))
-    return ann.recall(found, knn.knn_join(q, e, K)).join(share, F.lit(True))
+    share = compared.agg(F.avg("rows_compared")).first()[0] / max(e.count(), 1)
+    return ann.recall(found, knn.knn_join(q, e, K)).withColumn("share_compared", F.lit(share))
 
 
 # --- classes and votes -----------------------------------------------------

@@ -42,7 +42,9 @@ def test_query_equals_check_sql(spark, con, sf_dir, name):
 
 
 def test_every_query_without_sql_is_known():
-    assert set(QUERIES) - set(CHECK_SQL) == {"ann_index_build", "knn_ann", "ann_recall"}
+    assert set(QUERIES) - set(CHECK_SQL) == {
+        "ann_index_build", "knn_ann", "knn_ann_clustered", "ann_recall", "ann_recall_clustered", "knn_pruned_visits", "lsh_recall"
+    }
 
 
 def test_no_cross_join_anywhere(spark, sf_dir):
