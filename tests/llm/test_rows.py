@@ -280,15 +280,42 @@ def test_quality_counts(spark, sf_dir, documents, texts):
 
 
 def test_quality_scores_are_mean_log_ratios(spark):
-    """Two texts without collisions: the ratio of each n-gram by hand."""
-    good, bad = "alpha beta gamma", "wx yz wx"
+    """Two texts without collisions: the ratio of each n-gram by hand, and of n-grams neither knows."""
+    good, bad, new = "alphabet betamax gammarays", "wx yz", "quirk-like"
     docs = spark.createDataFrame([(1, good), (2, bad)], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
-    got = {r["doc_id"]: r["score"] for r in quality.quality_report(docs, labels).collect()}
-    b = quality.BUCKETS
-    ratio = lambda target, raw: math.log((target + 1) / (2 + b)) - math.log((raw + 1) / (4 + b))
-    assert got[1] == pytest.approx(ratio(1, 1), abs=1e-8)
-    assert got[2] == pytest.approx(ratio(0, 1), abs=1e-8)
+    model = quality.ratio_model(docs, labels)
+    every = docs.unionByName(spark.createDataFrame([(3, new)], docs.schema))
+    got = {r["i"]: r["score"] for r in quality.judged(every, model, ["doc_id"]).select("carried.doc_id", "score").withColumnRenamed("doc_id", "i").collect()}
+
+    def ratio(target, raw):
+        floors = quality.TARGET_FLOOR, quality.RAW_FLOOR
+        shares = [(1 - f) * n + f / quality.BUCKETS for f, n in zip(floors, (target, raw))]
+        return math.log(shares[0]) - math.log(shares[1])
+
+    assert got[1] == pytest.approx(ratio(1 / 3, 0), abs=1e-8)
+    # beginnings, endings, and twice nothing after the third character
+    assert got[2] == pytest.approx((2 * ratio(0, 1 / 2) + ratio(0, 1)) / 3, abs=1e-8)
+    assert got[3] == pytest.approx(math.log(quality.TARGET_FLOOR / quality.RAW_FLOOR), abs=1e-8) and got[3] < 0
+
+
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_random_words_are_rejected_at_two_sizes(spark, sf):
+    """Good documents, every word replaced by random letters, inside the corpus of the model and outside it."""
+    rnd = random.Random(5)
+    docs, labels = (table(spark, f"/root/testdata/sf{sf}", name) for name in ("documents", "labels"))
+    good = docs.join(labels.filter("quality = 1"), "doc_id").orderBy("doc_id").limit(90).select("doc_id", "text").collect()
+    first = 10**9
+    noise = lambda w: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in w)
+    rows = [(first + r["doc_id"], " ".join(map(noise, r["text"].split()))) for r in good if len(r["text"].split()) >= 50]
+    junk = spark.createDataFrame(rows, "doc_id long, text string")
+    narrow = docs.select("doc_id", "text")
+    for corpus in (narrow, narrow.unionByName(junk)):
+        out = quality.judged(narrow.unionByName(junk), quality.ratio_model(corpus, labels), ["doc_id"])
+        seen = out.select("carried.doc_id", "kept", "base_failed").join(labels, "doc_id", "left").collect()
+        assert sum(r["kept"] for r in seen if r["doc_id"] >= first) <= 0.1 * len(rows)
+        clean = [r["kept"] for r in seen if r["quality"] == 1 and not r["base_failed"]]
+        assert sum(clean) >= 0.99 * len(clean) > 0
 
 
 def test_quality_reads_whole_words(spark, sf_dir):
