@@ -13,6 +13,7 @@ from mailvane.functions import risk as R
 from mailvane.functions.text import combine_mail
 from mailvane.operators import ann
 from mailvane.operators import classify as C
+from mailvane.operators import names
 from mailvane.operators import vectorize as vz
 from mailvane.plans import duck
 from mailvane.plans.mails import CATEGORY, mails, table
@@ -303,6 +304,33 @@ def typosquat(spark, sf_dir):
     return parsed(spark, sf_dir).select("mail_id", "sender_domain", R.typosquat_of(F.col("sender_domain")).alias("typosquat"))
 
 
+@query(
+    "typosquat_joined",
+    f"{_PARSE}, {duck.SQUATS} SELECT mail_id, sender_domain, typosquat FROM parsed LEFT JOIN squats ON dom = sender_domain",
+)
+def typosquat_joined(spark, sf_dir):
+    """The brands as a table, joined with the distinct sender domains."""
+    rows = parsed(spark, sf_dir).select("mail_id", "sender_domain")
+    brands = spark.createDataFrame(list(enumerate(V.BRAND_DOMAINS)), "place int, brand string")
+    squats = names.first_resembled(rows, brands, V.TYPOSQUAT_MIN_SIMILARITY, "sender_domain")
+    return rows.join(squats, rows["sender_domain"] == squats["name"], "left").drop("name")
+
+
+_SENDERS = "(SELECT DISTINCT sender_domain AS domain FROM parsed WHERE sender_domain <> '')"
+
+
+@query(
+    "similar_hosts",
+    f"""{_PARSE}, {_HOSTS} SELECT domain, dom AS host, {sql_r6(duck.similarity('domain', 'dom'))} AS similarity
+  FROM {_SENDERS} JOIN hosts ON domain <> dom AND dom <> '' AND {duck.similarity('domain', 'dom')} > 0.5::FLOAT""",
+)
+def similar_hosts(spark, sf_dir):
+    """Sender domains against all hosts of the pages."""
+    hosts = table(spark, sf_dir, "pages").select(P.url_host(F.col("url")).alias("host"))
+    pairs = names.similar_names(parsed(spark, sf_dir), hosts, 0.5, "sender_domain", "host")
+    return pairs.select(F.col("name").alias("domain"), F.col("entry").alias("host"), r6("similarity").alias("similarity"))
+
+
 @query(
     "risk_score",
     f"{_RISK} SELECT mail_id, {sql_r6('risk_score')} AS risk_score, array_to_string(signals, ' | ') AS signals FROM risk",
