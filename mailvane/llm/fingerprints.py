@@ -27,9 +27,11 @@ CELLS = 15
 GROWTH = 8
 #: One word in so many ends a paragraph within a line.
 WORDS_A_PARAGRAPH = 16
-#: Neighbouring documents that are handled together, about.
+#: Neighbouring documents that are handled together, about; more of them once there are many
+#: runs, but never above ``MOST_ROWS``.
 RUN_ROWS = 2000
-MOST_RUNS = 4096
+MANY_RUNS = 4096
+MOST_ROWS = 20_000
 
 _STEP = 0x9E3779B97F4A7C15 | 1
 _BACK = pow(_STEP, -1, 1 << 64)
@@ -234,39 +236,49 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], [f.split()[0] for f in _OUT.split(", ")])
 
 
+def _ordered(keys: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Pairs of signed numbers as 16 bytes each, in the order of the pairs."""
+    pairs = np.stack([keys, hashes], axis=1).astype(np.int64) ^ np.int64(-(2**63))
+    return np.ascontiguousarray(pairs).astype(np.int64).view(U64).astype(">u8").reshape(-1).view("S16")
+
+
 def fingerprint_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likenesses.
 
     The edit takes the second half from the next document by ascending id (after the last:
     the first; of one document: itself).  Null texts are empty.  Rows without an id come
-    last; rows that repeat an id follow each other by text.  An empty table gives an empty
-    result.
+    last; rows that repeat an id follow each other by a hash of their text.  An empty table
+    gives an empty result.
 
-    Documents are cut into runs of neighbouring ids, whose first ids are found from the ids
-    alone; the first row of each run goes to the run before as well, so texts are shuffled
-    once.  A run streams through its task.
+    Documents are cut into runs of neighbours by id and hash, so rows of one id or of none
+    make many runs (only equal rows stay together); the first row of each run goes to the
+    run before as well, so texts are shuffled once.  A run streams through its task.
     """
     ship_package()
     last = 2**63 - 1
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(last))
-    ids = docs.select(key.alias("key"))
-    runs = max(1, min(MOST_RUNS, ids.count() // RUN_ROWS))
-    # one id for each run, at most MOST_RUNS
-    firsts = np.sort([r["low"] for r in ids.repartitionByRange(runs, "key").groupBy(F.spark_partition_id()).agg(F.min("key").alias("low")).collect()])
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keys = docs.select(F.struct(key.alias("key"), F.xxhash64(text).alias("hash")).alias("at"))
+    total = keys.count()
+    runs = max(1, min(MANY_RUNS, total // RUN_ROWS), total // MOST_ROWS)
+    # 16 bytes for each run, as a range partitioner keeps them
+    lows = keys.repartitionByRange(runs, "at").groupBy(F.spark_partition_id()).agg(F.min("at").alias("low")).select("low.*").toPandas()
+    firsts = np.sort(_ordered(lows["key"].to_numpy("int64"), lows["hash"].to_numpy("int64")))
     n = max(1, len(firsts))
 
     @F.pandas_udf("long")
-    def place(keys: pd.Series) -> pd.Series:
-        """Twice the run, plus one if the id is its first."""
-        at = np.maximum(np.searchsorted(firsts, keys.to_numpy(), "right") - 1, 0)
-        return pd.Series(2 * at + (firsts[at] == keys.to_numpy()))
-
-    rows = docs.select(key.alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("_place", place("key"))
+    def place(keys: pd.Series, hashes: pd.Series) -> pd.Series:
+        """Twice the run, plus one if the row is its first."""
+        own = _ordered(keys.to_numpy(), hashes.to_numpy())
+        at = np.maximum(np.searchsorted(firsts, own, "right") - 1, 0)
+        return pd.Series(2 * at + (firsts[at] == own))
+
+    rows = docs.select(key.alias("key"), F.xxhash64(text).alias("hash"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    rows = rows.withColumn("_place", place("key", "hash"))
     run = F.expr("_place div 2")
     own = F.struct(run.alias("run"), F.lit(False).alias("guest"))
     before = F.struct(F.pmod(run - 1, F.lit(n)).alias("run"), F.lit(True).alias("guest"))
     dealt = rows.withColumn("_at", F.explode(F.when(F.col("_place") % 2 == 1, F.array(own, before)).otherwise(F.array(own))))
-    dealt = dealt.select("_at.run", "_at.guest", "key", "doc_id", "text").repartition(n, "run")
-    ordered = dealt.sortWithinPartitions("run", "guest", "key", "text").select("run", "guest", "doc_id", "text")
+    dealt = dealt.select("_at.run", "_at.guest", "key", "hash", "doc_id", "text").repartition(n, "run")
+    ordered = dealt.sortWithinPartitions("run", "guest", "key", "hash", "text").select("run", "guest", "doc_id", "text")
     return ordered.mapInArrow(_fingerprints, _OUT)

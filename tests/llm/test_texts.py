@@ -3,7 +3,7 @@
 import hashlib
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -445,3 +445,16 @@ def test_fingerprints_of_odd_rows(spark, odd_rows):
     one = fingerprints.fingerprint_report(frame(spark, [(1, "a b\nc")])).collect()[0]
     assert one["near_next"] == 1.0 and one["n_chars"] == 5
     assert fingerprints.fingerprint_report(frame(spark, [])).count() == 0
+
+
+def test_runs_of_rows_without_ids(spark, documents, texts, monkeypatch):
+    """A third of the rows has no id, and another one id: they make many runs, in one cycle of neighbours."""
+    monkeypatch.setattr(fingerprints, "RUN_ROWS", 7)
+    rows = [((None, 5, i)[k % 3], f"{t} {k}") for k, (i, t) in enumerate(sorted(texts.items()))]
+    docs = frame(spark, rows)
+    got = fingerprints.fingerprint_report(docs).collect()
+    assert len(got) == len(rows)
+    signed = {(r["id"], r["text"]): r["h"] for r in docs.selectExpr("doc_id id", "text", "xxhash64(text) h").collect()}
+    order = sorted(rows, key=lambda r: (2**63 - 1 if r[0] is None else r[0], signed[r]))
+    want = Counter((a[0], hashlib.sha256(fingerprints.edited(a[1], b[1]).encode()).hexdigest()) for a, b in zip(order, order[1:] + order[:1]))
+    assert Counter((r["doc_id"], r["edited_sha256"]) for r in got) == want
