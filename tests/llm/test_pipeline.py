@@ -119,7 +119,8 @@ def test_check_sql(spark, sf_dir, name):
     import duckdb
 
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     got = queries.QUERIES[name](spark, sf_dir).toPandas()
     want = con.sql(queries.CHECK_SQL[name]).df()
     columns = sorted(got.columns)
