@@ -1,19 +1,22 @@
-"""Removal of repeated byte strings: winnowed anchors, in place of prefix doubling.
+"""Removal of repeated byte strings: distributed prefix doubling over what winnowing leaves.
 
-A name stands for the n bytes from a position; equal names are equal strings (names are
-64-bit hashes, so that no global order is needed).  There is one step, from 24 bytes to
-the threshold of 50, and a position is dropped as soon as its name is unique.
+Winnowing drops most places that no other document shares, in blocks of documents:
 
 * 24 bytes: only anchors are named.  The anchor of a 50-byte string is the place of its
   least 24-byte hash, so equal strings have equal anchors; about one byte in 14 is one.
   Anchors whose name is in one document only are done.
 * Anchors left are named by all strings that share them, joined into one context of up to
   76 bytes.  Equal contexts settle all their strings at once: the first document keeps.
-* Contexts that differ under one anchor are settled string by string, 50 bytes, each
-  context from its first document only.
-
-In every step the names are gathered from blocks of documents (smallest document each),
-compared in buckets of names, and the answers go back to the blocks.
+* Where contexts differ under one anchor, a string stays open if another context also has
+  the anchor with the 13 bytes before or after it that the string holds.
+
+Prefix doubling settles the open strings.  Their places carry the names of 24 bytes as
+first ranks.  Spark sorts the pairs of ranks at offset 24 and numbers them: ranks of 48
+bytes.  Places with a rank of their own are dropped; the others are sorted by place, paired
+at offset 2, past the threshold of 50, sorted and ranked again; each rank's smallest
+document keeps.  A block sends each distinct string once, so a string that very many
+documents hold is one row a block in the sort.  Names are 64-bit hashes, so two ranks are
+equal where 128 bits are.
 """
 
 from __future__ import annotations
@@ -25,13 +28,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from mailvane.llm.wordhash import U64, Prefix, text_column
+from mailvane.llm.wordhash import U64, Prefix, mix, text_column
 from mailvane.shipping import ship_package
 
 WINDOW = 50
 ANCHOR = 24
 SPAN = WINDOW - ANCHOR + 1
+#: Bytes beside the anchor, of which every string holds those before or those after it.
+SIDE = (WINDOW - ANCHOR) // 2
 _PIECE = 1 << 18
 _PLACE = (1 << 20) - 1
 
@@ -48,7 +54,7 @@ class Anchors:
 
     def __init__(self, ids: np.ndarray, raw: np.ndarray, offsets: np.ndarray):
         self.ids = ids
-        docs, firsts, lasts, names, contexts, windows = [], [], [], [], [], []
+        docs, firsts, lasts, places, names, contexts, lefts, rights, windows = [], [], [], [], [], [], [], [], []
         for piece_docs, starts, ends in _pieces(offsets):
             base, top = starts[0], ends[-1]
             part = raw[base:top]
@@ -77,30 +83,37 @@ class Anchors:
             last = start[np.append(np.flatnonzero(fresh)[1:] - 1, len(start) - 1)]
             firsts.append(first + base)
             lasts.append(last + base)
-            names.append(name[place[fresh]])
+            at = place[fresh]
+            places.append(at + base)
+            names.append(name[at])
             contexts.append(sums.of(first, last + WINDOW))
+            # where a context ends before, none of its strings holds these bytes
+            lefts.append(sums.of(np.maximum(at - SIDE, first), at + ANCHOR))
+            rights.append(sums.of(at, np.minimum(at + ANCHOR + SIDE, last + WINDOW)))
             docs.append(piece_docs[np.searchsorted(starts - base, first, "right") - 1])
             windows.append((sums, base, len(first)))
         join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, dtype=kind)
         self.doc, self.first, self.last = join(docs, np.int64), join(firsts, np.int64), join(lasts, np.int64)
-        self.name, self.context = join(names, U64), join(contexts, U64)
+        self.place, self.name, self.context = join(places, np.int64), join(names, U64), join(contexts, U64)
+        self.left, self.right = join(lefts, U64), join(rights, U64)
         self._windows, self._ends = windows, np.cumsum([w[2] for w in windows])
 
     def strings(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Anchor, start and name of every string of the anchors ``which`` (sorted numbers)."""
-        anchor, start, name = [], [], []
-        part_of = np.searchsorted(self._ends, which, "right")
-        for part in np.unique(part_of):
-            sums, base, _ = self._windows[part]
-            mine = which[part_of == part]
-            n = self.last[mine] - self.first[mine] + 1
-            s = np.repeat(self.first[mine] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
-            anchor.append(np.repeat(mine, n))
-            start.append(s)
-            name.append(sums.of(s - base, s - base + WINDOW))
-        if not anchor:
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=U64)
-        return np.concatenate(anchor), np.concatenate(start), np.concatenate(name)
+        n = self.last[which] - self.first[which] + 1
+        start = np.repeat(self.first[which] - np.append(0, np.cumsum(n))[:-1], n) + np.arange(n.sum())
+        anchor = np.repeat(which, n)
+        return anchor, start, self.names(anchor, start, WINDOW)
+
+    def names(self, anchor: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
+        """Names of ``length`` bytes from each ``start``, which is within the context of its ``anchor`` (sorted)."""
+        out = np.zeros(len(start), dtype=U64)
+        edges = np.searchsorted(anchor, np.append(0, self._ends))
+        for part, (lo, hi) in enumerate(zip(edges[:-1], edges[1:])):
+            if lo < hi:
+                sums, base, _ = self._windows[part]
+                out[lo:hi] = sums.of(start[lo:hi] - base, start[lo:hi] - base + length)
+        return out
 
 
 def _pieces(offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -163,9 +176,11 @@ def _answers(blocks: list, kind: int, parts: list[np.ndarray]) -> pa.Table:
 
 #: 48 bits are enough to leave out unique names; what is left is compared by 64.
 _SHORT = np.dtype([("low", "<u4"), ("high", "<u2")])
-_CONTEXT = np.dtype([*_SHORT.descr, ("context", "<u8"), ("doc", "<i8")])
+_CONTEXT = np.dtype([*_SHORT.descr, ("context", "<u8"), ("doc", "<i8"), ("left", "<u2"), ("right", "<u2")])
 _SETTLED = np.dtype([("context", "<u8"), ("doc", "<i8"), ("mixed", "u1")])
 _STRING = np.dtype([("name", "<u8"), ("doc", "<i8")])
+#: Bits of ``mixed``: strings that hold the bytes before the anchor are open, those that hold the bytes after it.
+_LEFT, _RIGHT = 1, 2
 
 
 def _short(name: np.ndarray) -> np.ndarray:
@@ -234,6 +249,7 @@ def _send_contexts(buckets: int):
         records = np.empty(len(mine), dtype=_CONTEXT)
         records["low"], records["high"] = short["low"][mine], short["high"][mine]
         records["context"], records["doc"] = found.context[mine], ids[found.doc[mine]]
+        records["left"], records["right"] = found.left[mine] & U64(0xFFFF), found.right[mine] & U64(0xFFFF)
         least = _least(records, "context")
         return _dealt(block, least, _number(least) << U64(16), buckets)
 
@@ -250,59 +266,114 @@ def _least(records: np.ndarray, by: str) -> np.ndarray:
 
 
 def _settle_contexts(table: pa.Table) -> pa.Table:
-    """First document of each context, and whether its anchor has other contexts."""
+    """First document of each context, and on which sides of its anchor another context is alike."""
     blocks = table["block"].to_pylist()
     parts = [_unpacked(x, _CONTEXT) for x in table["names"].to_pylist()]
     least = _least(np.concatenate(parts), "context")
-    names, contexts = np.unique(_number(least), return_counts=True)
-    mixed_names = names[contexts > 1]
+    # 16 bits beside the 48 of the anchor's name: too many may stay open, none too few
+    side = lambda r, which: (_number(r) << U64(16)) | r[which].astype(U64)
+    alike = {}
+    for which in ("left", "right"):
+        names, contexts = np.unique(side(least, which), return_counts=True)
+        alike[which] = names[contexts > 1]
     out = []
     for p in parts:
         r = np.empty(len(p), dtype=_SETTLED)
         at = np.searchsorted(least["context"], p["context"])
-        r["context"], r["doc"], r["mixed"] = p["context"], least["doc"][at], _among(_number(p), mixed_names)
+        r["context"], r["doc"], r["mixed"] = p["context"], least["doc"][at], _LEFT * _among(side(p, "left"), alike["left"]) + _RIGHT * _among(side(p, "right"), alike["right"])
         # a block knows by itself what it has first and alone
-        out.append(r[(r["mixed"] == 1) | (r["doc"] < p["doc"])])
+        out.append(r[(r["mixed"] > 0) | (r["doc"] < p["doc"])])
     return _answers(blocks, 2, out)
 
 
 def _first_docs(found: Anchors, ids: np.ndarray, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """For each anchor the first document with its context, and whether the context is mixed."""
+    """For each anchor the first document with its context, and the sides on which strings are open."""
     local = np.empty(len(found.context), dtype=_STRING)
     local["name"], local["doc"] = found.context, ids[found.doc]
     least = _least(local, "name")
     first = least["doc"][np.searchsorted(least["name"], found.context)] if len(least) else np.zeros(0, dtype=np.int64)
     settled = _records(answers.filter(pa.compute.equal(answers["kind"], 2)), _SETTLED)
     settled = settled[np.argsort(settled["context"], kind="stable")]
-    mixed = np.zeros(len(found.context), dtype=bool)
+    mixed = np.zeros(len(found.context), dtype=np.uint8)
     if len(settled):
         known = _among(found.context, settled["context"])
         at = np.searchsorted(settled["context"], found.context[known])
         first[known] = np.minimum(first[known], settled["doc"][at])
-        mixed[known] = settled["mixed"][at] == 1
+        mixed[known] = settled["mixed"][at]
     return first, mixed
 
 
-def _send_strings(buckets: int):
+def _open_strings(found: Anchors, ids: np.ndarray, first: np.ndarray, mixed: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Anchor, start, document and number of every open string; of each number its first place, least document first."""
+    anchor, start, name = found.strings(np.flatnonzero((mixed > 0) & (first == ids[found.doc])))
+    before = found.place[anchor] - start
+    sides = np.where(before >= SIDE, _LEFT, 0) | np.where(before <= WINDOW - ANCHOR - SIDE, _RIGHT, 0)
+    stay = (mixed[anchor] & sides) == sides
+    anchor, start, name = anchor[stay], start[stay], name[stay]
+    doc = ids[found.doc[anchor]]
+    order = np.lexsort((start, doc, name))
+    fresh = np.ones(len(order), dtype=bool)
+    fresh[1:] = name[order][1:] != name[order][:-1]
+    number = np.empty(len(order), dtype=np.int64)
+    number[order] = np.cumsum(fresh) - 1
+    return anchor, start, doc, number, order[fresh]
+
+
+_PLACES = "part long, block long, place array<int>, doc array<long>, a array<long>, b array<long>"
+#: Between the ranks of two places 24 bytes apart, and from there to the whole string.
+_CLOSE = WINDOW - 2 * ANCHOR
+
+
+def _send_places(parts: int):
+    """Places of the open strings, and those by which they are closed, with the names of 24 bytes there and 24 bytes on."""
+
     def send(key, table: pa.Table, answers: pa.Table) -> pa.Table:
         block, ids, raw, offsets = _block(table)
         found = Anchors(ids, raw, offsets)
-        first, mixed = _first_docs(found, ids, answers)
-        anchor, _, name = found.strings(np.flatnonzero(mixed & (first == ids[found.doc])))
-        records = np.empty(len(name), dtype=_STRING)
-        records["name"], records["doc"] = name, ids[found.doc[anchor]]
-        records = np.unique(records)
-        return _dealt(block, records, records["name"], buckets)
+        anchor, start, doc, _, one = _open_strings(found, ids, *_first_docs(found, ids, answers))
+        one = np.sort(one)  # by anchor
+        place = np.concatenate([start[one], start[one] + _CLOSE])
+        place, at = np.unique(place, return_index=True)
+        at = one[at % max(len(one), 1)]
+        order = np.argsort(anchor[at], kind="stable")
+        place, at = place[order], at[order]
+        a, b = (found.names(anchor[at], place + k, ANCHOR) for k in (0, ANCHOR))
+        part = ((mix(a ^ (b << U64(1))) >> U64(32)) % U64(parts)).astype(np.int64)
+        order = np.lexsort((place, part))
+        part = part[order]
+        edges = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
+        lists = lambda x, kind: pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(x[order], kind))
+        return pa.table(
+            {
+                "part": pa.array(part[edges[:-1]], pa.int64()),
+                "block": pa.array(np.full(len(edges) - 1, block), pa.int64()),
+                "place": lists(place.astype(np.int32), pa.int32()),
+                "doc": lists(doc[at], pa.int64()),
+                "a": lists(a.view(np.int64), pa.int64()),
+                "b": lists(b.view(np.int64), pa.int64()),
+            }
+        )
 
     return send
 
 
-def _settle_strings(table: pa.Table) -> pa.Table:
-    """Strings that are in a smaller document as well, to the blocks that asked."""
-    blocks = table["block"].to_pylist()
-    parts = [_unpacked(x, _STRING) for x in table["names"].to_pylist()]
-    least = _least(np.concatenate(parts), "name")
-    return _answers(blocks, 3, [p[least["doc"][np.searchsorted(least["name"], p["name"])] < p["doc"]] for p in parts])
+def _repeated(places: DataFrame, parts: int) -> DataFrame:
+    """``block, place, least``: the smallest document of each string that is in a smaller one as well.
+
+    Two rounds of prefix doubling, from 24 bytes to 48 and to 50.
+    """
+    rows = places.repartition("part").select("part", "block", F.inline(F.arrays_zip("place", "doc", "a", "b")))
+    pair = Window.partitionBy("part").orderBy("a", "b")
+    same = lambda by: (F.col("a").eqNullSafe(by(F.col("a")).over(pair))) & (F.col("b").eqNullSafe(by(F.col("b")).over(pair)))
+    ranked = rows.select("part", "block", "place", "doc", F.dense_rank().over(pair).alias("n"), (same(F.lag) | same(F.lead)).alias("shared"))
+    rank = F.col("n").cast("long") * parts + F.col("part")
+    doubled = ranked.filter("shared").select("block", "place", "doc", rank.alias("rank"))
+    along = Window.partitionBy("block").orderBy("place")
+    step = [(F.lead("place", k).over(along), F.lead("rank", k).over(along)) for k in range(1, _CLOSE + 1)]
+    on = F.coalesce(*[F.when(place == F.col("place") + _CLOSE, rank) for place, rank in step])
+    closed = doubled.select("block", "place", "doc", "rank", on.alias("on")).filter(F.col("on").isNotNull())
+    least = F.min("doc").over(Window.partitionBy("rank", "on"))
+    return closed.select("block", "place", "doc", least.alias("least")).filter("least < doc").select("block", "place", "least")
 
 
 _OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -315,11 +386,15 @@ def _apply(with_text: bool):
         first, mixed = _first_docs(found, ids, answers)
         late = first < ids[found.doc]
         begin, end = [found.first[late]], [found.last[late] + WINDOW]
-        repeated = _records(answers.filter(pa.compute.equal(answers["kind"], 3)), _STRING)
-        anchor, start, name = found.strings(np.flatnonzero(mixed & ~late))
-        asked = np.empty(len(name), dtype=_STRING)
-        asked["name"], asked["doc"] = name, ids[found.doc[anchor]]
-        hit = np.isin(asked, repeated) if len(repeated) and len(asked) else np.zeros(len(asked), dtype=bool)
+        _, start, doc, number, one = _open_strings(found, ids, first, mixed)
+        least = doc[one]
+        told = answers.filter(pa.compute.equal(answers["kind"], 3))
+        place, other = told["place"].to_numpy(), told["least"].to_numpy()
+        order = np.argsort(place)
+        place, other = place[order], other[order]
+        known = _among(start[one], place)
+        least[known] = other[np.searchsorted(place, start[one][known])]
+        hit = least[number] < doc
         begin.append(start[hit])
         end.append(start[hit] + WINDOW)
         depth = np.zeros(len(raw) + 1, dtype=np.int32)
@@ -374,7 +449,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     shared = ask(by_block.applyInArrow(_send_anchors(buckets), _MESSAGE), _shared_anchors)
     settled = ask(tell(shared, _send_contexts(buckets), _MESSAGE), _settle_contexts)
-    strings = ask(tell(settled, _send_strings(buckets), _MESSAGE), _settle_strings)
-    out = tell(settled.unionByName(strings), _apply(with_text), _OUT + (", kept binary" if with_text else ""))
+    repeated = _repeated(tell(settled, _send_places(buckets), _PLACES), buckets).withColumn("kind", F.lit(3))
+    out = tell(settled.unionByName(repeated, allowMissingColumns=True), _apply(with_text), _OUT + (", kept binary" if with_text else ""))
     doc_id = F.when(F.col("doc_id") < last, F.col("doc_id")).alias("doc_id")
     return out.select(doc_id, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else []))
