@@ -132,13 +132,40 @@ def _pieces(offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
         lo = hi
 
 
+_TEXTS = "block long, doc_id array<long>, mark array<long>, size array<long>, texts binary"
+
+
+def _texts_by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of a batch that go to one block as one compressed row; they are most of what is shuffled."""
+    for batch in batches:
+        block, ids, mark = (batch[c].to_numpy() for c in ("block", "doc_id", "mark"))
+        raw, offsets = text_column(batch["text"])
+        size = np.diff(offsets)
+        order = np.argsort(block, kind="stable")
+        edges = np.append(np.flatnonzero(np.diff(block[order], prepend=-1)), len(order))
+        rows = [order[lo:hi] for lo, hi in zip(edges[:-1], edges[1:])]
+        lists = lambda x: pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(x[order], pa.int64()))
+        texts = [pa.compress(_gathered(raw, offsets, r).tobytes(), codec="zstd", asbytes=True) for r in rows]
+        columns = [pa.array(block[order][edges[:-1]], pa.int64()), lists(ids), lists(mark), lists(size), pa.array(texts, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["block", "doc_id", "mark", "size", "texts"])
+
+
+def _gathered(raw: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    return np.concatenate([raw[:0], *(raw[offsets[i] : offsets[i + 1]] for i in rows)])
+
+
 def _block(table: pa.Table) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
-    table = table.combine_chunks()
-    column = table["text"].combine_chunks() if table.num_rows else pa.array([], pa.string())
-    if isinstance(column, pa.ChunkedArray):
-        column = pa.concat_arrays(column.chunks)
-    raw, offsets = text_column(column)
-    return (table["block"][0].as_py() if table.num_rows else -1), table["doc_id"].to_numpy(), raw, offsets
+    """Number, ids, bytes and offsets of a block, in an order that does not depend on how its rows arrive."""
+    if not table.num_rows:
+        return -1, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint8), np.zeros(1, dtype=np.int64)
+    flat = lambda c: table[c].combine_chunks().flatten().to_numpy()
+    ids, mark, size = flat("doc_id"), flat("mark"), flat("size")
+    whole = [sum(x) for x in table["size"].to_pylist()]
+    parts = [np.frombuffer(pa.decompress(t, n, codec="zstd"), dtype=np.uint8) for t, n in zip(table["texts"].to_pylist(), whole)]
+    offsets = np.append(0, np.cumsum(size))
+    order = np.lexsort((size, mark, ids))
+    raw = _gathered(np.concatenate(parts), offsets, order)
+    return table["block"][0].as_py(), ids[order], raw, np.append(0, np.cumsum(size[order]))
 
 
 def _packed(records: np.ndarray) -> bytes:
@@ -411,7 +438,7 @@ def _apply(with_text: bool):
             if with_text:
                 kept.append(rest)
         out = {
-            "doc_id": table["doc_id"],
+            "doc_id": pa.array(ids, pa.int64()),
             "n_bytes": pa.array(np.diff(offsets), pa.int64()),
             "n_removed": pa.array(n_removed, pa.int64()),
             "n_spans": pa.array(n_spans, pa.int64()),
@@ -434,12 +461,13 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     blocks, buckets = 1 + total // BLOCK_BYTES, 1 + total // BUCKET_BYTES
     last = 2**63 - 1
-    rows = docs.select(
+    narrow = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(last)).alias("doc_id"),
         text.alias("text"),
+        F.xxhash64(text).alias("mark"),
         F.pmod(F.xxhash64(id_col, text_col), F.lit(blocks)).cast("long").alias("block"),
     )
-    by_block = rows.groupBy("block")
+    by_block = narrow.mapInArrow(_texts_by_block, _TEXTS).groupBy("block")
 
     def ask(sent: DataFrame, settle) -> DataFrame:
         return sent.groupBy("bucket").applyInArrow(settle, _ANSWER)
