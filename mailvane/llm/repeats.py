@@ -7,8 +7,8 @@ Winnowing drops most places that no other document shares, in blocks of document
   Anchors whose name is in one document only are done.
 * Anchors left are named by all strings that share them, joined into one context of up to
   76 bytes.  Equal contexts settle all their strings at once: the first document keeps.
-* Where contexts differ under one anchor, a string stays open if another context also has
-  the anchor with the 13 bytes before or after it that the string holds.
+* Where contexts differ under one anchor, a string stays open if other contexts also have
+  the anchor with those of the 7, 13 and 19 bytes before and after it that the string holds.
 
 Prefix doubling settles the open strings.  Their places carry the names of 24 bytes as
 first ranks.  Spark sorts the pairs of ranks at offset 24 and numbers them: ranks of 48
@@ -36,8 +36,8 @@ from mailvane.shipping import ship_package
 WINDOW = 50
 ANCHOR = 24
 SPAN = WINDOW - ANCHOR + 1
-#: Bytes beside the anchor, of which every string holds those before or those after it.
-SIDE = (WINDOW - ANCHOR) // 2
+#: Lengths beside the anchor; what a string holds before and after it adds up to 26 bytes.
+SIDES = (7, 13, 19)
 _PIECE = 1 << 18
 _PLACE = (1 << 20) - 1
 
@@ -54,7 +54,7 @@ class Anchors:
 
     def __init__(self, ids: np.ndarray, raw: np.ndarray, offsets: np.ndarray):
         self.ids = ids
-        docs, firsts, lasts, places, names, contexts, lefts, rights, windows = [], [], [], [], [], [], [], [], []
+        docs, firsts, lasts, places, names, contexts, sides, windows = [], [], [], [], [], [], [], []
         for piece_docs, starts, ends in _pieces(offsets):
             base, top = starts[0], ends[-1]
             part = raw[base:top]
@@ -88,14 +88,15 @@ class Anchors:
             names.append(name[at])
             contexts.append(sums.of(first, last + WINDOW))
             # where a context ends before, none of its strings holds these bytes
-            lefts.append(sums.of(np.maximum(at - SIDE, first), at + ANCHOR))
-            rights.append(sums.of(at, np.minimum(at + ANCHOR + SIDE, last + WINDOW)))
+            left = [sums.of(np.maximum(at - n, first), at + ANCHOR) for n in SIDES]
+            right = [sums.of(at, np.minimum(at + ANCHOR + n, last + WINDOW)) for n in SIDES]
+            sides.append(np.stack([(x & U64(0xFF)).astype(np.uint8) for x in left + right], axis=1))
             docs.append(piece_docs[np.searchsorted(starts - base, first, "right") - 1])
             windows.append((sums, base, len(first)))
         join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, dtype=kind)
         self.doc, self.first, self.last = join(docs, np.int64), join(firsts, np.int64), join(lasts, np.int64)
         self.place, self.name, self.context = join(places, np.int64), join(names, U64), join(contexts, U64)
-        self.left, self.right = join(lefts, U64), join(rights, U64)
+        self.sides = np.concatenate(sides) if sides else np.zeros((0, 2 * len(SIDES)), dtype=np.uint8)
         self._windows, self._ends = windows, np.cumsum([w[2] for w in windows])
 
     def strings(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -203,11 +204,10 @@ def _answers(blocks: list, kind: int, parts: list[np.ndarray]) -> pa.Table:
 
 #: 48 bits are enough to leave out unique names; what is left is compared by 64.
 _SHORT = np.dtype([("low", "<u4"), ("high", "<u2")])
-_CONTEXT = np.dtype([*_SHORT.descr, ("context", "<u8"), ("doc", "<i8"), ("left", "<u2"), ("right", "<u2")])
+_CONTEXT = np.dtype([*_SHORT.descr, ("context", "<u8"), ("doc", "<i8"), *((f"side{k}", "u1") for k in range(2 * len(SIDES)))])
 _SETTLED = np.dtype([("context", "<u8"), ("doc", "<i8"), ("mixed", "u1")])
 _STRING = np.dtype([("name", "<u8"), ("doc", "<i8")])
-#: Bits of ``mixed``: strings that hold the bytes before the anchor are open, those that hold the bytes after it.
-_LEFT, _RIGHT = 1, 2
+
 
 
 def _short(name: np.ndarray) -> np.ndarray:
@@ -276,7 +276,8 @@ def _send_contexts(buckets: int):
         records = np.empty(len(mine), dtype=_CONTEXT)
         records["low"], records["high"] = short["low"][mine], short["high"][mine]
         records["context"], records["doc"] = found.context[mine], ids[found.doc[mine]]
-        records["left"], records["right"] = found.left[mine] & U64(0xFFFF), found.right[mine] & U64(0xFFFF)
+        for k in range(2 * len(SIDES)):
+            records[f"side{k}"] = found.sides[mine, k]
         least = _least(records, "context")
         return _dealt(block, least, _number(least) << U64(16), buckets)
 
@@ -297,17 +298,17 @@ def _settle_contexts(table: pa.Table) -> pa.Table:
     blocks = table["block"].to_pylist()
     parts = [_unpacked(x, _CONTEXT) for x in table["names"].to_pylist()]
     least = _least(np.concatenate(parts), "context")
-    # 16 bits beside the 48 of the anchor's name: too many may stay open, none too few
-    side = lambda r, which: (_number(r) << U64(16)) | r[which].astype(U64)
-    alike = {}
-    for which in ("left", "right"):
-        names, contexts = np.unique(side(least, which), return_counts=True)
-        alike[which] = names[contexts > 1]
+    # 8 bits beside the 48 of the anchor's name: too many may stay open, none too few
+    side = lambda r, k: (_number(r) << U64(8)) | r[f"side{k}"].astype(U64)
+    alike = []
+    for k in range(2 * len(SIDES)):
+        names, contexts = np.unique(side(least, k), return_counts=True)
+        alike.append(names[contexts > 1])
     out = []
     for p in parts:
         r = np.empty(len(p), dtype=_SETTLED)
         at = np.searchsorted(least["context"], p["context"])
-        r["context"], r["doc"], r["mixed"] = p["context"], least["doc"][at], _LEFT * _among(side(p, "left"), alike["left"]) + _RIGHT * _among(side(p, "right"), alike["right"])
+        r["context"], r["doc"], r["mixed"] = p["context"], least["doc"][at], sum(_among(side(p, k), x).astype(np.uint8) << k for k, x in enumerate(alike))
         # a block knows by itself what it has first and alone
         out.append(r[(r["mixed"] > 0) | (r["doc"] < p["doc"])])
     return _answers(blocks, 2, out)
@@ -334,7 +335,10 @@ def _open_strings(found: Anchors, ids: np.ndarray, first: np.ndarray, mixed: np.
     """Anchor, start, document and number of every open string; of each number its first place, least document first."""
     anchor, start, name = found.strings(np.flatnonzero((mixed > 0) & (first == ids[found.doc])))
     before = found.place[anchor] - start
-    sides = np.where(before >= SIDE, _LEFT, 0) | np.where(before <= WINDOW - ANCHOR - SIDE, _RIGHT, 0)
+    sides = np.zeros(len(start), dtype=np.uint8)
+    for k, n in enumerate(SIDES):
+        sides |= np.where(before >= n, 1 << k, 0).astype(np.uint8)
+        sides |= np.where(WINDOW - ANCHOR - before >= n, 1 << (k + len(SIDES)), 0).astype(np.uint8)
     stay = (mixed[anchor] & sides) == sides
     anchor, start, name = anchor[stay], start[stay], name[stay]
     doc = ids[found.doc[anchor]]
@@ -476,8 +480,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return by_block.cogroup(answers.groupBy("block")).applyInArrow(send, schema)
 
     shared = ask(by_block.applyInArrow(_send_anchors(buckets), _MESSAGE), _shared_anchors)
-    settled = ask(tell(shared, _send_contexts(buckets), _MESSAGE), _settle_contexts)
-    repeated = _repeated(tell(settled, _send_places(buckets), _PLACES), buckets).withColumn("kind", F.lit(3))
+    settled = ask(tell(shared, _send_contexts(buckets), _MESSAGE), _settle_contexts).repartition("block")
+    repeated = _repeated(tell(settled, _send_places(buckets), _PLACES), buckets).withColumn("kind", F.lit(3)).repartition("block")
     out = tell(settled.unionByName(repeated, allowMissingColumns=True), _apply(with_text), _OUT + (", kept binary" if with_text else ""))
     doc_id = F.when(F.col("doc_id") < last, F.col("doc_id")).alias("doc_id")
     return out.select(doc_id, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else []))

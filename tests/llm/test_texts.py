@@ -391,6 +391,22 @@ def test_repeats_of_cut_and_joined_passages(spark, monkeypatch, seed):
     assert repeats_of(repeats.without_repeats(frame(spark, rows))) == brute_repeats(rows)
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_repeats_of_a_passage_in_many_surroundings(spark, monkeypatch, parts):
+    """One passage of each length about the threshold, alone between random letters; row order and splits change nothing."""
+    monkeypatch.setattr(repeats, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(repeats, "BUCKET_BYTES", 9000)
+    rnd = random.Random(parts)
+    noise = lambda n: "".join(rnd.choice("klmnopqrstuvwxyz") for _ in range(n))
+    passage = "".join(rnd.choice("abcdefgh ") for _ in range(60))
+    rows = [(i, noise(rnd.randrange(90)) + passage[: 46 + i % 14] + noise(rnd.randrange(90))) for i in range(150)]
+    rows += [(i, t) for i, t in rows[:5]] + [(3, noise(70))]
+    rnd.shuffle(rows)
+    got = repeats_of(repeats.without_repeats(frame(spark, rows).repartition(parts)))
+    assert got == brute_repeats(rows)
+    assert any(n for v in got.values() for _, n, _, _ in v)
+
+
 def test_repeats_of_odd_rows(spark, odd_rows):
     short = [(i, t if t is None or len(t) < 3000 else t[:3000]) for i, t in odd_rows]
     out = repeats.without_repeats(frame(spark, short), with_text=True)
