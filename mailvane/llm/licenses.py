@@ -252,7 +252,7 @@ t AS (SELECT license, {pairs} AS tp FROM (SELECT license, {norm.format("text")}
 lines AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls, text FROM documents),
 units AS (SELECT doc_id, 0 AS line, text FROM lines WHERE len(ls) > 1
   UNION ALL SELECT doc_id, unnest(range(1, len(ls) + 1))::INT AS line, unnest(ls) AS text FROM lines),
-u AS (SELECT doc_id, line, {pairs} AS up FROM (SELECT doc_id, line, {norm.format("text")} AS w FROM units WHERE length(text) < 400 OR line = 0)),
+u AS (SELECT doc_id, line, {pairs} AS up FROM (SELECT doc_id, line, {norm.format("text")} AS w FROM units)),
 scored AS (SELECT doc_id, line, license, len(up) AS n_bigrams,
   round(2.0::DOUBLE * len(list_intersect(up, tp)) / (len(up) + len(tp)), 9) AS dice FROM u, t)
 SELECT doc_id, line, license, dice, n_bigrams FROM scored WHERE dice >= {threshold}
