@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from mailvane.operators import classify as C
+from mailvane.plans import stream_queries as S
 from mailvane.plans.mails import mails
 from mailvane.sources.corpus import read_corpus, write_corpus
 from mailvane.sources.vectors import text_lines
@@ -83,3 +84,15 @@ def test_training_after_rejects_on_an_old_corpus_with_a_new_checkpoint(spark, tm
     run("two")
     ids = sorted(r["vec_id"] for r in read_corpus(spark, f"{tmp_path}/corpus").collect())
     assert ids == [41, *range(42, 542), *range(542, 1042)]
+
+
+def test_documents_may_be_a_folder_of_files(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"some words about item {i}", 24) for i in range(36)], "doc_id long, text string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(0, 36, 2)] + [(27, 1, 1)], "doc_id long, quality int, toxic int")
+    labels.coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    scored = S.stream_classify_raw(spark, str(tmp_path)).select("mail_id").collect()
+    assert sorted(r["mail_id"] for r in scored) == sorted(set(range(36)) - set(range(0, 36, 2)) - {27})
+    trained = S.stream_train(spark, str(tmp_path)).collect()
+    assert {r["n_ids"] for r in trained} == {9}  # numbers 0, 8, 10, 16, 18, 26, 27, 28, 34
+    assert {r["outcome"]: r["n_lines"] for r in trained}["invalid_json"] == 4  # numbers 6, 14, 24, 32
