@@ -82,10 +82,12 @@ def byte_trigrams_hex(tokens: Column) -> Column:
     """All 3-byte windows of every token, as hex so that a window may cut a character."""
 
     def windows(t: Column) -> Column:
-        h = utf8_hex(t)
         return F.when(
             F.octet_length(t) >= 3,
-            F.transform(F.sequence(F.lit(1), F.octet_length(t) - 2), lambda i: F.substr(h, 2 * i - 1, F.lit(6))),
+            let(  # as bytes, so that a window is found without counting characters
+                F.encode(t, "UTF-8"),
+                lambda b: F.transform(F.sequence(F.lit(1), F.octet_length(b) - 2), lambda i: F.hex(F.substr(b, i, F.lit(3)))),
+            ),
         ).otherwise(F.array().cast("array<string>"))
 
     return F.flatten(F.transform(tokens, windows))

@@ -10,6 +10,7 @@ from mailvane.functions import text as X
 from mailvane.functions.hashing import bucket, fnv1a, hash_vectors
 from mailvane.functions.jsontext import json_text
 from mailvane.functions.vectors import check_dim, cosine_distance
+from mailvane.operators.features import weighted_features, window_counts
 
 # attack words come first: a word on both lists gets the attack weight
 BOOSTS = {**V.SPAM_BOOST, **V.ATTACK_BOOST}
@@ -95,6 +96,11 @@ def unigram_counts(docs: DataFrame, id_col: str, tokens: Column) -> DataFrame:
     return feature_counts(docs, id_col, tokens, "word")
 
 
+def trigram_counts(docs: DataFrame, id_col: str, tokens: Column) -> DataFrame:
+    """``(id, trigram, n)`` of the 3-byte windows of all tokens, named by their hex."""
+    return window_counts(docs, id_col, tokens, "trigram")
+
+
 def boosted_unigrams(docs: DataFrame, id_col: str, tokens: Column) -> DataFrame:
     """Word weights with keyword boosts: a join with the (fixed, 39 row) boost table."""
     table = docs.sparkSession.createDataFrame(sorted(BOOSTS.items()), "word string, boost double")
@@ -108,26 +114,7 @@ def boosted_unigrams(docs: DataFrame, id_col: str, tokens: Column) -> DataFrame:
 def enhanced_features(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
     """Weight of every feature of the enhanced profile, features named by the hex of their bytes."""
 
-    def boost(word: Column) -> Column:
-        weight = F.lit(1.0)
-        for value in sorted(set(BOOSTS.values())):
-            weight = F.when(word.isin([w for w, b in BOOSTS.items() if b == value]), value).otherwise(weight)
-        return weight
-
-    def weighted(tokens: Column, base: float) -> Column:
-        item = lambda f, w: F.struct(f.alias("item"), w.alias("weight"))
-        return F.concat(
-            F.transform(tokens, lambda t: item(X.utf8_hex(t), boost(t) * base)),
-            F.transform(X.bigrams(tokens), lambda t: item(X.utf8_hex(t), F.lit(V.BIGRAM_WEIGHT * base))),
-            F.transform(X.byte_trigrams_hex(tokens), lambda t: item(t, F.lit(V.TRIGRAM_WEIGHT * base))),
-        )
-
-    (first, w1), (second, w2) = token_passes(text)
-    tokens = docs.select(id_col, first.alias("_t1"), second.alias("_t2"))
-    both = F.concat(weighted(F.col("_t1"), w1), weighted(F.col("_t2"), w2))
-    total = lambda same: F.aggregate(same, F.lit(0.0), lambda acc, x: acc + x["weight"])
-    summed = tokens.select(id_col, F.explode(_runs(both, total)).alias("e"))
-    return summed.select(id_col, F.col("e.item").alias("feature"), F.col("e.v").alias("weight"))
+    return weighted_features(docs, id_col, token_passes(text), BOOSTS)
 
 
 def vocabulary(docs: DataFrame, tokens: Column, dim: int) -> DataFrame:

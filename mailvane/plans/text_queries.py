@@ -103,8 +103,7 @@ def bigrams(spark, sf_dir):
   FROM (SELECT doc_id, hex(unnest({duck.kept('text')})) h FROM documents)) GROUP BY 1, 2""",
 )
 def char_trigrams(spark, sf_dir):
-    grams = X.byte_trigrams_hex(X.remove_stop_words(X.unicode_tokens("text")))
-    return vz.feature_counts(docs(spark, sf_dir), "doc_id", grams, "trigram")
+    return vz.trigram_counts(docs(spark, sf_dir), "doc_id", X.remove_stop_words(X.unicode_tokens("text")))
 
 
 @query("leet_normalize", f"WITH {duck.MAILS} SELECT mail_id, {duck.leet('lower(body)')} AS text FROM mails")

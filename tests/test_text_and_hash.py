@@ -174,3 +174,36 @@ def test_profile_diff_of_equal_profiles_is_zero(spark):
     df = spark.createDataFrame([(1, "some words")], "id int, text string")
     r = vz.profile_diff(df, "id", F.col("text"), "basic", "basic").first()
     assert abs(r["distance"]) < 1e-9 and r["n_diff"] == 0
+
+
+def test_counted_features_equal_brute_force_and_take_long_words(spark):
+    import re
+    import time
+    from collections import Counter
+
+    from mailvane.operators import vectorize as vz
+    from mailvane.operators.features import weighted_features
+
+    long = "".join(chr(97 + i * i % 26) for i in range(300_000))
+    texts = ["", None, "a", "ab b abc abc abcd", "é ñandú 東京都 x abc", "one " * 40, long, "b abc a", "abc abc"]
+    docs = spark.createDataFrame([(i % 8, t) for i, t in enumerate(texts)], "id int, text string").repartition(2)
+    want, weights = Counter(), Counter()
+    for i, t in enumerate(texts):
+        words = [w for w in re.split(r"\s+", t or "") if w]
+        for w in words:
+            b = w.encode()
+            grams = [b[j : j + 3].hex().upper() for j in range(len(b) - 2)]
+            want.update((i, g) for g in grams)
+            weights[i, b.hex().upper()] += 2.0 if w == "abc" else 1.0
+            for g in grams:
+                weights[i, g] += 0.3
+        for x, y in zip(words, words[1:]):
+            weights[i, f"{x}_{y}".encode().hex().upper()] += 0.7
+    tokens = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")
+    start = time.time()
+    # ids 0 and 8 are the same number: two rows, counted apart
+    got = vz.trigram_counts(docs, "id", tokens).collect()
+    assert sorted((r["id"], r["trigram"], r["n"]) for r in got) == sorted((i % 8, g, n) for (i, g), n in want.items())
+    got = weighted_features(docs, "id", [(tokens, 1.0)], {"abc": 2.0}).collect()
+    assert sorted((r["id"], r["feature"], round(r["weight"], 6)) for r in got) == sorted((i % 8, g, round(n, 6)) for (i, g), n in weights.items())
+    assert time.time() - start < 60  # quadratic in the length of a word before
