@@ -1,8 +1,9 @@
 """Quality rules: hashed n-gram log-likelihood ratio of trusted target against raw corpus.
 
-Every word gives three n-grams: its first three characters, its last three (a shorter word:
-all of it), and the fourth to sixth (what there is of them); each kind is hashed to buckets
-of its own.  Such n-grams are few in any language, so buckets do not fill up as the corpus
+Every word gives its first three characters, its last three (a shorter word: all of it), the
+fourth to sixth (what there is of them), and a longer word what follows as well, three by three,
+so that every character is in an n-gram; each of these four kinds is hashed to buckets of its
+own.  Such n-grams are few in any language, so buckets do not fill up as the corpus
 grows.  They are counted over the trusted
 documents (target) and over all others (raw corpus).  Both multinomials give a fixed share
 evenly to all buckets, the raw one more: an n-gram that neither has seen always scores
@@ -22,7 +23,7 @@ from mailvane.llm.shared import SPACE_CLASS, named, words
 
 #: Of each kind of n-gram; a power of two.
 BUCKETS = 65_536
-KINDS = 3
+KINDS = 4
 GRAM = 3
 #: Shares that the two multinomials spread evenly over the buckets.
 TARGET_FLOOR = 0.01
@@ -49,13 +50,16 @@ def _buckets(array: str) -> Column:
     grams = lambda start, kind: F.transform(
         array, lambda w: F.hash(F.substring(w, start, GRAM)).bitwiseAND(F.lit(BUCKETS - 1)) + kind * BUCKETS
     )
-    return F.concat(grams(1, 0), grams(-GRAM, 1), grams(1 + GRAM, 2))
+    long = F.filter(array, lambda w: F.length(w) > 2 * GRAM)
+    # one pass over the rest of a word, however long it is
+    rest = F.flatten(F.transform(long, lambda w: F.regexp_extract_all(F.substr(w, F.lit(1 + 2 * GRAM)), F.lit(f"(?s).{{1,{GRAM}}}"), F.lit(0))))
+    return F.concat(grams(1, 0), grams(-GRAM, 1), grams(1 + GRAM, 2), F.transform(rest, lambda g: F.hash(g).bitwiseAND(F.lit(BUCKETS - 1)) + 3 * BUCKETS))
 
 
 def ratio_model(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row with ``model``: the log ratio of every bucket, as an array.
 
-    All kinds have equally many n-grams, so each has its share of the sums.
+    Shares are those within a kind; a kind that one side lacks has only its floor there.
 
     Without trusted documents, or without others, all ratios are equal to 0.
     """
@@ -67,12 +71,14 @@ def ratio_model(docs: DataFrame, labels: DataFrame) -> DataFrame:
     counts = split.select(F.explode(_buckets("_words")).alias("bucket"), "_target").groupBy("bucket").agg(F.count_if(~F.col("_target")).alias("raw"), F.count_if(F.col("_target")).alias("target"))
     every = docs.sparkSession.range(KINDS * BUCKETS).select(F.col("id").cast("int").alias("_bucket"))
     dense = every.join(counts, F.col("_bucket") == F.col("bucket"), "left").select("_bucket", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target"))
+    totals = lambda n: F.array(*[F.sum(F.when(F.floor(F.col("_bucket") / BUCKETS) == kind, F.col(n)).otherwise(0)) for kind in range(KINDS)])
     # one row each for the buckets, which are bounded
-    listed = dense.agg(F.sort_array(F.collect_list(F.struct("_bucket", "raw", "target"))).alias("all"), F.sum("raw").alias("raws"), F.sum("target").alias("targets"))
-    share = lambda n, total, floor: (1 - floor) * n * KINDS / F.col(total) + floor / BUCKETS
+    listed = dense.agg(F.sort_array(F.collect_list(F.struct("_bucket", "raw", "target"))).alias("all"), totals("raw").alias("raws"), totals("target").alias("targets"))
+    total = lambda x, name: F.greatest(F.get(F.col(name), F.floor(x["_bucket"] / BUCKETS).cast("int")), F.lit(1))
+    share = lambda x, n, name, floor: (1 - floor) * x[n] / total(x, name) + floor / BUCKETS
     ratio = lambda x: F.when(
-        (F.col("targets") > 0) & (F.col("raws") > 0),
-        F.log(share(x["target"], "targets", TARGET_FLOOR)) - F.log(share(x["raw"], "raws", RAW_FLOOR)),
+        (F.get("targets", F.lit(0)) > 0) & (F.get("raws", F.lit(0)) > 0),
+        F.log(share(x, "target", "targets", TARGET_FLOOR)) - F.log(share(x, "raw", "raws", RAW_FLOOR)),
     ).otherwise(F.lit(0.0))
     return listed.select(F.transform("all", ratio).alias("model"))
 

@@ -331,6 +331,19 @@ def test_quality_reads_whole_words(spark, sf_dir):
     assert sum(score[i] < score[i - first] - 0.01 for i, _ in rows) >= 0.95 * len(rows) > 0
 
 
+def test_quality_reads_every_character_of_a_word(spark):
+    """Words that differ in one character, at any place, have other scores; so has the end of a very long one."""
+    known = "abcdefghijklmnopqr"
+    docs = spark.createDataFrame([(1, f"{known} {known}"), (2, "other words")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    model = quality.ratio_model(docs, labels)
+    texts = [known] + [known[:i] + "#" + known[i + 1 :] for i in range(len(known))] + [known[:9] * 30_000, known[:9] * 29_999 + "###xxxxxx"]
+    every = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    score = {r["doc_id"]: r["score"] for r in quality.judged(every, model, ["doc_id"]).select("carried.doc_id", "score").collect()}
+    assert all(score[i] < score[0] for i in range(1, len(known) + 1))
+    assert score[len(known) + 2] < score[len(known) + 1]
+
+
 def test_quality_of_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(4, 1, 0), (None, 1, None), (3, None, 1)], "doc_id long, quality int, toxic int")
     rows = quality.quality_report(odd, labels).collect()
