@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mailvane.functions import fixed_values as V
 from mailvane.functions import jsontext as J
 from mailvane.functions.mail import strip
 from mailvane.sources.lines import located_lines, split_located
+from mailvane.sources.tables import written
 from mailvane.sources.vectors import split_rejects, text_lines
 
 
@@ -65,6 +66,38 @@ def load_mail_tsv(spark: SparkSession, path: str, located: bool = False) -> tupl
     return split_rejects(tag_tsv_lines(text_lines(spark, path)))
 
 
+#: Messages that one task writes or reads as files.
+FILES_A_TASK = 2048
+
+
+def write_raw_mail(mails: DataFrame, path: str) -> DataFrame:
+    """A file for each message of ``mails(mail_id, raw)``, all in the one folder ``path``.
+
+    Returns ``(part, nth, mail_id)``, which names the messages of the files (see
+    :func:`named_raw_mail`).  A folder for each message as well would cost the writer
+    and the lister more than its file does.
+    """
+    parts = max(mails.sparkSession.sparkContext.defaultParallelism, -(-mails.count() // FILES_A_TASK))
+    part = F.pmod(F.col("row"), F.lit(parts)).cast("int").alias("part")
+    nth = F.row_number().over(Window.partitionBy("part").orderBy("row")) - 1
+    # rows of a task are consecutive, and dealt in turn
+    rows = mails.select(F.monotonically_increasing_id().alias("row"), "mail_id", "raw").select("*", part)
+    placed = written(rows.select("part", nth.alias("nth"), "mail_id", "raw"))
+    # task and count of a file are the part and place of its message
+    dealt = placed.repartitionById(parts, "part").sortWithinPartitions("nth")
+    dealt.select("raw").write.option("maxRecordsPerFile", 1).text(path)
+    return placed.select("part", "nth", "mail_id")
+
+
+def named_raw_mail(files: DataFrame, index: DataFrame) -> DataFrame:
+    """Files of :func:`load_raw_mail` under the ``mail_id`` of their message."""
+    name = r"/part-(\d+)-[^/]*-c(\d+)\.[^/]*$"
+    at = lambda group: F.regexp_extract("mail_id", name, group).cast("int")
+    placed = files.select(at(1).alias("part"), at(2).alias("nth"), F.regexp_replace("raw", r"\n\z", "").alias("raw"))
+    # the writer ends every file with a line feed
+    return placed.join(index, ["part", "nth"]).select("mail_id", "raw")
+
+
 def load_raw_mail(spark: SparkSession, path: str) -> DataFrame:
     """One row per file: ``mail_id`` (the file's path) and ``raw``."""
     return spark.read.text(path, wholetext=True).select(
