@@ -19,6 +19,8 @@ from mailvane.functions import fixed_values as V
 from mailvane.shipping import ship_package
 
 _MASK = 0xFFFFFFFF
+#: Numbers of the dense sums, and bytes of tokens, that are worked on at once: several arrays have a number for each.
+SCRATCH_CELLS, SLICE_BYTES = 1 << 20, 2 << 20
 
 
 def fnv1a(text: Column) -> Column:
@@ -164,6 +166,24 @@ def list_array(m: np.ndarray) -> pa.Array:
     )
 
 
+def token_bytes(lists: pa.Array) -> np.ndarray:
+    """What the tokens of each row of an Arrow ``list<string>`` take: their bytes, and a number for each."""
+    lengths = np.asarray(lists.value_lengths().fill_null(0), dtype=np.int64)
+    taken = np.asarray(pc.binary_length(lists.flatten()).fill_null(0), dtype=np.int64) + 8
+    upto, stops = np.r_[0, np.cumsum(taken)], np.cumsum(lengths)
+    return upto[stops] - upto[stops - lengths]
+
+
+def row_slices(sizes: np.ndarray, most_rows: int, most_bytes: int) -> list[tuple[int, int]]:
+    """Consecutive rows, of at most so many bytes together unless one alone has more."""
+    upto, cuts = np.r_[0, np.cumsum(sizes)], [0]
+    while cuts[-1] < len(sizes):
+        at = cuts[-1]
+        fit = int(np.searchsorted(upto, upto[at] + most_bytes, side="right")) - 1
+        cuts.append(min(max(fit, at + 1), at + most_rows, len(sizes)))
+    return list(zip(cuts[:-1], cuts[1:]))
+
+
 def hash_vectors(
     passes: list[tuple[Column, float]],
     dim: int,
@@ -181,14 +201,13 @@ def hash_vectors(
         raise ValueError("signed hashing needs an even dimension")
     # with an even dimension the sign, the lowest hash bit, is the parity of the bucket
     signs = np.where(np.arange(dim) % 2 == 1, 1.0, -1.0)
-    rows_at_once = max(1, (1 << 22) // dim)  # bounds the dense scratch matrix
+    rows_at_once = max(1, SCRATCH_CELLS // dim)  # bounds the dense scratch matrix
 
     @F.arrow_udf("array<double>")
     def vectors(*lists: pa.Array) -> pa.Array:
-        total = len(lists[0])
         parts = []
-        for at in range(0, total, rows_at_once):
-            out = np.zeros((min(rows_at_once, total - at), dim))
+        for at, stop in row_slices(sum(token_bytes(x) for x in lists), rows_at_once, SLICE_BYTES):
+            out = np.zeros((stop - at, dim))
             for column, weight in zip(lists, weights):
                 accumulate_pass(
                     out,
