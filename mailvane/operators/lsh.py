@@ -16,13 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mailvane.operators.kernels import matrix, pair_distance, sort_key, top_k
+from mailvane.operators.kernels import Block, matrix, sort_key
 from mailvane.operators.knn import BLOCK_ROWS, effective_k, merge_top_k, numbered
 from mailvane.shipping import ship_package
 from mailvane.sources.tables import written
 
-#: Numbers held at once while pairs are compared.
-_PAIR_CELLS = 1 << 22
 #: A table of overfull buckets up to this many rows is broadcast.
 BROADCAST_BUCKETS = 1 << 20
 
@@ -84,18 +82,17 @@ def _compare(k: int):
         place = {key: n for n, key in enumerate(zip(tab[cuts[:-1]].tolist(), code[cuts[:-1]].tolist()))}
         at = np.array([place.get(key, -1) for key in zip(left["tab"].to_pylist(), left["code"].to_pylist())])
         asked = np.flatnonzero(at >= 0)
-        low, n = cuts[at[asked]], np.diff(cuts)[at[asked]]
+        asked = asked[np.argsort(at[asked], kind="stable")]  # queries of a bucket together
         q, rows = matrix(left["qv"]), matrix(right["v"])
         out = [schema.empty_table()]
-        held = np.cumsum(n) // max(1, _PAIR_CELLS // q.shape[1])
-        turns = np.flatnonzero(np.r_[True, held[1:] != held[:-1], True]) if len(asked) else np.zeros(1, dtype=np.int64)
+        turns = np.flatnonzero(np.r_[True, np.diff(at[asked]) != 0, True]) if len(asked) else np.zeros(1, dtype=np.int64)
         for lo, hi in zip(turns[:-1], turns[1:]):
-            i, m = asked[lo:hi], n[lo:hi]
-            r = np.repeat(i, m)
-            c = np.arange(m.sum()) + np.repeat(low[lo:hi] - (np.cumsum(m) - m), m)
-            d = pair_distance(q[r], rows[c], "cosine")
-            r, c, d, _ = top_k(r, np.zeros(len(r), dtype=np.int64), sort_key(d), c, d, k)
-            r, c = pa.array(r), pa.array(c)
+            i, bucket = asked[lo:hi], at[asked[lo]]
+            # places stand for the ids: both are in one order
+            places = np.arange(cuts[bucket], cuts[bucket + 1])
+            block = Block(pa.array(places), rows[places], None, "cosine", k)
+            r, c, d, _ = block.search(q[i])
+            r, c = pa.array(i[r]), block.ids.take(pa.array(c))
             columns = [left["qrow"].take(r), left["qid"].take(r), pa.nulls(len(r), pa.string()), right["id"].take(c), pa.array(d), pa.array(sort_key(d)), right["row"].take(c)]
             out.append(pa.Table.from_arrays(columns, schema=schema))
         return pa.concat_tables(out)
