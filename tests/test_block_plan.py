@@ -1,12 +1,11 @@
-"""The plan for two large sides: rows are sent once, and whatever their number a task holds little."""
+"""Searches that hold little, whatever the number of rows."""
 
 import numpy as np
 import pyarrow as pa
-import pytest
 from pyspark.sql import functions as F
 
 from mailvane.functions import hashing
-from mailvane.operators import ann, knn
+from mailvane.operators import ann, kernels, knn, lsh
 from mailvane.operators.kernels import Block, Nearest
 
 
@@ -21,19 +20,6 @@ def found(df):
     return sorted((r["qid"], r["category"] or "", r["rank"], r["vec_id"], round(r["distance"], 9)) for r in df.collect())
 
 
-@pytest.mark.parametrize("metric", ["cosine", "euclidean", "dot"])
-def test_streams_of_blocks_give_the_rows_of_the_broadcast(spark, monkeypatch, metric):
-    monkeypatch.setattr(knn, "STREAM_ROWS", 60)  # several streams
-    monkeypatch.setattr(knn, "SMALL_BLOCK_ROWS", 50)
-    e = rows(spark, 170)
-    q = e.withColumnRenamed("vec_id", "qid")
-    with_category = dict(k=4, metric=metric, category="label", leave_out_own=True)
-    plain = found(knn.knn_join(q, e, plan="corpus", **with_category))
-    blocks = knn.knn_join(q, e, plan="blocks", block_rows=16, **with_category)
-    assert "CartesianProduct" in blocks._jdf.queryExecution().toString()  # no copies of rows are shuffled
-    assert found(blocks) == plain
-
-
 def test_queries_beyond_the_bound_are_not_broadcast(spark, monkeypatch):
     e = rows(spark, 80)
     q = e.withColumnRenamed("vec_id", "qid")
@@ -46,10 +32,17 @@ def test_all_cells_probed_sends_a_query_once(spark):
     e = rows(spark, 90)
     q = e.withColumnRenamed("vec_id", "qid")
     searched = ann.search(ann.class_mean_index(e, "label"), q, e, 5, n_probe=3)
-    assert "CartesianProduct" in searched._jdf.queryExecution().toString()
+    assert "cells(" not in searched._jdf.queryExecution().toString()  # not once for every cell
     assert found(searched) == found(knn.knn_join(q, e, 5, plan="corpus"))
 
 
+def test_nearest_keeps_what_no_later_block_improves():
+    near = Nearest(np.array([[1.0, 0.0]]), 1)
+    for at, v in enumerate(([[1.0, 0.0]], [[0.0, 1.0]], [[1.0, 0.0]])):
+        near.meet(Block(pa.array([7 - at]), np.array(v), None, "euclidean", 1))
+    assert [ids.to_pylist() for _, _, ids, _ in near.batches()] == [[5]]  # of equal rows the smallest id
+
+
 def test_nearest_of_blocks_in_turn():
     r = np.random.default_rng(5)
     v, q = np.round(r.normal(size=(200, 8)), 1), r.normal(size=(7, 8))
@@ -73,3 +66,22 @@ def test_hashing_works_on_slices_of_bytes(spark, monkeypatch):
     once = vectors()
     monkeypatch.setattr(hashing, "SLICE_BYTES", 40)
     assert vectors() == once
+
+
+def test_hash_bucket_is_searched_by_products(monkeypatch):
+    measured, plain = [], kernels.pair_distance
+    monkeypatch.setattr(kernels, "pair_distance", lambda a, b, metric: measured.append(len(a)) or plain(a, b, metric))
+    r = np.random.default_rng(2)
+    q, v, n, m = r.normal(size=(300, 8)), r.normal(size=(700, 8)), 300, 700
+    vectors = lambda x: pa.array(list(x), pa.list_(pa.float64()))
+    zeros = lambda k: pa.array(np.zeros(k, dtype=np.int64))
+    left = pa.table({"qrow": np.arange(n), "qid": np.arange(n) + 5, "qv": vectors(q), "tab": zeros(n), "code": zeros(n)})
+    ids = r.permutation(m)
+    right = pa.table({"row": np.arange(m), "id": ids, "v": vectors(v), "tab": zeros(m), "code": zeros(m)})
+    got = lsh._compare(4)(left, right)
+    # not every pair is taken apart: of a whole bucket only candidates are
+    assert 0 < sum(measured) < 10 * n
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    nearest = np.argsort(1 - unit(q) @ unit(v).T, axis=1)[:, :4]
+    assert {(x, y) for x, y in zip(got["qrow"].to_pylist(), got["row"].to_pylist())} == {(i, j) for i in range(n) for j in nearest[i].tolist()}
+    assert all(ids[row] == vec_id for row, vec_id in zip(got["row"].to_pylist(), got["vec_id"].to_pylist()))
