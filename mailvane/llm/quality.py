@@ -11,7 +11,8 @@ log(TARGET_FLOOR / RAW_FLOOR), below 0, whatever the size of the corpus.  A text
 the mean of log(target / raw) over its n-grams; a text below the threshold is rejected.  A
 few plain rules come before.
 
-DataFrame functions only; the counts are partial aggregates, so only buckets are shuffled.
+DataFrame functions only; words are counted before they are cut, by partial aggregates, so each
+distinct word of a task, and then its buckets, are shuffled once.
 """
 
 from __future__ import annotations
@@ -68,7 +69,10 @@ def ratio_model(docs: DataFrame, labels: DataFrame) -> DataFrame:
     split = narrow.join(trusted, F.col("doc_id") == F.col("_trusted"), "left").select(
         words(F.col("text")).alias("_words"), F.col("_trusted").isNotNull().alias("_target")
     )
-    counts = split.select(F.explode(_buckets("_words")).alias("bucket"), "_target").groupBy("bucket").agg(F.count_if(~F.col("_target")).alias("raw"), F.count_if(F.col("_target")).alias("target"))
+    # a word is cut into n-grams once for all its places in a task's rows, not at each of them
+    by_word = split.select(F.explode("_words").alias("_word"), "_target").groupBy("_word")
+    seen = by_word.agg(F.count_if(~F.col("_target")).alias("raw"), F.count_if(F.col("_target")).alias("target")).withColumn("_word", F.array("_word"))
+    counts = seen.select(F.explode(_buckets("_word")).alias("bucket"), "raw", "target").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     every = docs.sparkSession.range(KINDS * BUCKETS).select(F.col("id").cast("int").alias("_bucket"))
     dense = every.join(counts, F.col("_bucket") == F.col("bucket"), "left").select("_bucket", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target"))
     totals = lambda n: F.array(*[F.sum(F.when(F.floor(F.col("_bucket") / BUCKETS) == kind, F.col(n)).otherwise(0)) for kind in range(KINDS)])
