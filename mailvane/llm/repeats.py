@@ -44,6 +44,8 @@ _PLACE = (1 << 20) - 1
 #: Text in a block, and text whose names are one bucket, about.
 BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 16 << 20
+#: Level of zstd at which texts are shuffled.
+TEXT_LEVEL = 5
 
 _MESSAGE = "bucket long, block long, names binary"
 _ANSWER = "block long, kind int, names binary"
@@ -138,6 +140,7 @@ _TEXTS = "block long, doc_id array<long>, mark array<long>, size array<long>, te
 
 def _texts_by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts of a batch that go to one block as one compressed row; they are most of what is shuffled."""
+    codec = pa.Codec("zstd", compression_level=TEXT_LEVEL)
     for batch in batches:
         block, ids, mark = (batch[c].to_numpy() for c in ("block", "doc_id", "mark"))
         raw, offsets = text_column(batch["text"])
@@ -146,7 +149,7 @@ def _texts_by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         edges = np.append(np.flatnonzero(np.diff(block[order], prepend=-1)), len(order))
         rows = [order[lo:hi] for lo, hi in zip(edges[:-1], edges[1:])]
         lists = lambda x: pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(x[order], pa.int64()))
-        texts = [pa.compress(_gathered(raw, offsets, r).tobytes(), codec="zstd", asbytes=True) for r in rows]
+        texts = [codec.compress(_gathered(raw, offsets, r).tobytes(), asbytes=True) for r in rows]
         columns = [pa.array(block[order][edges[:-1]], pa.int64()), lists(ids), lists(mark), lists(size), pa.array(texts, pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, ["block", "doc_id", "mark", "size", "texts"])
 
