@@ -2,6 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from mailvane.functions import hashing
@@ -85,3 +86,38 @@ def test_hash_bucket_is_searched_by_products(monkeypatch):
     nearest = np.argsort(1 - unit(q) @ unit(v).T, axis=1)[:, :4]
     assert {(x, y) for x, y in zip(got["qrow"].to_pylist(), got["row"].to_pylist())} == {(i, j) for i in range(n) for j in nearest[i].tolist()}
     assert all(ids[row] == vec_id for row, vec_id in zip(got["row"].to_pylist(), got["vec_id"].to_pylist()))
+
+
+def test_what_two_large_sides_send_grows_with_them():
+    sent = lambda q, c: (lambda parts: q * parts[1] + c * parts[0])(knn.grid(q, c, 64, 12))
+    assert sent(600_000, 400_000) <= 10 * 1.01 * sent(60_000, 40_000)
+    # not one copy of a side for every block of the other
+    assert sent(600_000, 400_000) < (600_000 * (400_000 // knn.BLOCK_ROWS) + 400_000 * (600_000 // knn.BLOCK_ROWS)) / 3
+
+
+@pytest.mark.parametrize("n", [(1, 1), (5, 90_000), (90_000, 5), (2_000_000, 1_300_000)])
+def test_parts_of_both_sides_are_bounded(n):
+    q_parts, c_parts = knn.grid(*n, 256, 12)
+    assert n[0] * 2048 / q_parts <= knn.HELD_BYTES and n[1] * 2048 / c_parts <= knn.SENT_BYTES
+    assert q_parts * c_parts >= min(48, -(-n[0] // knn.SMALL_ROWS) * -(-n[1] // knn.SMALL_ROWS))
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean", "dot"])
+def test_parts_of_both_sides_give_the_rows_of_the_broadcast(spark, monkeypatch, metric):
+    monkeypatch.setattr(knn, "SMALL_ROWS", 30)  # many parts
+    monkeypatch.setattr(knn, "HELD_BYTES", 60 * 64)
+    e = rows(spark, 170)
+    q = e.withColumnRenamed("vec_id", "qid").unionByName(e.withColumnRenamed("vec_id", "qid").limit(9))
+    with_category = dict(k=4, metric=metric, category="label", leave_out_own=True)
+    blocks = knn.knn_join(q, e, plan="blocks", block_rows=16, **with_category)
+    assert found(blocks) == found(knn.knn_join(q, e, plan="corpus", **with_category))
+    assert found(knn.knn_join(q, e.where("false"), plan="blocks", dim=8)) == []
+
+
+def test_search_in_slices_of_any_size(monkeypatch):
+    r = np.random.default_rng(9)
+    v, q = np.round(r.normal(size=(150, 8)), 1), r.normal(size=(40, 8))
+    block = Block(pa.array(np.arange(150)), v, pa.array([None if i % 4 == 0 else "abc"[i % 3] for i in range(150)]), "cosine", 3)
+    whole = block.search(q)
+    monkeypatch.setattr(kernels, "_BLOCK_CELLS", 150 * 7)
+    assert all((a == b).all() for a, b in zip(whole, block.search(q)))
