@@ -95,6 +95,34 @@ def test_what_two_large_sides_send_grows_with_them():
     assert sent(600_000, 400_000) < (600_000 * (400_000 // knn.BLOCK_ROWS) + 400_000 * (600_000 // knn.BLOCK_ROWS)) / 3
 
 
+def test_what_two_large_sides_send_grows_no_faster_than_they_do():
+    sent = lambda q, c: (lambda parts: q * parts[1] + c * parts[0])(knn.grid(q, c, 256, 12))
+    assert sent(1_840_000, 1_230_000) <= 6 * 1.1 * sent(307_000, 205_000)  # 6 and 1 GB of classify_basic
+
+
+def test_queries_of_a_part_are_opened_in_turn(spark, monkeypatch):
+    opened, plain = [], knn.Nearest
+    monkeypatch.setattr(knn, "Nearest", lambda q, k: opened.append(len(q)) or plain(q, k))
+    e = rows(spark, 90).toArrow()
+    vectors = pa.table({"qrow": e["vec_id"], "qid": e["vec_id"], "qv": e["embedding"]}), pa.table({"id": e["vec_id"], "v": e["embedding"], "c": e["label"]})
+
+    def blocks(t, n):
+        values = []
+        for at in range(0, len(t), n):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, t.schema) as out:
+                out.write_table(t.slice(at, n))
+            values.append(sink.getvalue().to_pybytes())
+        return pa.table({"rows": pa.array(values, pa.binary())})
+
+    schema = pa.schema([("qrow", pa.int64()), ("qid", pa.int64()), ("category", pa.string()), ("vec_id", pa.int64()), ("distance", pa.float64()), ("dkey", pa.int64())])
+    got = knn._meet_parts(3, "cosine", schema, 16, 40)(*[blocks(t, 10) for t in vectors])
+    assert opened == [40, 40, 10]
+    whole = knn.meet_blocks(3, "cosine")(*vectors)
+    key = lambda t: sorted(zip(*(t[c].to_pylist() for c in ("qrow", "category", "vec_id", "dkey"))))
+    assert key(got) == key(whole)
+
+
 @pytest.mark.parametrize("n", [(1, 1), (5, 90_000), (90_000, 5), (2_000_000, 1_300_000)])
 def test_parts_of_both_sides_are_bounded(n):
     q_parts, c_parts = knn.grid(*n, 256, 12)
