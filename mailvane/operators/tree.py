@@ -18,23 +18,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from mailvane.functions.fixed_values import COSINE_EPS
 from mailvane.functions.vectors import metric_name, normalize
-from mailvane.operators.kernels import matrix
+from mailvane.operators.kernels import Block, matrix, sort_key, top_k
 from mailvane.operators.knn import BLOCK_ROWS, _candidate_schema, effective_k, meet_blocks, merge_top_k, numbered
 from mailvane.shipping import ship_package
 from mailvane.sources.tables import written
 
 #: Groups that every task may hold, with their centres; the square root of the number of cells, and one per category.
 MOST_GROUPS = 65_536
-#: Rows of a group that are filed in one task, and queries that are routed in one.
-FILED_ROWS, ROUTED_ROWS = 65_536, 4096
+#: Rows of a group that are filed in one task, queries that are routed in one, and queries that visit a group in one.
+FILED_ROWS, ROUTED_ROWS, VISITORS = 65_536, 4096, 32_768
 #: A table of cells up to this many rows is broadcast where it is joined.
 BROADCAST_CELLS = 1 << 20
 #: Error that bounds made of matrix products may have, relative to the numbers in them.
@@ -215,18 +217,27 @@ def build_tree(
     return CentroidTree(groups.drop("file_parts"), cells, placed.drop("away"), metric)
 
 
-def _states(tree: CentroidTree, queries: DataFrame, query_id: str, query_vector: str) -> DataFrame:
-    """One row per query and category of the corpus: the k-th distance so far, and the last cell visited (none yet)."""
+def _states(tree: CentroidTree, asked: DataFrame) -> DataFrame:
+    """One row per query and category of the corpus: the k-th distance so far, and the last cell visited (none yet).
+
+    ``asked(qrow, qid, qv, kths)`` has the k-th distances known by category, so a vector is kept once for all categories.
+    """
     names = [r["category"] for r in tree.groups.select("category").distinct().collect()]  # at most MOST_GROUPS
-    q = numbered(queries).select("qrow", F.col(query_id).alias("qid"), F.col(query_vector).alias("qv"))
     each = F.explode(F.array(*[F.lit(x).cast("string") for x in names])) if names else F.explode(F.array().cast("array<string>"))
-    none_yet = F.lit(float("inf")).alias("theta"), F.lit(float("-inf")).alias("mark"), F.lit(-1).cast("long").alias("mark_cell")
-    return q.select("qrow", "qid", "qv", each.alias("category"), *none_yet)
+    states = asked.withColumn("category", each)
+    known = F.get(F.filter("kths", lambda x: x["category"].eqNullSafe(F.col("category"))), F.lit(0))["distance"]
+    # distances that round to the same nine decimals are ties
+    theta = F.least(F.lit(float("inf")), known + F.lit(2e-9)).alias("theta")  # of null and a number, the number
+    return states.select("qrow", "qid", "qv", "category", theta, F.lit(float("-inf")).alias("mark"), F.lit(-1).cast("long").alias("mark_cell"))
 
 
-def _to_groups(states: DataFrame, shared, metric: str, own: bool) -> DataFrame:
-    """States copied to the nearest group of their category (``own``), or to all that can hold something nearer."""
-    out = T.StructType([*states.schema.fields, T.StructField("group", T.LongType())])
+def _to_groups(states: DataFrame, shared, metric: str, own: bool, count: bool = False) -> DataFrame:
+    """States copied to the nearest group of their category (``own``), or to all that can hold something nearer.
+
+    ``count``: only how many go to each group.
+    """
+    group = T.StructField("group", T.LongType())
+    out = T.StructType([group, T.StructField("n", T.LongType())] if count else [*states.schema.fields, group])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = shared.value
@@ -244,19 +255,41 @@ def _to_groups(states: DataFrame, shared, metric: str, own: bool) -> DataFrame:
                         r, c = np.nonzero(least <= theta[i][:, None])
                     who.append(i[r])
                     where.append(g.number[mine[c]])
-                if who:
+                if who and count:
+                    group, n = np.unique(np.concatenate(where), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(n)], names=["group", "n"])
+                elif who:
                     taken = batch.take(pa.array(np.concatenate(who)))
                     yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(np.concatenate(where))], schema=pa.schema([*taken.schema, ("group", pa.int64())]))
 
-    return states.mapInArrow(route, out)
+    routed = states.mapInArrow(route, out)
+    return routed.groupBy("group").agg(F.sum("n").alias("n")) if count else routed
+
 
+def _open_cells(states: pa.Table, cells: pa.Table, metric: str, k: int, own: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Of states and the cells of their group: how near a cell is, and whether the state has to visit it.
 
-def _to_cells(routed: DataFrame, tree: CentroidTree, n_states: int, k: int, most: int | None, own: bool) -> DataFrame:
+    ``own``: it visits the nearest cells that together hold k rows.  Else those after the last
+    cell visited, in order of nearness, whose bound does not exceed the k-th distance.
+    """
+    q = in_space(matrix(states["qv"]), metric)
+    near, least = bounds(q, matrix(cells["centre"]), cells["radius"].to_numpy(), metric)
+    if not own:
+        mark, at = states["mark"].to_numpy()[:, None], states["mark_cell"].to_numpy()[:, None]
+        behind = (near > mark) | (near == mark) & (cells["cell"].to_numpy() > at)
+        return near, behind & (least <= states["theta"].to_numpy()[:, None])
+    order = np.argsort(near, axis=1, kind="stable")
+    n_rows = cells["n_rows"].to_numpy()[order]
+    keep = np.zeros(near.shape, dtype=bool)
+    np.put_along_axis(keep, order, np.cumsum(n_rows, axis=1) - n_rows < k, axis=1)
+    return near, keep
+
+
+def _to_cells(routed: DataFrame, tree: CentroidTree, n_states: int, k: int, most: int | None) -> DataFrame:
     """Routed states with the cells they visit next: ``cell, near, n_rows, parts``.
 
-    ``own``: the nearest cells of the group that together hold k rows.  Else, in order of
-    nearness and after the last cell visited, every cell whose bound does not exceed the
-    k-th distance, or the first ``most`` of them.
+    In order of nearness and after the last cell visited, every cell whose bound does not
+    exceed the k-th distance, or the first ``most`` of them.
     """
     metric = tree.metric
     pieces = max(1, -(-n_states // ROUTED_ROWS))
@@ -274,16 +307,9 @@ def _to_cells(routed: DataFrame, tree: CentroidTree, n_states: int, k: int, most
         r = c = np.zeros(0, dtype=np.int64)
         near = np.zeros((len(left), len(right)))
         if len(left) and len(right):
-            q = in_space(matrix(left["qv"]), metric)
-            near, least = bounds(q, matrix(right["centre"]), right["radius"].to_numpy(), metric)
+            near, keep = _open_cells(left, right, metric, k, own=False)
             order = np.argsort(near, axis=1, kind="stable")
-            if own:
-                before = np.cumsum(right["n_rows"].to_numpy()[order], axis=1) - right["n_rows"].to_numpy()[order]
-                keep = before < k
-            else:
-                mark, at = left["mark"].to_numpy()[:, None], left["mark_cell"].to_numpy()[:, None]
-                behind = (near > mark) | (near == mark) & (right["cell"].to_numpy() > at)
-                keep = np.take_along_axis(behind & (least <= left["theta"].to_numpy()[:, None]), order, axis=1)
+            keep = np.take_along_axis(keep, order, axis=1)
             if most is not None:
                 keep &= np.cumsum(keep, axis=1) <= most
             r, place = np.nonzero(keep)
@@ -295,7 +321,7 @@ def _to_cells(routed: DataFrame, tree: CentroidTree, n_states: int, k: int, most
         )
 
     chosen = asking.groupBy("group", "piece").cogroup(given.groupBy("group", "piece")).applyInArrow(choose, schema)
-    if most is None or own:
+    if most is None:
         return chosen
     nearest = Window.partitionBy("qrow", "category").orderBy("near", "cell")
     return chosen.withColumn("place", F.row_number().over(nearest)).where(F.col("place") <= most).drop("place")
@@ -318,6 +344,69 @@ def _search(pairs: DataFrame, tree: CentroidTree, k: int, block_rows: int) -> Da
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _search_groups(states: DataFrame, shared, tree: CentroidTree, k: int, own: bool, block_rows: int) -> DataFrame:
+    """k nearest of every state among the rows of its own cells, or of all cells that its k-th distance leaves open.
+
+    A task has the cells of a group, a part of its rows and a part of its visitors, and chooses
+    the cells itself: a vector is sent once for each group it visits, not for each cell.
+    """
+    metric = tree.metric
+    parts = lambda n, size: F.ceil(F.col(n) / F.lit(float(size))).cast("int")
+    visitors = _to_groups(states, shared, metric, own, count=True).select("group", parts("n", VISITORS).alias("q_parts"))
+    held = tree.cells.groupBy("group").agg(F.sum("n_rows").alias("n")).select("group", parts("n", block_rows).alias("parts"))
+    sizes = F.broadcast(written(visitors.join(held, "group")))  # at most MOST_GROUPS
+    part = lambda col, n: F.expr(f"cast(pmod(xxhash64({col}), {n}) as int)")
+    every = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
+    routed = _to_groups(states, shared, metric, own)
+    asking = ["qrow", "qid", "qv", "category", "theta", "mark", "mark_cell"]
+    q = routed.join(sizes, "group").select(*asking, "group", part("qrow", "q_parts").alias("qb"), every("parts").alias("cb"))
+    empty = lambda name, df: F.lit(None).cast(df.schema[name].dataType).alias(name)
+    rows = tree.rows.join(sizes, "group").select(
+        "group", "cell", "id", "v", *[empty(x, tree.cells) for x in ("centre", "radius", "n_rows")],
+        part("id", "parts").alias("cb"), every("q_parts").alias("qb"),
+    )
+    cells = tree.cells.drop("parts").join(sizes, "group").select(
+        "group", "cell", *[empty(x, tree.rows) for x in ("id", "v")], "centre", "radius", "n_rows", every("parts").alias("cb"), "q_parts"
+    ).withColumn("qb", every("q_parts")).drop("q_parts")
+    out = _candidate_schema(q.schema["qid"].dataType, tree.rows.schema["id"].dataType)
+    schema = to_arrow_schema(out)
+
+    def visit(left: pa.Table, right: pa.Table) -> pa.Table:
+        is_cell = pc.is_valid(right["n_rows"])
+        cells, rows = right.filter(is_cell).sort_by("cell").combine_chunks(), right.filter(pc.invert(is_cell)).sort_by("cell")
+        if not len(left) or not len(rows):
+            return schema.empty_table()
+        left, rows = left.combine_chunks(), rows.combine_chunks()
+        step = max(1, (1 << 21) // len(cells))
+        keep = np.concatenate([_open_cells(left.slice(at, step), cells, metric, k, own)[1] for at in range(0, len(left), step)])
+        q, theta = matrix(left["qv"]), left["theta"].to_numpy()[:, None]
+        ids, v, of = rows["id"].combine_chunks(), matrix(rows["v"]), rows["cell"].to_numpy()
+        number = cells["cell"].to_numpy()
+        found = []
+        for n, lo, hi in zip(range(len(number)), np.searchsorted(of, number), np.searchsorted(of, number, side="right")):
+            who = np.flatnonzero(keep[:, n])
+            if len(who) and hi > lo:
+                block = Block(ids[int(lo) : int(hi)], v[lo:hi], None, metric, k)
+                r, c, d, _ = block.search(q[who], None if own else theta[who])
+                found.append(pa.table({"r": who[r], "id": block.ids.take(pa.array(c)), "d": d}))
+        if not found:
+            return schema.empty_table()
+        found = pa.concat_tables(found).combine_chunks()
+        by_id = np.asarray(pc.sort_indices(found["id"]))
+        place = np.empty(len(found), dtype=np.int64)
+        place[by_id] = np.arange(len(found))
+        d, r = found["d"].to_numpy(), found["r"].to_numpy()
+        r, at, d, _ = top_k(r, np.zeros(len(r), dtype=np.int64), sort_key(d), place, d, k)
+        kept = left.select(["qrow", "qid", "category"]).take(pa.array(r))
+        columns = [*kept.columns, found["id"].take(pa.array(by_id[at])), pa.array(d), pa.array(sort_key(d))]
+        return pa.Table.from_arrays(columns, names=schema.names).cast(schema)
+
+    keys = ["group", "qb", "cb"]
+    found = q.groupBy(*keys).cogroup(rows.unionByName(cells).groupBy(*keys)).applyInArrow(visit, out)
+    w = Window.partitionBy("qrow", "category").orderBy("dkey", "vec_id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def tree_search(
     tree: CentroidTree, queries: DataFrame, k: int = 0, *, schedule: tuple[int | None, ...] = (None,), query_id: str = "qid",
     query_vector: str = "embedding", block_rows: int = BLOCK_ROWS,
@@ -331,36 +420,42 @@ def tree_search(
     ``closed`` says that no cell left out can change the result.
     """
     k = effective_k(k)
-    states = written(_states(tree, queries, query_id, query_vector))
+    asked = written(numbered(queries).select("qrow", F.col(query_id).alias("qid"), F.col(query_vector).alias("qv")))
     shared = _shared_groups(tree.groups)
-    route = lambda open_, n, most: written(_to_cells(_to_groups(open_, shared, tree.metric, own=False), tree, n, k, most, own=False))
+    route = lambda open_, n, most: _to_cells(_to_groups(open_, shared, tree.metric, own=False), tree, n, k, most)
     same = (F.col("qrow") == F.col("at")) & F.col("category").eqNullSafe(F.col("of"))
     by_state = [F.col("qrow").alias("at"), F.col("category").alias("of")]
     ranks = Window.partitionBy("qrow", "category").orderBy("dkey", "vec_id")
 
-    def narrowed(open_: DataFrame, found: DataFrame, pairs: DataFrame | None) -> DataFrame:
-        """States with the k-th distance found; with ``pairs``, those that visited any, behind the last of them."""
+    def narrowed(open_: DataFrame, found: DataFrame, pairs: DataFrame) -> DataFrame:
+        """States that visited any of ``pairs``, with the k-th distance found, and behind the last of them."""
         kth = found.where(F.col("rank") == k).select(*by_state, F.col("distance").alias("now"))
         # distances that round to the same nine decimals are ties
         theta = F.least("theta", F.coalesce(F.col("now") + F.lit(2e-9), F.col("theta"))).alias("theta")
-        states = open_.join(kth, same, "left").select("qrow", "qid", "qv", "category", theta, "mark", "mark_cell")
-        if pairs is not None:
-            last = pairs.groupBy(*by_state).agg(F.max(F.struct("near", "cell")).alias("last"))
-            states = states.drop("mark", "mark_cell").join(last, same).select(
+        states = open_.join(kth, same, "left").select("qrow", "qid", "qv", "category", theta)
+        last = pairs.groupBy(*by_state).agg(F.max(F.struct("near", "cell")).alias("last"))
+        return written(
+            states.join(last, same).select(
                 "qrow", "qid", "qv", "category", "theta", F.col("last.near").alias("mark"), F.col("last.cell").alias("mark_cell")
             )
-        return written(states)
+        )
 
-    n = states.count()
-    own = written(_to_cells(_to_groups(states, shared, tree.metric, own=True), tree, n, k, None, own=True))
-    open_ = narrowed(states, _search(own, tree, k, block_rows), None)
+    kths = F.lit(None).cast(T.ArrayType(T.StructType([T.StructField("category", T.StringType()), T.StructField("distance", T.DoubleType())])))
+    own = _search_groups(_states(tree, asked.withColumn("kths", kths)), shared, tree, k, True, block_rows)
+    # one per category
+    kths = own.where(F.col("rank") == k).groupBy(F.col("qrow").alias("at")).agg(F.collect_list(F.struct("category", "distance")).alias("kths"))
+    open_ = _states(tree, written(asked.join(kths, F.col("qrow") == F.col("at"), "left").drop("at")))
     best, seen = None, []
     for most in schedule:
         n = open_.count()
         if best is not None and not n:
             break
         pairs = route(open_, n, most)
-        fresh = _search(pairs, tree, k, block_rows)
+        if most is None:
+            fresh = _search_groups(open_, shared, tree, k, False, block_rows)
+        else:
+            pairs = written(pairs)
+            fresh = _search(pairs, tree, k, block_rows)
         if best is not None:
             fresh = best.unionByName(fresh).withColumn("rank", F.row_number().over(ranks)).where(F.col("rank") <= k)
         best = written(fresh)
@@ -376,7 +471,7 @@ def tree_search(
     if open_ is None:
         visits = visits.withColumn("closed", F.lit(True))
     else:
-        left = route(open_, open_.count(), 1).select(*by_state, F.lit(False).alias("more"))
+        left = written(route(open_, open_.count(), 1)).select(*by_state, F.lit(False).alias("more"))
         visits = visits.join(left, same, "left").withColumn("closed", F.coalesce("more", F.lit(True))).drop("at", "of", "more")
     return best.select("qid", "category", "vec_id", "distance", "rank"), visits.drop("qrow")
 

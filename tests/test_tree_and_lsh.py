@@ -35,6 +35,20 @@ def rows_of(df):
     return {(r["qid"], r["category"], r["rank"]): (r["vec_id"], round(r["distance"], 8)) for r in df.collect()}
 
 
+@pytest.mark.parametrize("category", [None, "label"])
+def test_a_vector_is_sent_once_for_each_group_it_visits(corpus, monkeypatch, category):
+    monkeypatch.setattr(tree, "VISITORS", 25)  # several parts of visitors
+    sent, plain = [], tree._to_groups
+    monkeypatch.setattr(tree, "_to_groups", lambda *a, **kw: sent.append(plain(*a, **kw)) or sent[-1])
+    monkeypatch.setattr(tree, "_search", None)  # would send it for each cell
+    t = tree.build_tree(corpus, 60, category=category, block_rows=20)
+    found, _ = tree.tree_search(t, asked(corpus), 4, block_rows=20)
+    assert rows_of(found) == rows_of(knn.knn_join(asked(corpus), corpus, 4, category=category))
+    n_states = corpus.count() * t.groups.select("category").distinct().count()
+    sums = [r.agg(F.sum("n")).first()[0] for r in sent if r.columns == ["group", "n"]]
+    assert sums[0] == n_states and n_states <= sums[1] <= corpus.count() * t.groups.count()
+
+
 @pytest.mark.parametrize(
     "metric, category, schedule",
     [("cosine", None, (None,)), ("euclidean", "label", (None,)), ("dot", None, (1, 3, None)), ("cosine", "label", (2, None))],
