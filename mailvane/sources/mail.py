@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +14,7 @@ from mailvane.functions import fixed_values as V
 from mailvane.functions import jsontext as J
 from mailvane.functions.mail import strip
 from mailvane.sources.lines import located_lines, split_located
-from mailvane.sources.tables import written
+from mailvane.sources.tables import local_folder, written
 from mailvane.sources.vectors import split_rejects, text_lines
 
 
@@ -70,6 +75,31 @@ def load_mail_tsv(spark: SparkSession, path: str, located: bool = False) -> tupl
 FILES_A_TASK = 2048
 
 
+def _write_local(placed: DataFrame, folder: str) -> None:
+    """The files of ``placed(part, nth, raw)`` in a folder that all tasks reach by its path.
+
+    The names are those of Spark's writer, which starts a process for the mode of each file
+    and of its checksum here.  A task that is run again writes the same files.
+    """
+    os.makedirs(folder)
+    load = uuid.uuid4().hex
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0
+        for batch in batches:
+            raw = batch["raw"].cast(pa.large_binary())
+            for part, nth, text in zip(batch["part"].to_pylist(), batch["nth"].to_pylist(), raw):
+                name = f"part-{part:05d}-{load}-c{nth:03d}.txt"
+                # hidden until it is whole
+                with open(new := f"{folder}/.{name}.{uuid.uuid4().hex}", "xb") as f:
+                    f.write((text.as_py() or b"") + b"\n")
+                os.replace(new, f"{folder}/{name}")
+            n += batch.num_rows
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    placed.select("part", "nth", "raw").mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
+
 def write_raw_mail(mails: DataFrame, path: str) -> DataFrame:
     """A file for each message of ``mails(mail_id, raw)``, all in the one folder ``path``.
 
@@ -83,9 +113,13 @@ def write_raw_mail(mails: DataFrame, path: str) -> DataFrame:
     # rows of a task are consecutive, and dealt in turn
     rows = mails.select(F.monotonically_increasing_id().alias("row"), "mail_id", "raw").select("*", part)
     placed = written(rows.select("part", nth.alias("nth"), "mail_id", "raw"))
-    # task and count of a file are the part and place of its message
-    dealt = placed.repartitionById(parts, "part").sortWithinPartitions("nth")
-    dealt.select("raw").write.option("maxRecordsPerFile", 1).text(path)
+    local = local_folder(mails.sparkSession, path)
+    if local:
+        _write_local(placed, local)
+    else:
+        # task and count of a file are the part and place of its message
+        dealt = placed.repartitionById(parts, "part").sortWithinPartitions("nth")
+        dealt.select("raw").write.option("maxRecordsPerFile", 1).text(path)
     return placed.select("part", "nth", "mail_id")
 
 

@@ -18,3 +18,17 @@ def test_a_file_for_each_message(spark, tmp_path, monkeypatch):
     read = msrc.named_raw_mail(msrc.load_raw_mail(spark, folder), index)
     found = [(r["mail_id"], r["raw"]) for r in read.select("mail_id", F.col("raw")).collect()]
     assert sorted(found, key=str) == sorted(rows, key=str)
+
+
+def test_local_files_are_written_without_a_process_for_each(spark, tmp_path, monkeypatch):
+    rows = [(i, f"Subject: {i}\n\ntext é") for i in range(9)] + [(9, None), (9, "twice")]
+    mails = spark.createDataFrame(rows, "mail_id long, raw string")
+    read = lambda folder, index: sorted((r["mail_id"], r["raw"]) for r in msrc.named_raw_mail(msrc.load_raw_mail(spark, folder), index).collect())
+    folder = f"file://{tmp_path}/inbox"
+    direct = read(folder, msrc.write_raw_mail(mails, folder))
+    names = os.listdir(tmp_path / "inbox")
+    # Hadoop's writer adds a checksum to each, and sets the mode of both by a process
+    assert len(names) == len(rows) and all(n.startswith("part-") for n in names)
+    monkeypatch.setattr(msrc, "local_folder", lambda *_: None)  # as in any other store
+    other = str(tmp_path / "other")
+    assert read(other, msrc.write_raw_mail(mails, other)) == direct
