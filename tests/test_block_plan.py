@@ -149,3 +149,62 @@ def test_search_in_slices_of_any_size(monkeypatch):
     whole = block.search(q)
     monkeypatch.setattr(kernels, "_BLOCK_CELLS", 150 * 7)
     assert all((a == b).all() for a, b in zip(whole, block.search(q)))
+
+
+def near_rows(n, dim=64, seed=4):
+    """Vectors around a few directions, some of them copies, one without length."""
+    centres, r = np.random.default_rng(1).normal(size=(6, dim)), np.random.default_rng(seed)
+    v = centres[r.integers(0, 6, n)] + 0.2 * r.normal(size=(n, dim))
+    v[n // 2 : n // 2 + 9], v[7] = v[0], 0.0
+    return v
+
+
+@pytest.mark.parametrize("n", [1500, 2600])
+def test_tiles_out_of_reach_are_skipped(monkeypatch, n):
+    v, q = near_rows(n), near_rows(700, seed=5)
+    names = pa.array([None if i % 7 == 0 else "rare" if i in (30, 31) else "ab"[i % 2] for i in range(n)])
+
+    def nearest(tiles):
+        near = Nearest(q, 4)
+        near.tiles = tiles
+        for at in range(0, n, 1300):
+            near.meet(Block(pa.array(np.arange(n)[::-1][at : at + 1300]), v[at : at + 1300], names[at : at + 1300], "cosine", 4))
+        assert near.tiles == tiles
+        return sorted((int(r), c.as_py() or "", i.as_py(), d) for rs, cs, ids, ds in near.batches() for r, c, i, d in zip(rs, cs, ids, ds))
+
+    whole = nearest(False)
+    measured, plain = [], kernels._tiles
+    monkeypatch.setattr(kernels, "_tiles", lambda *a: measured.append(1) or plain(*a))
+    monkeypatch.setattr(kernels, "TILE_ROWS", 32)
+    assert nearest(True) == whole and len(measured) > 1  # of the queries, and of a block
+
+
+def test_vectors_without_structure_go_without_tiles():
+    r = np.random.default_rng(6)
+    near = Nearest(r.normal(size=(300, 64)), 4)
+    near.meet(Block(pa.array(np.arange(2000)), r.normal(size=(2000, 64)), None, "cosine", 4))
+    assert not near.tiles
+
+
+def test_places_are_no_farther_apart_than_vectors():
+    v = near_rows(300)
+    tiled = kernels.Tiled(v)
+    x, u = kernels.places(kernels._unit(v), tiled.basis).astype(np.float64), kernels._unit(v)
+    u[7], x[7] = u[0], x[0]  # of a vector without length all distances are 1
+    apart = lambda m: np.linalg.norm(m[:, None] - m[None], axis=2)
+    assert (apart(x) <= apart(u) + 1e-6).all()
+    assert sorted(tiled.order.tolist()) == list(range(300))
+
+
+def test_keys_sort_as_one_number_or_several():
+    r = np.random.default_rng(7)
+    for spread in (5, 1 << 40):
+        a, b, c = r.integers(0, 9, 500), r.integers(-spread, spread, 500), r.permutation(500) * (spread >> 2)
+        assert kernels._sorted(a, b, c).tolist() == np.lexsort((c, b, a)).tolist()
+    assert kernels._sorted(a[:0], b[:0], c[:0]).tolist() == []
+
+
+def test_copies_beyond_k_are_left_out():
+    v = np.repeat(np.arange(12.0).reshape(6, 2), [1, 5, 2, 1, 7, 1], axis=0)
+    code = np.r_[np.zeros(10, int), np.ones(7, int)]
+    assert kernels._first_copies(v, code, 2).tolist() == [0, 1, 2, 6, 7, 8, 9, 10, 11, 16]
