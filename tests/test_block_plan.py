@@ -159,7 +159,7 @@ def near_rows(n, dim=64, seed=4):
     return v
 
 
-@pytest.mark.parametrize("n", [1500, 2600])
+@pytest.mark.parametrize("n", [2100, 2600])
 def test_tiles_out_of_reach_are_skipped(monkeypatch, n):
     v, q = near_rows(n), near_rows(700, seed=5)
     names = pa.array([None if i % 7 == 0 else "rare" if i in (30, 31) else "ab"[i % 2] for i in range(n)])
@@ -182,7 +182,8 @@ def test_tiles_out_of_reach_are_skipped(monkeypatch, n):
 def test_vectors_without_structure_go_without_tiles():
     r = np.random.default_rng(6)
     near = Nearest(r.normal(size=(300, 64)), 4)
-    near.meet(Block(pa.array(np.arange(2000)), r.normal(size=(2000, 64)), None, "cosine", 4))
+    for at in (0, 2000):
+        near.meet(Block(pa.array(np.arange(2000) + at), r.normal(size=(2000, 64)), None, "cosine", 4))
     assert not near.tiles
 
 
@@ -208,3 +209,48 @@ def test_copies_beyond_k_are_left_out():
     v = np.repeat(np.arange(12.0).reshape(6, 2), [1, 5, 2, 1, 7, 1], axis=0)
     code = np.r_[np.zeros(10, int), np.ones(7, int)]
     assert kernels._first_copies(v, code, 2).tolist() == [0, 1, 2, 6, 7, 8, 9, 10, 11, 16]
+
+
+def test_what_queries_find_is_bounded():
+    found = lambda n, parts: n * 60 / parts[0]
+    assert found(720_000, knn.grid(720_000, 720_000, 64, 12, 60)) <= knn.MOST_FOUND
+    returned = lambda parts: 720_000 * parts[1]
+    assert returned(knn.grid(720_000, 720_000, 64, 12, 60)) < returned(knn.grid(720_000, 720_000, 64, 12)) / 2
+
+
+def test_queries_open_by_what_they_find(spark, monkeypatch):
+    e = rows(spark, 120)
+    q = e.withColumnRenamed("vec_id", "qid")
+    expected = found(knn.knn_join(q, e, 3, category="label", plan="queries"))
+    monkeypatch.setattr(knn, "_query_broadcast", None)
+    monkeypatch.setattr(knn, "MOST_BROADCAST_FOUND", 3 * 3 * 119)  # one query too many
+    monkeypatch.setattr(knn, "MOST_FOUND", 3 * 3 * 50)
+    monkeypatch.setattr(knn, "OPEN_FOUND", 3 * 3 * 10)
+    monkeypatch.setattr(knn, "SMALL_ROWS", 10)
+    held = []
+    plain = knn._meet_parts
+    monkeypatch.setattr(knn, "_meet_parts", lambda *a: held.append(a[-1]) or plain(*a))
+    assert knn.sizes_of(e.select(e["label"].alias("c")), 3) == (120, 9)
+    assert found(knn.knn_join(q, e, 3, category="label", plan="queries")) == expected
+    assert held == [10]
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_many_cells_are_probed_without_a_copy_for_each(spark, monkeypatch, metric):
+    monkeypatch.setattr(knn, "SMALL_ROWS", 100)
+    e = rows(spark, 300)
+    q = e.withColumnRenamed("vec_id", "qid")
+    index = ann.build_index(e, 24, metric=metric)
+    sent = []
+    plain = ann.all_pairs
+    monkeypatch.setattr(ann, "all_pairs", lambda q, *a, **b: sent.append(q.columns) or plain(q, *a, **b))
+    nearest = lambda p: [r["c"] for r in e.select(ann.nearest_cells(index, e["embedding"], p).alias("c")).collect()]
+    assert nearest(1) == [c[:1] for c in nearest(24)]
+    for n_probe in (8, 15):
+        many = found(ann.search(index, q, e, 4, n_probe=n_probe, category="label", leave_out_own=True))
+        assert sent.pop() == ["qrow", "qid", "qv", "probes"]  # no row for a cell
+        with monkeypatch.context() as m:
+            m.setattr(ann, "LEAST_SHARE", 0)
+            assert found(ann.search(index, q, e, 4, n_probe=n_probe, category="label", leave_out_own=True)) == many
+    few = ann.search(index, q, e, 4, n_probe=2)
+    assert not sent and few.count() == 1200
